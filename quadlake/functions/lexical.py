@@ -74,7 +74,7 @@ def normal_form(value_type: Column, key: Column, label: Column, trimmed: Column)
     """The normal form of a term for a type held in a column; label is null
     for terms that are no literals, trimmed is trim(label)."""
     return (
-        F.when(value_type == "iri", F.when(label.isNull(), key))
+        F.when(value_type == "iri", F.when(~key.startswith('"'), key))
         .when(label.isNull(), F.lit(None).cast("string"))
         .when(value_type == "string", label)
         .when(value_type == "integer", norm_number(trimmed, point=False))

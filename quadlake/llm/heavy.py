@@ -21,6 +21,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quadlake.session import ship
+
 #: Counters per row and rows of a sketch: 2 MiB per column and task. With the
 #: probability 1 - exp(-DEPTH) an estimate exceeds the count by at most
 #: e / WIDTH of the rows of its partition; it is never below.
@@ -120,6 +122,7 @@ def heavy_items(df: DataFrame, columns: list[str], capacity: int = CAPACITY, wid
     heap go to the value first seen. Nulls are no values; repeated rows count;
     empty and long strings are values like any other. Empty input gives no rows.
     """
+    ship(df.sparkSession)
     parts = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     stream = block_counts(df, columns).withColumn("h", F.xxhash64("item")).repartition(parts, "h")
 

@@ -69,7 +69,7 @@ def fit_classifier(x: np.ndarray, y: np.ndarray, classes: int, steps: int = 150,
     x = np.hstack([x, np.ones((len(x), 1))])
     w = np.zeros((x.shape[1], classes))
     counts = np.bincount(y, minlength=classes)
-    w[-1] = np.log((counts + 0.01) / (counts.sum() + 0.01 * classes))
+    w[-1] = np.where(counts > 0, np.log(np.maximum(counts, 1) / max(1, counts.sum())), -100.0)  # a domain without documents stays out
     one = np.eye(classes)[y]
     for _ in range(steps):
         grad = x.T @ (posteriors(w, x, biased=True) - one) / max(1, len(x))

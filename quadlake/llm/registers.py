@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quadlake.session import ship
+
 #: Registers of a set, and the base of their levels.
 M, BASE = 2048, 1.1
 #: Standard errors of the stated bounds (95 %).
@@ -92,6 +94,7 @@ def count_groups(registers: DataFrame, groups: Sequence[str], m: int = M, base:
 
     A group without items has no registers and no row.
     """
+    ship(registers.sparkSession)
     rows = registers.groupBy(*groups).agg(F.count(F.lit(1)).alias("_used"), F.sum(F.pow(F.lit(base), -F.col("level"))).alias("_inverse"))
     error = F.lit(standard_error(m, base))
     rows = rows.withColumn("estimate", _estimate(m, base)).drop("_used", "_inverse").withColumn("rel_error", error)
@@ -211,6 +214,7 @@ def neighbours(registers: DataFrame, key: str, m: int = M, base: float = BASE) -
     MAX_KEYS; the registers are not: a register row goes to its own pair and to
     that of the next key, so no two sets are joined.
     """
+    ship(registers.sparkSession)
     keys = [r[0] for r in registers.where(F.col(key).isNotNull()).select(key).distinct().orderBy(key).limit(MAX_KEYS + 1).collect()]
     if len(keys) > MAX_KEYS:
         raise ValueError(f"more than {MAX_KEYS} keys in one order")

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quadlake.llm.tokens import text_batches
+from quadlake.session import ship
 
 #: Words of a run, and the share from which a document counts as repetitive.
 RUN, SHARE = 8, 0.5
@@ -96,6 +97,7 @@ def repetition(df: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     fewer than run + 1 words repeat nothing. Texts are read whole, however long.
     Equal rows give equal rows. Empty input gives no rows. No shuffle.
     """
+    ship(df.sparkSession)
     rows = df.select(df[id_column], df[text_column])
     schema = T.StructType([T.StructField(id_column, rows.schema[0].dataType), T.StructField("n_words", T.LongType()), T.StructField("n_repeated", T.LongType())])
 

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from quadlake.llm.perfect_hash import PerfectHash
+from quadlake.session import ship
 
 #: Where the rank files lie; a parameter of every function below.
 FOLDER = "/opt/tokenizers"
@@ -143,6 +144,7 @@ def _encoder(path: str, entries: tuple[bytes, ...], pattern: str) -> Encoder:
 def shared_encoder(df: DataFrame, path: str | None = None) -> Callable[[], Encoder]:
     """A function that gives each worker one encoder; the vocabulary (about
     half a MB, fixed) travels once to each executor."""
+    ship(df.sparkSession)
     path = path or f"{FOLDER}/{BYTE_BPE}"
     sent = df.sparkSession.sparkContext.broadcast((path, tuple(read_ranks(path)), split_pattern()))
     return lambda: _encoder(*sent.value)

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadlake.plans import algebra as A
-from quadlake.plans.expr import Value, compile_expr, order_columns
+from quadlake.plans.expr import Value, compile_expr, mapped, order_columns
 from quadlake.sources.mapping import MappedQuads, Relation, Variable
 from quadlake.sources.quads import QuadSource
 
@@ -37,8 +37,8 @@ def _rename(s: Solutions) -> tuple[DataFrame, dict[str, str]]:
     return s.df.select(*[F.col(f"`{v}`").alias(n) for v, n in names.items()]), names
 
 
-def _env(variables) -> dict[str, Column]:
-    return {v: F.col(f"`{v}`") for v in variables}
+def _env(variables) -> dict[str, Value]:
+    return {v: Value(key=F.col(f"`{v}`")) for v in variables}
 
 
 class Compiler:
@@ -113,18 +113,34 @@ class Compiler:
         plain = [(s, sv, p, o, ov) for (s, sv), (o, ov), p in mapped]
         return [*(self.source.relations(plain, contexts) if plain else []), *(self.pattern(p) for p in rest)]
 
-    def _bgp(self, node: A.BGP) -> Solutions:
+    def _bgp_relation(self, node: A.BGP) -> Relation:
         """Patterns are joined in an order that never leaves the connected part
         while there is a way on; without one the sides are put side by side."""
-        if not node.patterns:
-            df = self._spark().range(1).select()
-            return Solutions(df, (), frozenset())
         parts = self._relations(node.patterns)
         whole = parts.pop(0)
         while parts:
             near = next((x for x in parts if set(x.variables) & set(whole.variables)), parts[0])
             parts.remove(near)
             whole = self._join_relations(whole, near)
+        return whole
+
+    def _raw(self, node: A.Node) -> Relation | None:
+        """Patterns and filters on them, before their columns become terms."""
+        if isinstance(node, A.BGP) and node.patterns:
+            return self._bgp_relation(node)
+        if isinstance(node, A.Filter) and (child := self._raw(node.child)) is not None:
+            env = {**{n: Value(key=F.lit(v), const=v) for n, v in self.bindings.items()}, **self._values_of(child)}
+            return Relation(child.df.where(compile_expr(node.condition, env).truth()), child.variables)
+        return None
+
+    @staticmethod
+    def _values_of(r: Relation) -> dict[str, Value]:
+        return {v: mapped(x, F.col(f"`{v}`")) for v, x in r.variables.items()}
+
+    def _bgp(self, node: A.BGP) -> Solutions:
+        if not node.patterns:
+            return Solutions(self._spark().range(1).select(), (), frozenset())
+        whole = self._bgp_relation(node)
         return Solutions(whole.terms(), tuple(whole.variables), frozenset(whole.variables))
 
     def _join_relations(self, a: Relation, b: Relation) -> Relation:
@@ -132,14 +148,11 @@ class Compiler:
         left, right = a.df, b.df
         variables = dict(a.variables)
         for v in shared:
-            x, y = a.variables[v].template, b.variables[v].template
-            if x is None and y is None or x is not None and y is not None and x.same(y):
+            x, y = a.variables[v], b.variables[v]
+            if x.made is None and y.made is None or x.template is not None and y.template is not None and x.template.same(y.template):
                 continue
-            # different templates, or keys on one side only: compare the terms
-            if x is not None:
-                left, variables[v] = left.withColumn(v, x.term(F.col(f"`{v}`"))), Variable()
-            if y is not None:
-                right = right.withColumn(v, y.term(F.col(f"`{v}`")))
+            # different templates, literals, or keys on one side only: compare the terms
+            left, right, variables[v] = left.withColumn(v, x.term(F.col(f"`{v}`"))), right.withColumn(v, y.term(F.col(f"`{v}`"))), Variable()
         joined = left.join(right, shared, "inner") if shared else left.crossJoin(right)
         return Relation(joined, variables | {v: x for v, x in b.variables.items() if v not in variables})
 
@@ -186,7 +199,10 @@ class Compiler:
             env = _env(a.variables)
             for v, n in names.items():
                 other = F.col(f"`{n}`")
-                env[v] = F.coalesce(env[v], other) if v in env and v not in a.certain else env.get(v, other)
+                if v not in env:
+                    env[v] = Value(key=other)
+                elif v not in a.certain:
+                    env[v] = Value(key=F.coalesce(env[v].key, other))
             on.append(F.coalesce(compile_expr(node.condition, env).truth(), F.lit(False)))
         df = a.df.join(right, reduce(Column.__and__, on) if on else F.lit(True), "left")
         return self._merged(a, names, df, left=True)
@@ -220,8 +236,11 @@ class Compiler:
 
     # ------------------------------------------------------- filters and columns
     def _filter(self, node: A.Filter) -> Solutions:
+        raw = self._raw(node)
+        if raw is not None:
+            return Solutions(raw.terms(), tuple(raw.variables), frozenset(raw.variables))
         child = self.compile(node.child)
-        env = {**{n: F.lit(v) for n, v in self.bindings.items()}, **_env(child.variables)}
+        env = {**{n: Value(key=F.lit(v), const=v) for n, v in self.bindings.items()}, **_env(child.variables)}
         return Solutions(child.df.where(compile_expr(node.condition, env).truth()), child.variables, child.certain)
 
     def _extend(self, node: A.Extend) -> Solutions:
@@ -262,17 +281,23 @@ class Compiler:
 
     # --------------------------------------------------------------- aggregation
     def _group(self, node: A.Group) -> Solutions:
-        child = self.compile(node.child)
-        env = _env(child.variables)
-        keys = [compile_expr(e, env).term().alias(v) for v, e in node.keys]
+        raw = self._raw(node.child)
+        if raw is not None:
+            child, env = Solutions(raw.df, tuple(raw.variables), frozenset(raw.variables)), self._values_of(raw)
+        else:
+            child = self.compile(node.child)
+            env = _env(child.variables)
+        # groups are formed on raw keys where a key is a plain variable, and named afterwards
+        made_of = {v: raw.variables[e.name] for v, e in node.keys if raw is not None and isinstance(e, A.Ref) and raw.variables.get(e.name, Variable()).template}
+        keys = [(F.col(f"`{e.name}`") if v in made_of else compile_expr(e, env).term()).alias(v) for v, e in node.keys]
         made = [(v, a, *self._aggregate(a, env)) for v, a in node.aggregates]
         df = child.df.groupBy(*keys).agg(*[c.alias(f"{v}#{i}") for v, _, columns, _ in made for i, c in enumerate(columns)] or [F.lit(0).alias("_")])
-        out = [F.col(f"`{v}`") for v, _ in node.keys]
+        out = [made_of.get(v, Variable()).term(F.col(f"`{v}`")).alias(v) for v, _ in node.keys]
         out += [finish(*[F.col(f"`{v}#{i}`") for i in range(len(columns))]).alias(v) for v, _, columns, finish in made]
         certain = {v for v, e in node.keys if isinstance(e, A.Ref) and e.name in child.certain} | {v for v, a in node.aggregates if a.function == "count"}
         return Solutions(df.select(*out), (*(v for v, _ in node.keys), *(v for v, _ in node.aggregates)), frozenset(certain))
 
-    def _aggregate(self, a: A.Aggregate, env: dict[str, Column]):
+    def _aggregate(self, a: A.Aggregate, env: dict[str, Value]):
         """Columns to aggregate, and what makes the term of them. A number that
         is no number makes sum and avg an error."""
 
@@ -280,8 +305,7 @@ class Compiler:
             return Value(exact_=n.cast("decimal(38,10)"), double_=n.cast("double"), integer=F.lit(True)).term()
 
         if a.expr is None:
-            columns = _env(sorted(env))
-            counted = F.count_distinct(F.struct(*columns.values())) if a.distinct else F.count(F.lit(1))
+            counted = F.count_distinct(F.struct(*[env[v].term().alias(v) for v in sorted(env)])) if a.distinct else F.count(F.lit(1))
             return [counted], integer
         v = compile_expr(a.expr, env)
         t = v.term()
@@ -320,7 +344,7 @@ class Compiler:
 
         def at(x: A.Position) -> Column:
             if isinstance(x, A.Var):
-                return env.get(x.name, F.lit(self.bindings.get(x.name)).cast("string"))
+                return env[x.name].key if x.name in env else F.lit(self.bindings.get(x.name)).cast("string")
             if x.startswith("_:"):
                 return F.concat(F.lit(x + "-"), F.col("_row").cast("string"))
             return F.lit(x)

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from dataclasses import dataclass
+from datetime import UTC, datetime
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -17,12 +18,16 @@ from pyspark.sql import functions as F
 from quadlake.functions import terms
 from quadlake.functions.terms import XSD
 from quadlake.plans import algebra as A
+from quadlake.sources.mapping import Literal, Template, Variable
 
 #: Datatypes of exact and of floating numbers.
 INTEGERS = "integer nonPositiveInteger negativeInteger long int short byte nonNegativeInteger unsignedLong unsignedInt unsignedShort unsignedByte positiveInteger".split()
 EXACT = ["decimal", *INTEGERS]
 FLOATING = ["double", "float"]
 _DECIMAL = "decimal(38,10)"
+#: Lexical forms; a cast alone would also take what other notations allow.
+_NUMBER = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)"
+_FORMS = {"integer": r"^[+-]?[0-9]+$", "decimal": _NUMBER + "$", "double": _NUMBER + r"([eE][+-]?[0-9]+)?$"}
 _TRUE, _FALSE = f'"true"^^<{XSD}boolean>', f'"false"^^<{XSD}boolean>'
 
 
@@ -37,13 +42,27 @@ def _types(names: list[str]) -> list[str]:
 
 @dataclass
 class Value:
-    """One of term, truth and number (an exact and a floating Column)."""
+    """One of term, truth and number (an exact and a floating Column).
+
+    known: the sort the value has if it is not null (number, moment, text,
+    boolean, resource or other), where that is certain before it runs; then
+    only the forms given exist, and nothing is decoded from the key.
+    """
 
     key: Column | None = None
     bool_: Column | None = None
     exact_: Column | None = None
     double_: Column | None = None
     integer: Column | None = None
+    #: a dateTime as timestamp_ntz in UTC
+    ntz: Column | None = None
+    text_: Column | None = None
+    known: str | None = None
+    #: the key, if it is constant
+    const: str | None = None
+
+    def _decodes(self) -> bool:
+        return self.key is not None and self.known is None
 
     # --------------------------------------------------------------- as a term
     def term(self) -> Column:
@@ -58,23 +77,37 @@ class Value:
         return F.coalesce(exact, F.concat(F.lit('"'), self.double_.cast("string"), F.lit(f'"^^<{XSD}double>')))
 
     # ------------------------------------------------------------- typed forms
-    def _typed(self, names: list[str], cast: str) -> Column:
-        return F.when(terms.suffix(self.key).isin(*_types(names)), _trim(terms.lex(self.key)).try_cast(cast))
-
     def exact(self) -> Column:
-        if self.key is not None:
-            return self._typed(EXACT, _DECIMAL)
+        if self._decodes():
+            end, lex = terms.suffix(self.key), _trim(terms.lex(self.key))
+            fits = end.isin(*_types(INTEGERS)) & lex.rlike(_FORMS["integer"]) | (end == _types(["decimal"])[0]) & lex.rlike(_FORMS["decimal"])
+            return F.when(fits, lex.try_cast(_DECIMAL))
         return F.lit(None).cast(_DECIMAL) if self.exact_ is None else self.exact_
 
     def double(self) -> Column:
-        if self.key is not None:
-            lex = _trim(terms.lex(self.key))
-            special = F.when(lex == "INF", F.lit("Infinity")).when(lex == "-INF", F.lit("-Infinity")).otherwise(lex)
-            return F.when(terms.suffix(self.key).isin(*_types(EXACT + FLOATING)), special.try_cast("double"))
+        if self._decodes():
+            end, lex = terms.suffix(self.key), _trim(terms.lex(self.key))
+            special = F.when(lex == "INF", float("inf")).when(lex == "-INF", float("-inf")).when(lex == "NaN", float("nan"))
+            floating = F.coalesce(special, F.when(lex.rlike(_FORMS["double"]), lex.try_cast("double")))
+            plain = F.when(lex.rlike(_FORMS["decimal"]), lex.try_cast("double"))
+            return F.when(end.isin(*_types(FLOATING)), floating).when(end.isin(*_types(EXACT)), plain)
         return F.lit(None).cast("double") if self.double_ is None else self.double_
 
+    def sort(self) -> str | None:
+        if self.known is not None:
+            return self.known
+        if self.const is None:
+            return "boolean" if self.bool_ is not None else "number" if self.double_ is not None else None
+        t = terms.decode(self.const)
+        if t.kind != "literal":
+            return "resource"
+        name = (t.datatype or XSD + "string").removeprefix(XSD)
+        if t.language or name == "string":
+            return None if t.language else "text"
+        return "number" if name in EXACT + FLOATING else {"boolean": "boolean", "dateTime": "moment"}.get(name)
+
     def is_integer(self) -> Column:
-        if self.key is not None:
+        if self._decodes():
             return terms.suffix(self.key).isin(*_types(INTEGERS))
         return F.lit(False) if self.integer is None else self.integer
 
@@ -82,36 +115,40 @@ class Value:
         """The value of a boolean literal; null for all else."""
         if self.bool_ is not None:
             return self.bool_
-        if self.key is None:
+        if not self._decodes():
             return F.lit(None).cast("boolean")
         lex = _trim(terms.lex(self.key))
         return F.when(terms.suffix(self.key) == f"^^<{XSD}boolean>", F.when(lex.isin("true", "1"), True).when(lex.isin("false", "0"), False))
 
     def moment(self) -> Column:
-        """The instant of an xsd:dateTime, UTC if it has no zone."""
-        if self.key is None:
-            return F.lit(None).cast("timestamp")
+        """The instant of an xsd:dateTime in microseconds; UTC if it has no zone."""
+        if self.ntz is not None:
+            return F.timestamp_diff("MICROSECOND", F.expr("timestamp_ntz'1970-01-01 00:00:00'"), self.ntz)
+        if not self._decodes():
+            return F.lit(None).cast("bigint")
         lex = _trim(terms.lex(self.key))
         zoned = F.when(lex.rlike(r"(Z|[+-]\d{2}:\d{2})$"), lex).otherwise(F.concat(lex, F.lit("Z")))
-        return F.when((terms.suffix(self.key) == f"^^<{XSD}dateTime>") & lex.rlike(r"^\d{4}-\d{2}-\d{2}T"), zoned.try_cast("timestamp"))
+        return F.when((terms.suffix(self.key) == f"^^<{XSD}dateTime>") & lex.rlike(r"^\d{4}-\d{2}-\d{2}T"), F.unix_micros(zoned.try_cast("timestamp")))
 
     def text(self) -> Column:
         """The label of a plain or xsd:string literal."""
-        if self.key is None:
+        if self.text_ is not None:
+            return self.text_
+        if not self._decodes():
             return F.lit(None).cast("string")
         return F.when(terms.suffix(self.key).isin("", f"^^<{XSD}string>"), terms.lex(self.key))
 
     def label(self) -> Column:
         """The label of a literal with or without language tag, for string functions."""
-        if self.key is None:
-            return terms.lex(self.term())
-        return terms.lex(self.key)
+        return self.text_ if self.text_ is not None else terms.lex(self.term())
 
     def truth(self) -> Column:
         """Effective boolean value; an invalid boolean or number is false."""
         if self.bool_ is not None:
             return self.bool_
-        if self.key is None:
+        if self.text_ is not None:
+            return F.length(self.text_) > 0
+        if self.double_ is not None:
             d = self.double()
             return (d != 0) & ~F.isnan(d)
         end = terms.suffix(self.key)
@@ -129,20 +166,54 @@ def _number_compare(a: Value, b: Value, test) -> Column:
     return F.coalesce(test(a.exact(), b.exact()), F.when(F.isnan(x) | F.isnan(y), F.lit(False)).otherwise(test(x, y)))
 
 
+def _comparisons(a: Value, b: Value, test) -> list[Column]:
+    """The tests by value that can apply: all, or only that of a side whose
+    sort is known."""
+    by_sort = {
+        "number": lambda: _number_compare(a, b, test),
+        "text": lambda: test(a.text(), b.text()),
+        "moment": lambda: _moment_compare(a, b, test),
+        "boolean": lambda: test(a.boolean(), b.boolean()),
+    }
+    known = a.sort() or b.sort()
+    if known:
+        return [by_sort[known]()] if known in by_sort else [F.lit(None).cast("boolean")]
+    return [make() for make in by_sort.values()]
+
+
+def _moment_compare(a: Value, b: Value, test) -> Column:
+    """A column of moments against a constant is compared as it is stored, so
+    that the condition can reach the scan."""
+
+    def utc(v: Value) -> Column | None:
+        if v.ntz is not None or v.const is None:
+            return v.ntz
+        try:
+            at = datetime.fromisoformat(terms.decode(v.const).value.strip())
+        except ValueError:
+            return None
+        at = at.astimezone(UTC).replace(tzinfo=None) if at.tzinfo else at
+        return F.expr(f"timestamp_ntz'{at.isoformat(sep=' ')}'")
+
+    x, y = utc(a), utc(b)
+    if (a.ntz is not None or b.ntz is not None) and x is not None and y is not None:
+        return test(x, y)
+    return test(a.moment(), b.moment())
+
+
 def equal(a: Value, b: Value) -> Column:
     """``=``: equality of values where the types have one, else of terms; two
     different literals that cannot be compared as values are an error."""
     ta, tb = a.term(), b.term()
+    if "resource" in (a.sort(), b.sort()):
+        return ta == tb
     both_literals = terms.is_literal(ta) & terms.is_literal(tb)
     by_term = F.when(ta == tb, True).when(~both_literals, False)
-    return F.coalesce(_number_compare(a, b, lambda x, y: x == y), a.boolean() == b.boolean(), a.moment() == b.moment(), a.text() == b.text(), by_term)
+    return F.coalesce(*_comparisons(a, b, lambda x, y: x == y), by_term)
 
 
 def less(a: Value, b: Value, or_equal: bool = False) -> Column:
-    def test(x: Column, y: Column) -> Column:
-        return x <= y if or_equal else x < y
-
-    return F.coalesce(_number_compare(a, b, test), test(a.text(), b.text()), test(a.moment(), b.moment()), test(a.boolean(), b.boolean()))
+    return F.coalesce(*_comparisons(a, b, lambda x, y: x <= y if or_equal else x < y))
 
 
 def _arithmetic(a: Value, b: Value, op: str) -> Value:
@@ -171,7 +242,7 @@ def regex(text: Column, pattern: str, flags: str = "") -> Column:
 
 def _cast(v: Value, kind: str) -> Value:
     lex = _trim(terms.string_value(v.term()))
-    number = {"integer": "decimal(38,0)", "int": "int", "long": "bigint", "decimal": _DECIMAL, "double": "double", "float": "float"}
+    number = ("integer", "int", "long", "decimal", "double", "float")
     if kind == "string":
         return Value(key=F.when(~terms.is_bnode(v.term()), F.concat(F.lit('"'), terms.string_value(v.term()), F.lit(f'"^^<{XSD}string>'))))
     if kind == "boolean":
@@ -179,7 +250,12 @@ def _cast(v: Value, kind: str) -> Value:
         return Value(bool_=F.coalesce(v.boolean(), from_number, F.when(lex.isin("true", "1"), True).when(lex.isin("false", "0"), False)))
     if kind in number:
         by_truth = F.when(v.boolean(), "1").when(~v.boolean(), "0")
-        x = F.coalesce(by_truth, lex).try_cast("double" if kind in FLOATING else _DECIMAL)
+        text = F.coalesce(by_truth, lex)
+        form = "double" if kind in FLOATING else "decimal" if kind == "decimal" else "integer"
+        own = v.double() if kind in FLOATING else v.exact()
+        x = F.coalesce(own, F.when(text.rlike(_FORMS[form]), text.try_cast("double" if kind in FLOATING else _DECIMAL)))
+        if kind not in FLOATING:  # a floating number loses its fraction or its excess digits
+            x = F.coalesce(x, v.double().try_cast(_DECIMAL))
         if kind in FLOATING:
             return Value(exact_=F.lit(None).cast(_DECIMAL), double_=x, integer=F.lit(False))
         if kind != "decimal":
@@ -195,17 +271,37 @@ def _string(c: Column) -> Value:
     return Value(key=F.concat(F.lit('"'), c, F.lit('"')))
 
 
-def compile_expr(e: A.Expr, env: Mapping[str, Column]) -> Value:
-    """env: the term column of each variable in scope; others are unbound."""
+def mapped(variable: Variable, raw: Column) -> Value:
+    """The value of a relation's column, without going through its term."""
+    key = variable.term(raw)
+    if isinstance(variable.made, Template):
+        return Value(key=key, known="resource")
+    if not isinstance(variable.made, Literal):
+        return Value(key=key)
+    kind = variable.made.kind
+    if kind == "integer":
+        return Value(key=key, exact_=raw.cast(_DECIMAL), double_=raw.cast("double"), integer=F.lit(True), known="number")
+    if kind == "decimal":
+        exact = raw.cast("decimal(18,2)")
+        return Value(key=key, exact_=exact.cast(_DECIMAL), double_=exact.cast("double"), integer=F.lit(False), known="number")
+    if kind == "dateTime":
+        return Value(key=key, ntz=raw, known="moment")
+    if kind in ("plain", "string"):
+        return Value(key=key, text_=raw, known="text")
+    return Value(key=key)
+
+
+def compile_expr(e: A.Expr, env: Mapping[str, Value]) -> Value:
+    """env: the value of each variable in scope; others are unbound."""
     if isinstance(e, A.Ref):
-        return Value(key=env.get(e.name, F.lit(None).cast("string")))
+        return env.get(e.name) or Value(key=F.lit(None).cast("string"))
     if isinstance(e, A.Const):
-        return Value(key=F.lit(e.key))
+        return Value(key=F.lit(e.key), const=e.key)
     if not isinstance(e, A.Call):
         raise TypeError(f"not an expression: {e!r}")
     name = e.name
     if name == "bound":
-        return Value(bool_=env[e.args[0].name].isNotNull() if e.args[0].name in env else F.lit(False))
+        return Value(bool_=env[e.args[0].name].term().isNotNull() if e.args[0].name in env else F.lit(False))
     args = [compile_expr(a, env) for a in e.args]
     if name == "&&":
         return Value(bool_=args[0].truth() & args[1].truth())
@@ -214,9 +310,7 @@ def compile_expr(e: A.Expr, env: Mapping[str, Column]) -> Value:
     if name == "!":
         return Value(bool_=~args[0].truth())
     if name in ("=", "!="):
-        resource = next((a.key for a in e.args if isinstance(a, A.Const) and a.key[0] != '"'), None)
-        # a constant IRI equals only the same term: a condition the scan can use
-        found = args[0].term() == args[1].term() if resource else equal(*args)
+        found = equal(*args)
         return Value(bool_=found if name == "=" else ~found)
     if name in ("<", "<="):
         return Value(bool_=less(args[0], args[1], name == "<="))

@@ -168,9 +168,13 @@ _query("cross_product_small", M, "SELECT ?a ?b WHERE { GRAPH g:geo { ?a ex:regio
        f"SELECT {i('nation', 'a.n_nationkey')} AS a, {i('region', 'b.n_regionkey')} AS b FROM nation a, nation b")
 _query("optional_licence", M, "SELECT ?d ?l WHERE { ?d ex:chars ?n OPTIONAL { ?d ex:licence ?l } }",
        f"SELECT {i('doc', 'doc_id')} AS d, {plain('licence_file')} AS l FROM documents WHERE n_chars IS NOT NULL")
+#: The numeric datatypes, and a valid numeric label as a double.
+_NUMERIC = "(decimal|double|float|integer|nonPositiveInteger|negativeInteger|long|int|short|byte|nonNegativeInteger|unsignedLong|unsignedInt|unsignedShort|unsignedByte|positiveInteger)"
+_BARE = """trim(regexp_extract(o, '^"((?s:.*))"', 1), chr(13) || chr(10) || chr(9) || ' ')"""
+_AS_DOUBLE = f"""CASE WHEN regexp_full_match({_BARE}, '[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?|-?INF|NaN')
+  AND (regexp_matches(o, '(double|float)>$') OR regexp_full_match({_BARE}, '[0-9.+-]+')) THEN TRY_CAST(replace({_BARE}, 'INF', 'Infinity') AS DOUBLE) END"""
 _query("optional_filter_inside", Q, "SELECT ?s ?h WHERE { ?s v:status ?t OPTIONAL { ?s v:height ?h FILTER(?h > 500) } }",
-       _SET + f""", h AS (SELECT s, o FROM q WHERE p = '<{V}height>' AND regexp_matches(o, '"\\^\\^<{XSD}(decimal|double|integer)>$')
-           AND TRY_CAST(replace(trim(regexp_extract(o, '^"((?s:.*))"', 1), chr(10) || chr(9) || ' '), 'INF', 'Infinity') AS DOUBLE) > 500)
+       _SET + f""", h AS (SELECT s, o FROM q WHERE p = '<{V}height>' AND regexp_matches(o, '"\\^\\^<{XSD}{_NUMERIC}>$') AND {_AS_DOUBLE} > 500 AND NOT isnan({_AS_DOUBLE}))
          SELECT a.s AS s, h.o AS h FROM q a LEFT JOIN h ON a.s = h.s WHERE a.p = '{_STATUS}'""")
 _query("optional_chained_maybe_unbound", M, """SELECT ?n ?x ?r WHERE { ?n ex:region ?y OPTIONAL { ?n ex:acctbal ?r } { ?z ex:name ?x . FILTER(?x = "ASIA") OPTIONAL { ?z ex:region ?r } } }""",
        f"SELECT {i('nation', 'n_nationkey')} AS n, {plain('r_name')} AS x, {NONE} AS r FROM nation, region WHERE r_name = 'ASIA'")
@@ -212,7 +216,7 @@ _query("filter_sameterm", Q, 'SELECT ?s WHERE { ?s v:status ?o FILTER(SAMETERM(?
 _query("filter_bound", M, "SELECT ?d WHERE { ?d ex:chars ?n OPTIONAL { ?d ex:repo ?r } FILTER(BOUND(?r)) }",
        f"SELECT {i('doc', 'doc_id')} AS d FROM documents WHERE n_chars IS NOT NULL AND repo IS NOT NULL")
 _query("filter_logic_error", Q, "SELECT ?s ?o WHERE { ?s v:count ?o FILTER(?o > 4000 || ISIRI(?s) && ?o < 5) }",
-       _SET + f""", n AS (SELECT s, o, CASE WHEN o LIKE '%"^^<{XSD}integer>' OR o LIKE '%"^^<{XSD}decimal>' THEN TRY_CAST(trim(regexp_extract(o, '^"(.*)"', 1)) AS DECIMAL(38,10)) END AS v FROM q WHERE p = '<{V}count>')
+       _SET + f""", n AS (SELECT s, o, CASE WHEN regexp_matches(o, '"\\^\\^<{XSD}{_NUMERIC}>$') THEN {_AS_DOUBLE} END AS v FROM q WHERE p = '<{V}count>')
          SELECT s, o FROM n WHERE v > 4000 OR (starts_with(s, '<') AND v < 5)""")
 _query("filter_sparql_in", M, 'SELECT ?p ?b WHERE { ?p ex:brand ?b FILTER(?b IN ("Brand#1", "Brand#2")) }',
        f"SELECT {i('part', 'p_partkey')} AS p, {plain('p_brand')} AS b FROM part WHERE p_brand IN ('Brand#1', 'Brand#2')")

@@ -62,8 +62,11 @@ class Literal:
     kind: str = "plain"
     tag: str | None = None
 
-    def _lex(self) -> Column:
-        c = F.col(self.column)
+    def raw(self) -> Column:
+        """The column, with its tag if the literal has one."""
+        return F.col(self.column) if self.kind != "lang" else F.struct(F.col(self.column).alias("text"), F.col(self.tag).alias("tag"))
+
+    def _lex(self, c: Column) -> Column:
         if self.kind == "decimal":
             return c.cast("decimal(18,2)").cast("string")
         if self.kind == "dateTime":
@@ -72,13 +75,12 @@ class Literal:
             return F.when(F.date_format(c, "SSSSSS") == "000000", whole).otherwise(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
         return c.cast("string")
 
-    def term(self) -> Column:
+    def term(self, raw: Column) -> Column:
         if self.kind == "lang":
-            tag = F.col(self.tag)
+            tag = raw["tag"]
             end = F.when(F.length(tag) > 0, F.concat(F.lit('"@'), tag)).otherwise(F.lit('"'))
-        else:
-            end = F.lit('"' if self.kind == "plain" else f'"^^<{XSD}{self.kind}>')
-        return F.concat(F.lit('"'), self._lex(), end)
+            return F.concat(F.lit('"'), raw["text"], end)
+        return F.concat(F.lit('"'), self._lex(raw), F.lit('"' if self.kind == "plain" else f'"^^<{XSD}{self.kind}>'))
 
     def match(self, term: str) -> Column | None:
         if not term.startswith('"'):
@@ -98,7 +100,7 @@ class Literal:
                 return None
             tag = F.col(self.tag)
             return (F.col(self.column) == lex) & (F.coalesce(tag, F.lit("")) == end[1:])
-        return self.term() == term
+        return self.term(self.raw()) == term
 
 
 @dataclass(frozen=True)
@@ -114,9 +116,19 @@ class Branch:
 
 @dataclass(frozen=True)
 class Variable:
-    """A column of a relation that holds keys of a template; None: term keys."""
+    """What a relation's column holds: keys of a template, raw values of a
+    literal's column, or (None) term keys."""
+
+    made: Template | Literal | None = None
+
+    @property
+    def template(self) -> Template | None:
+        return self.made if isinstance(self.made, Template) else None
 
-    template: Template | None = None
+    def term(self, raw: Column) -> Column:
+        if self.made is None:
+            return raw
+        return self.made.term(raw)
 
 
 @dataclass
@@ -127,8 +139,7 @@ class Relation:
     variables: dict[str, Variable] = field(default_factory=dict)
 
     def terms(self) -> DataFrame:
-        out = [(F.col(f"`{v}`") if x.template is None else x.template.term(F.col(f"`{v}`"))).alias(v) for v, x in self.variables.items()]
-        return self.df.select(*out)
+        return self.df.select(*[x.term(F.col(f"`{v}`")).alias(v) for v, x in self.variables.items()])
 
 
 class MappedQuads(QuadSource):
@@ -158,7 +169,7 @@ class MappedQuads(QuadSource):
     def _union(self, options: list[tuple[Branch, list[Column]]]) -> DataFrame:
         out = None
         for b, conditions in options:
-            made = b.object.term(b.object.key()) if isinstance(b.object, Template) else b.object.term()
+            made = b.object.term(b.object.key() if isinstance(b.object, Template) else b.object.raw())
             present = [F.col(c).isNotNull() for c in self._columns(b)]
             rows = table(self.spark, self.folder, b.table).where(reduce(Column.__and__, [*present, *conditions])).select(
                 b.subject.term(b.subject.key()).alias("s"), F.lit(b.predicate).alias("p"), made.alias("o"), F.lit(b.graph).cast("string").alias("c")
@@ -167,6 +178,17 @@ class MappedQuads(QuadSource):
             out = rows if out is None else out.unionByName(rows)
         return self.spark.createDataFrame([], SCHEMA) if out is None else out
 
+    def contexts(self) -> DataFrame:
+        """A graph is there if one row of one of its branches is: no branch is
+        read further than that."""
+        out = None
+        for b in self.branches:
+            if b.graph is not None:
+                rows = table(self.spark, self.folder, b.table).where(reduce(Column.__and__, [F.col(c).isNotNull() for c in self._columns(b)]))
+                one = rows.limit(1).select(F.lit(b.graph).alias("c"))
+                out = one if out is None else out.unionByName(one)
+        return self.spark.createDataFrame([], "c string") if out is None else out.distinct()
+
     def relations(self, patterns: list[tuple[str | None, str, str | None, str | None, str | None]], contexts: Iterable[str | None] = ()) -> list[Relation]:
         """Relations whose join gives the patterns (subject term, subject
         variable, predicate, object term, object variable; one of each pair is
@@ -229,9 +251,8 @@ class MappedQuads(QuadSource):
         for (_, _, _, _, v), option in zip(patterns, found):
             if v is not None:
                 o = option[0][0].object
-                keyed = isinstance(o, Template)
-                variables[v] = Variable(o if keyed else None)
-                columns.append((o.key() if keyed else o.term()).alias(v))
+                variables[v] = Variable(o)
+                columns.append((o.key() if isinstance(o, Template) else o.raw()).alias(v))
         rows = rows.select(*columns)
         return Relation(rows if first.unique else rows.distinct(), variables)
 

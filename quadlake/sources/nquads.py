@@ -48,14 +48,16 @@ def parse_lines(lines: DataFrame, column: str = "value") -> DataFrame:
     """s, p, o, c and ok of every line that is neither empty nor a comment; a
     line that is no quad has ok false and nulls."""
     text = F.col(column)
-    rows = lines.where(~text.rlike(r"^\s*(#.*)?$"))
-    parts = [F.when(text.rlike(_LINE), F.regexp_extract(text, _LINE, i)) for i in range(1, 5)]
+    # a line has no line break, so one can hold its parts apart
+    parts = F.split(F.regexp_replace(text, _LINE, "$1\n$2\n$3\n$4"), "\n")
+    rows = lines.where(~text.rlike(r"^\s*(#.*)?$")).select(parts.alias("_parts"))
+    rows = rows.select(*[F.when(F.size("_parts") == 4, F.col("_parts")[i]).alias(f"_{n}") for i, n in enumerate("spoc")])
 
     def key(x: Column) -> Column:
         body = F.concat(F.lit('"'), _unescape(terms.lex(x)), F.lit('"'), terms.suffix(x))
         return F.when(terms.is_literal(x), body).when(terms.is_uri(x), _unescape(x)).otherwise(x)
 
-    return rows.select(*[p.alias(f"_{n}") for n, p in zip("spoc", parts)]).select(
+    return rows.select(
         *[key(F.col(f"_{n}")).alias(n) for n in "spo"], F.when(F.col("_c") != "", key(F.col("_c"))).alias("c"), F.col("_s").isNotNull().alias("ok")
     )
 

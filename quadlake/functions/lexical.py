@@ -21,26 +21,24 @@ COLUMN_TYPES = {
     "timestamp": T.TimestampNTZType(),
 }
 
-_SPACE = r"[\t-\r\x1c-\x1f\x85\p{Z}]+"
+#: White space that surrounds a value without being part of it.
+_SPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0                　"
 _DATE = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"
-_TIME = r"^([0-9]{4}-[0-9]{2}-[0-9]{2})T([0-9]{2}:[0-9]{2}:[0-9]{2})(?:\.([0-9]+))?(Z|[+-][0-9]{2}:[0-9]{2})?$"
+_TIME = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T([01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9](\.[0-9]+)?(Z|[+-]([01][0-9]|2[0-3]):[0-5][0-9])?$"
 
 
 def trim(x: Column) -> Column:
-    return F.regexp_replace(x, f"^{_SPACE}|{_SPACE}$", "")
-
-
-def _signed(negative: Column, digits: Column, zero: Column) -> Column:
-    return F.when(negative & ~zero, F.concat(F.lit("-"), digits)).otherwise(digits)
+    return F.btrim(x, F.lit(_SPACE))
 
 
 def norm_number(x: Column, point: bool) -> Column:
     """Sign, digits without outer zeros; exact for any number of digits."""
+    bare = F.regexp_replace(x, r"^(?:\+|(-))?0*([0-9]*)$", "$1$2")
+    if point:
+        split = F.rtrim(F.regexp_replace(x, r"^(?:\+|(-))?0*([0-9]*)\.([0-9]*?)0*$", "$1$2.$3"), F.lit("."))
+        bare = F.when(F.instr(x, ".") > 0, split).otherwise(bare)
     fits = x.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)$" if point else r"^[+-]?[0-9]+$")
-    whole = F.regexp_replace(F.regexp_extract(x, r"^[+-]?([0-9]*)", 1), "^0+", "")
-    part = F.regexp_replace(F.regexp_extract(x, r"\.([0-9]*)$", 1), "0+$", "") if point else F.lit("")
-    digits = F.concat(F.when(whole == "", "0").otherwise(whole), F.when(part == "", "").otherwise(F.concat(F.lit("."), part)))
-    return F.when(fits, _signed(x.startswith("-"), digits, digits == "0"))
+    return F.when(fits, F.when(bare.isin("", "-"), "0").otherwise(bare))
 
 
 def norm_boolean(x: Column) -> Column:
@@ -48,26 +46,26 @@ def norm_boolean(x: Column) -> Column:
 
 
 def _real_day(x: Column) -> Column:
-    return F.when(x.rlike(_DATE) & ~x.startswith("0000"), x.try_cast("date"))
+    return F.when(~x.startswith("0000"), x.try_cast("date"))
 
 
 def norm_date(x: Column) -> Column:
-    return F.when(_real_day(x).isNotNull(), x)
+    return F.when(x.rlike(_DATE) & _real_day(x).isNotNull(), x)
 
 
 def norm_timestamp(x: Column) -> Column:
     """Epoch second, then the fraction without closing zeros: the instant in UTC."""
 
-    def part(n: int) -> Column:
-        return F.regexp_extract(x, _TIME, n)
+    def number(text: Column, at: int) -> Column:
+        return F.substring(text, at, 2).try_cast("int")
 
-    day, clock, fraction, zone = _real_day(part(1)), part(2), F.regexp_replace(part(3), "0+$", ""), part(4)
-    h, m, s = (F.substring(clock, i, 2).try_cast("int") for i in (1, 4, 7))
-    zh, zm = (F.coalesce(F.substring(zone, i, 2).try_cast("int"), F.lit(0)) for i in (2, 5))
-    offset = F.when(zone.startswith("-"), -1).otherwise(1) * (zh * 3600 + zm * 60)
-    fits = day.isNotNull() & (h < 24) & (m < 60) & (s < 60) & (zh < 24) & (zm < 60)
-    second = F.unix_date(day).cast("long") * 86400 + h * 3600 + m * 60 + s - offset
-    return F.when(fits, F.concat(second.cast("string"), F.when(fraction == "", "").otherwise(F.concat(F.lit("."), fraction))))
+    tail = F.substring(x, F.lit(20), F.length(x))
+    zone = F.when(tail.rlike(r"[+-][0-9]{2}:[0-9]{2}$"), F.substring(tail, -6, 6))
+    offset = F.when(zone.startswith("-"), -1).otherwise(1) * (number(zone, 2) * 3600 + number(zone, 5) * 60)
+    clock = number(x, 12) * 3600 + number(x, 15) * 60 + number(x, 18)
+    second = F.unix_date(_real_day(F.substring(x, 1, 10))).cast("long") * 86400 + clock - F.coalesce(offset, F.lit(0))
+    fraction = F.when(tail.startswith("."), F.regexp_extract(tail, r"^(\.[0-9]*?)0*(?:[Z+-].*)?$", 1)).otherwise(F.lit(""))
+    return F.when(x.rlike(_TIME), F.concat(second.cast("string"), F.rtrim(fraction, F.lit("."))))
 
 
 def normal_form(value_type: Column, key: Column, label: Column, trimmed: Column) -> Column:

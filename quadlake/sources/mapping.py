@@ -113,6 +113,10 @@ class Branch:
     #: the subject is a key of the table, so its rows give each quad once
     unique: bool = True
 
+    def determined(self) -> bool:
+        """The subject says what the object is, being made of its columns too."""
+        return isinstance(self.object, Template) and set(self.object.columns) <= set(self.subject.columns)
+
 
 @dataclass(frozen=True)
 class Variable:
@@ -221,7 +225,7 @@ class MappedQuads(QuadSource):
             found = kept
         groups: dict[object, list[int]] = {}
         for i, ((_, sv, _, _, _), options) in enumerate(zip(patterns, found)):
-            alone = len(options) != 1 or sv is None or not options[0][0].unique
+            alone = len(options) != 1 or sv is None or not (options[0][0].unique or options[0][0].determined())
             groups.setdefault(i if alone else (sv, options[0][0].table, options[0][0].subject), []).append(i)
         out = []
         for group in groups.values():

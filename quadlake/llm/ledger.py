@@ -25,7 +25,8 @@ _BREAK = r"[;|\n\x0b\x0c\r\x{85}\x{2028}\x{2029}]"
 def words(text: Column) -> Column:
     """The words of a text in one letter case, one blank between them. A word
     is a run of letters and digits."""
-    one_case = F.translate(F.lower(F.upper(text)), "ς", "σ")
+    # upper case first: it has one form for letters with two small ones (s, final sigma)
+    one_case = F.translate(F.lower(F.replace(F.upper(text), F.lit("\u1e9e"), F.lit("SS"))), "\u03c2", "\u03c3")
     return F.trim(F.regexp_replace(one_case, r"[^\p{L}\p{N}]+", " "))
 
 

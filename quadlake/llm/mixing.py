@@ -111,7 +111,7 @@ def sized_documents(docs: DataFrame, targets: Targets, weights: np.ndarray, path
         for batch in text_batches(batches, 1):
             encoder, texts, sources = get(), batch.column(1).to_pylist(), batch.column(2).to_pylist()
             tokens = [encoder.count(t) for t in texts]
-            member = [None if s is not None else posteriors(weights, features(encoder, t)[None])[0].tolist() for s, t in zip(sources, texts)]
+            member = [None if s is not None or not targets.sources else posteriors(weights, features(encoder, t)[None])[0].tolist() for s, t in zip(sources, texts)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(tokens, pa.int64()), pa.array(member, pa.list_(pa.float64()))], names=["doc_id", "source", "tokens", "member"])
 
     return rows.mapInArrow(run, _SIZED.format(kind=docs.schema["doc_id"].dataType.simpleString()))
@@ -233,7 +233,7 @@ def with_copies(rated: DataFrame, n_rows: int, group_rows: int = GROUP_ROWS) ->
     document, and extras fall evenly over all sizes.
     """
     groups = max(1, -(-n_rows // group_rows))
-    key = F.xxhash64(F.col("doc_id").cast("string"))
+    key = F.xxhash64(F.col("doc_id").cast("string"), F.col("tokens"))
     rows = rated.withColumn("_g", F.pmod(key, F.lit(groups))).withColumn("_rate", F.round("rate", 9))
     rows = rows.withColumn("_f", F.col("_rate") - F.floor("_rate"))
     order = Window.partitionBy("domain", "_g").orderBy("tokens", key, "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -223,7 +223,8 @@ def neighbours(registers: DataFrame, key: str, m: int = M, base: float = BASE) -
     first = registers.select(F.col(key).alias("_previous"), "reg", F.col("level").alias("_i"), F.lit(0).alias("_j")).join(F.broadcast(order), "_previous")
     second = registers.select(F.col(key).alias("_key"), "reg", F.lit(0).alias("_i"), F.col("level").alias("_j")).join(F.broadcast(order), "_key")
     pairs = first.unionByName(second).groupBy("_previous", "_key", "reg").agg(F.max("_i").alias("i"), F.max("_j").alias("j"))
-    sets = pairs.groupBy("_previous", "_key").agg(F.collect_list("i").alias("i"), F.collect_list("j").alias("j"))  # at most m each
+    parts = int(registers.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # small rows, much work each: not to be coalesced
+    sets = pairs.groupBy("_previous", "_key").agg(F.collect_list("i").alias("i"), F.collect_list("j").alias("j")).repartition(parts, "_key")  # lists of at most m
     names = ["union", "union_error", "intersection", "intersection_error", "jaccard", "jaccard_error"]
 
     @F.pandas_udf(", ".join(f"`{x}` double" for x in names))

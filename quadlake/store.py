@@ -1,9 +1,11 @@
 """A quad store on immutable Parquet files.
 
-Every commit writes a new version of what changed and then a numbered pointer
-file that names the folders in force; a reader resolves the newest pointer once
-per connection call, so it sees a commit as a whole or not at all. Quads are a
-set of (s, p, o, c). The flag for inferred statements is accepted everywhere and
+A version is a numbered pointer file with a list of entries: folders of quads
+that were added, and patterns that were removed. An addition writes only the
+quads that are new, a removal writes nothing but its pattern, which hides the
+matching quads of all earlier entries; ``compact`` folds the list into one
+entry. Readers resolve the newest pointer once per call, so they see a commit
+as a whole or not at all. Quads are a set of (s, p, o, c). The flag for inferred statements is accepted everywhere and
 has no effect: all statements are alike.
 """
 
@@ -88,52 +90,101 @@ class QuadStore(QuadSource):
     def state(self) -> dict:
         """Folders and namespaces of the newest version."""
         v = self.version()
-        return json.loads(self.files.read(f"pointers/{v:012d}.json")) if v else {"quads": {}, "namespaces": {}}
+        return json.loads(self.files.read(f"pointers/{v:012d}.json")) if v else {"entries": [], "namespaces": {}}
 
     def publish(self, based_on: int, state: dict) -> None:
         if not self.files.create(f"pointers/{based_on + 1:012d}.json", json.dumps(state)):
             raise TransactionError("another commit came first")
 
-    def quads(self, state: dict | None = None, layout: int = 0) -> DataFrame:
-        folder = (self.state() if state is None else state)["quads"].get(str(layout))
-        return self.spark.read.schema(SCHEMA).parquet(f"{self.root}/{folder}") if folder else self.spark.createDataFrame([], SCHEMA)
-
-    def write(self, quads: DataFrame) -> dict[str, str]:
-        """Write a set of quads once per layout; file statistics on the sort
-        columns let scans skip row groups."""
+    def view(self, entries: list[dict], layout: int = 0) -> DataFrame:
+        """The quads of a list of entries. Folders that the same removals
+        follow are read as one table."""
+        parts: list[tuple[list[str], list[dict]]] = []
+        for i, e in enumerate(entries):
+            if "folders" not in e:
+                continue
+            after = [x["remove"] for x in entries[i + 1 :] if "remove" in x]
+            if {} in after:
+                continue  # everything was removed since
+            path = f"{self.root}/{e['folders'][str(layout)]}"
+            if parts and parts[-1][1] == after:
+                parts[-1][0].append(path)
+            else:
+                parts.append(([path], after))
+        out = None
+        for paths, after in parts:
+            rows = self.spark.read.schema(SCHEMA).parquet(*paths)
+            for r in after:
+                rows = rows.where(~removed(r))
+            out = rows if out is None else out.unionByName(rows)
+        return self.spark.createDataFrame([], SCHEMA) if out is None else out
+
+    def write(self, quads: DataFrame) -> dict:
+        """Write a set of quads once per layout, as an entry; file statistics
+        on the sort columns let scans skip row groups."""
         out = {}
         for i, layout in enumerate(self.config.layouts):
             rows = quads.repartitionByRange(*([layout.partitions] if layout.partitions else []), *layout.sort)
             out[str(i)] = f"quads-{uuid.uuid4().hex}"
             rows.sortWithinPartitions(*layout.sort).write.parquet(f"{self.root}/{out[str(i)]}")
-        return out
+        return {"folders": out}
+
+    def discard(self, entry: dict) -> None:
+        for folder in entry.get("folders", {}).values():
+            self.files.fs.delete(self.files.path(folder), True)
+
+    def compact(self) -> None:
+        """Write the quads of the newest version as one entry. Older folders
+        stay for readers of older versions."""
+        v, state = self.version(), self.state()
+        if len(state["entries"]) > 1:
+            self.publish(v, {**state, "entries": [self.write(self.view(state["entries"]))]})
+
+    def snapshot(self, entries: list[dict] | None = None) -> Snapshot:
+        return Snapshot(self, self.state()["entries"] if entries is None else entries)
+
+    def scan(self, s=None, p=None, o=None, contexts=()) -> DataFrame:
+        return self.snapshot().scan(s, p, o, contexts)
+
+    def query(self, query: str | Query | Node, bindings: dict[str, str] | None = None) -> DataFrame:
+        """The solutions of a query, all of whose patterns see one version."""
+        return execute(self.snapshot(), parse(query) if isinstance(query, str) else query, bindings)
+
+
+class Snapshot(QuadSource):
+    """The quads of a fixed list of entries."""
+
+    def __init__(self, store: QuadStore, entries: list[dict]):
+        self.store, self.entries = store, entries
 
     def best_layout(self, **bound: str | None) -> int:
         """The layout whose leading sort columns are bound, the first of equals."""
+        layouts = self.store.config.layouts
 
         def score(i: int) -> int:
-            sort = self.config.layouts[i].sort
+            sort = layouts[i].sort
             return next((n for n, c in enumerate(sort) if bound.get(c) is None), len(sort))
 
-        return max(range(len(self.config.layouts)), key=lambda i: (score(i), -i))
+        return max(range(len(layouts)), key=lambda i: (score(i), -i))
+
+    def quads(self) -> DataFrame:
+        return self.store.view(self.entries)
 
     def scan(self, s=None, p=None, o=None, contexts=()) -> DataFrame:
         contexts = list(contexts)
         one = contexts[0] if len(contexts) == 1 else None
-        return FrameQuads(self.quads(layout=self.best_layout(s=s, p=p, o=o, c=one)), is_set=True).scan(s, p, o, contexts)
-
-    def query(self, query: str | Query | Node, bindings: dict[str, str] | None = None) -> DataFrame:
-        return execute(self, parse(query) if isinstance(query, str) else query, bindings)
+        rows = self.store.view(self.entries, self.best_layout(s=s, p=p, o=o, c=one))
+        return FrameQuads(rows, is_set=True).scan(s, p, o, contexts)
 
 
 class Connection(QuadSource):
     """Reads and changes a store. Outside a transaction every change is
-    committed at once; inside one, changes are staged as plans and seen by this
-    connection only, until commit writes them or rollback forgets them."""
+    committed at once; inside one, changes are entries that only this
+    connection sees, until commit publishes them or rollback discards them."""
 
     def __init__(self, store: QuadStore):
         self.store, self.spark = store, store.spark
-        self._staged: DataFrame | None = None
+        self._own: list[dict] = []
         self._names: dict[str, str] | None = None
         self._based_on: int | None = None
         self._state: dict = {}
@@ -153,24 +204,28 @@ class Connection(QuadSource):
         if self._based_on is not None:
             raise TransactionError("a transaction is already open")
         self._based_on, self._state = self.store.version(), self.store.state()
-        self._staged, self._names = None, None
+
+    def _end(self) -> None:
+        self._own, self._names, self._based_on = [], None, None
 
     def commit(self) -> None:
         if self._based_on is None:
             raise TransactionError("no transaction is open")
-        state = dict(self._state)
-        if self._staged is not None:
-            state["quads"] = self.store.write(self._staged)
-        if self._names is not None:
-            state["namespaces"] = self._names
+        state = {"entries": self._state["entries"] + self._own, "namespaces": self._namespaces()}
         if state != self._state:
-            self.store.publish(self._based_on, state)
-        self._based_on = self._staged = self._names = None
+            try:
+                self.store.publish(self._based_on, state)
+            except TransactionError:
+                self.rollback()
+                raise
+        self._end()
 
     def rollback(self) -> None:
         if self._based_on is None:
             raise TransactionError("no transaction is open")
-        self._based_on = self._staged = self._names = None
+        for entry in self._own:
+            self.store.discard(entry)
+        self._end()
 
     def close(self) -> None:
         """Commits what is staged, like a connection that flushes on close."""
@@ -198,16 +253,15 @@ class Connection(QuadSource):
         return out
 
     # ---------------------------------------------------------------------- read
+    def snapshot(self) -> Snapshot:
+        self._check()
+        return self.store.snapshot(None if self._based_on is None else self._state["entries"] + self._own)
+
     def quads(self) -> DataFrame:
-        if self._staged is not None:
-            return self._staged
-        return self.store.quads(self._state if self._based_on is not None else None)
+        return self.snapshot().quads()
 
     def scan(self, s=None, p=None, o=None, contexts=(), include_inferred: bool = True) -> DataFrame:
-        self._check()
-        if self._based_on is None:
-            return self.store.scan(s, p, o, contexts)
-        return FrameQuads(self.quads(), is_set=True).scan(s, p, o, contexts)
+        return self.snapshot().scan(s, p, o, contexts)
 
     get_statements = scan
 
@@ -215,8 +269,7 @@ class Connection(QuadSource):
         return self.scan(s, p, o, contexts).count()
 
     def query(self, query: str | Query | Node, bindings: dict[str, str] | None = None, include_inferred: bool = True) -> DataFrame:
-        self._check()
-        return execute(self, parse(query) if isinstance(query, str) else query, bindings)
+        return execute(self.snapshot(), parse(query) if isinstance(query, str) else query, bindings)
 
     # -------------------------------------------------------------------- change
     def add(self, s: str, p: str, o: str, contexts: Iterable[str | None] = (), inferred: bool = False) -> int:
@@ -232,11 +285,12 @@ class Connection(QuadSource):
             bad = new.where(~F.coalesce(legal(), F.lit(False))).take(1)
             if bad:
                 raise ValueError(f"not a quad: {tuple(bad[0])}")
-            old = self.quads()
-            fresh = anti(new.distinct(), old)
-            n = fresh.count()
+            entry = self.store.write(fresh(new.distinct(), self.quads()))
+            n = self.spark.read.schema(SCHEMA).parquet(f"{self.store.root}/{entry['folders']['0']}").count()
             if n:
-                self._staged = old.unionByName(fresh)
+                self._own.append(entry)
+            else:
+                self.store.discard(entry)
             return n
 
         return self._change(run)
@@ -246,15 +300,13 @@ class Connection(QuadSource):
         graph only. Gives the number removed."""
 
         def run() -> int:
-            doomed: list[Column] = [F.col(n) == k for n, k in (("s", s), ("p", p), ("o", o)) if k is not None]
-            graphs = context_filter(contexts)
-            if graphs is not None:
-                doomed.append(graphs)
-            test = F.coalesce(reduce(Column.__and__, doomed), F.lit(False)) if doomed else F.lit(True)
-            old = self.quads()
-            n = old.where(test).count()
+            pattern = {k: v for k, v in (("s", s), ("p", p), ("o", o)) if v is not None}
+            graphs = list(dict.fromkeys(contexts))
+            if graphs:
+                pattern["contexts"] = graphs
+            n = self.quads().where(removed(pattern)).count()
             if n:
-                self._staged = old.where(~test)
+                self._own.append({"remove": pattern})
             return n
 
         return self._change(run)
@@ -297,13 +349,28 @@ def legal() -> Column:
     return terms.is_resource(s) & terms.is_uri(p) & (terms.is_resource(o) | terms.is_literal(o)) & (c.isNull() | terms.is_resource(c))
 
 
-def anti(new: DataFrame, old: DataFrame) -> DataFrame:
-    """The rows of new that are not in old, nulls equal; joined on a
-    non-null image of the context so that it stays a hash join."""
+def removed(pattern: dict) -> Column:
+    """The quads a removal hides."""
+    tests = [F.col(n) == pattern[n] for n in ("s", "p", "o") if n in pattern]
+    graphs = context_filter(pattern.get("contexts", ()))
+    if graphs is not None:
+        tests.append(F.coalesce(graphs, F.lit(False)))
+    return reduce(Column.__and__, tests) if tests else F.lit(True)
+
+
+def fresh(new: DataFrame, old: DataFrame) -> DataFrame:
+    """The rows of new that are not in old, null contexts equal.
+
+    The old side is first reduced to what new has too, so that a small batch is
+    held against a large store by a scan, without shuffling the store.
+    """
+
     def keyed(df: DataFrame) -> DataFrame:
         return df.withColumn("_c", F.coalesce("c", F.lit("")))
 
-    return keyed(new).join(keyed(old).select("s", "p", "o", "_c"), ["s", "p", "o", "_c"], "left_anti").select(*COLUMNS)
+    keys = ["s", "p", "o", "_c"]
+    again = keyed(old).join(keyed(new).select(*keys), keys, "left_semi").select(*keys)
+    return keyed(new).join(again, keys, "left_anti").select(*COLUMNS)
 
 
 def open_store(spark: SparkSession, options: StoreConfig | dict) -> QuadStore:

@@ -110,6 +110,30 @@ def test_namespaces_survive(spark, store):
     assert store.connect().namespaces().count() == 0
 
 
+def test_changes_write_only_what_is_new_and_compact_folds_them(store):
+    c = store.connect()
+    c.add_all([(A, P, f'"{i}"', G if i % 2 else None) for i in range(20)])
+    c.add_all([(A, P, f'"{i}"', None) for i in range(0, 24, 2)])
+    assert c.remove(contexts=[G]) == 10 and c.remove(o='"2"') == 1 and c.add(A, P, '"2"') == 1
+    entries = store.state()["entries"]
+    assert ["remove" in e for e in entries] == [False, False, True, True, False]
+    sizes = [c.spark.read.parquet(f"{store.root}/{e['folders']['0']}").count() for e in entries if "folders" in e]
+    assert sizes == [20, 2, 1]
+    before = quads(store)
+    assert len(before) == 12 and set(before.values()) == {1}
+    store.compact()
+    assert len(store.state()["entries"]) == 1 and quads(store) == before
+    assert c.remove() == 12 and c.count() == 0 and c.add(A, P, B) == 1 and c.count() == 1
+
+
+def test_rollback_leaves_no_files(store):
+    c = store.connect()
+    c.begin()
+    c.add(A, P, B)
+    c.rollback()
+    assert not [n for n in store.files.names("") if n.startswith("quads-")]
+
+
 def test_catalogs_and_layouts_do_not_mix(spark, tmp_path):
     layouts = [{"sort": ["c", "s", "p", "o"]}, {"sort": ["o", "p"], "partitions": 2}]
     one = open_store(spark, {"path": str(tmp_path), "catalog": "one", "layouts": layouts})
@@ -117,7 +141,7 @@ def test_catalogs_and_layouts_do_not_mix(spark, tmp_path):
     with one.connect() as c:
         c.add_all([(A, P, f'"{i}"', G if i % 2 else None) for i in range(40)])
     assert two.scan().count() == 0
-    assert one.best_layout(o='"1"', p=P) == 1 and one.best_layout(c=G) == 0 and one.best_layout() == 0
+    assert [one.snapshot().best_layout(**x) for x in ({"o": '"1"', "p": P}, {"c": G}, {})] == [1, 0, 0]
     assert one.scan(o='"7"').count() == 1 and one.scan(contexts=[G]).count() == 20
     assert one.query("SELECT ?o WHERE { ?s ?p ?o } ORDER BY ?o LIMIT 1").first().o == '"0"'
 

@@ -12,17 +12,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadlake.functions import lexical, terms
+from quadlake.functions import accessors, terms
 from quadlake.functions.terms import XSD
 from quadlake.plans import algebra as A
 from quadlake.plans.compile import execute
 from quadlake.plans.sparql import parse
 from quadlake.session import scratch_path, stage
+from quadlake.sources.dictionary import DictionaryQuads
 from quadlake.sources.mapping import ex, sample_quads
 from quadlake.sources.nquads import format_quads, parse_lines
 from quadlake.sources.quads import FrameQuads
 from quadlake.sources.tables import table
 from quadlake.store import QuadStore
+from quadlake.streaming.ingest import predicate_rates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -258,24 +260,22 @@ SQL["long_literal"] = f"SELECT {i('doc', 'doc_id')} AS s, length(text) AS n FROM
 
 
 def _accessors(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _terms(spark, folder).where(terms.is_literal(F.col("o")))
-    rows = rows.withColumn("x", lexical.trim(terms.lex(F.col("o"))))
-    fits = F.col("x").rlike(r"^[+-]?[0-9]{1,9}$")
-    return rows.select(
-        "o",
-        F.when(fits, F.col("x").try_cast("bigint")).alias("as_long"),
-        F.when(F.col("x").rlike(r"^[+-]?[0-9]+\.[0-9]{1,9}$"), F.col("x").try_cast("decimal(38,10)")).alias("as_decimal"),
-        lexical.norm_boolean(F.col("x")).try_cast("boolean").alias("as_boolean"),
-        lexical.norm_date(F.col("x")).try_cast("date").alias("as_date"),
-    )
+    o = F.col("o")
+    named = {n: accessors.as_type(o, n) for n in ("byte", "int", "long", "decimal", "boolean", "date", "dateTime")}
+    return _terms(spark, folder).where(terms.is_literal(o)).select("o", *[c.alias(f"as_{n}") for n, c in named.items()])
 
 
 QUERIES["typed_accessors"] = _accessors
+_INT = "CASE WHEN regexp_full_match(x, '[+-]?[0-9]+') THEN TRY_CAST(x AS {}) END"
+_ZONE = "regexp_extract(x, '([+-][0-9]{2}:[0-9]{2})$', 1)"
 SQL["typed_accessors"] = _OBJECTS + f""", x AS (SELECT o, regexp_replace({_LEX}, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g') AS x FROM t WHERE starts_with(o, '"'))
-  SELECT o, CASE WHEN regexp_full_match(x, '[+-]?[0-9]{{1,9}}') THEN CAST(x AS BIGINT) END AS as_long,
-  CASE WHEN regexp_full_match(x, '[+-]?[0-9]+[.][0-9]{{1,9}}') THEN TRY_CAST(x AS DECIMAL(38,10)) END AS as_decimal,
+  SELECT o, {_INT.format('TINYINT')} AS as_byte, {_INT.format('INTEGER')} AS as_int, {_INT.format('BIGINT')} AS as_long,
+  CASE WHEN regexp_full_match(x, '[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)') THEN TRY_CAST(x AS DECIMAL(38,10)) END AS as_decimal,
   CASE WHEN x IN ('true', '1') THEN true WHEN x IN ('false', '0') THEN false END AS as_boolean,
-  CASE WHEN regexp_full_match(x, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') THEN TRY_CAST(x AS DATE) END AS as_date FROM x"""
+  CASE WHEN regexp_full_match(x, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') THEN TRY_CAST(x AS DATE) END AS as_date,
+  CASE WHEN regexp_full_match(x, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}T([01][0-9]|2[0-3])(:[0-5][0-9]){{2}}([.][0-9]+)?(Z|[+-]([01][0-9]|2[0-3]):[0-5][0-9])?')
+    THEN TRY_CAST(replace(regexp_extract(x, '^([0-9T:.-]+?)(Z|[+-][0-9]{{2}}:[0-9]{{2}})?$', 1), 'T', ' ') AS TIMESTAMP)
+      - CASE WHEN {_ZONE} = '' THEN INTERVAL 0 MINUTE ELSE to_minutes(CAST(({_ZONE})[1] || '1' AS INT) * (CAST(({_ZONE})[2:3] AS INT) * 60 + CAST(({_ZONE})[5:6] AS INT))) END END AS "as_dateTime" FROM x"""
 
 # ------------------------------------------------------- changes of a real store
 _ADDED = [(ex("a"), ex("knows"), ex("b"), None), (ex("a"), ex("knows"), ex("b"), ex("g/geo")), (ex("region/2"), ex("name"), '"ASIA"', ex("g/geo"))]
@@ -361,3 +361,49 @@ def _round_trip(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES["nquads_round_trip"] = _round_trip
 SQL["nquads_round_trip"] = _SET + "SELECT * FROM q"
+
+
+# ------------------------------------------------- statements held as ids
+def _coded(spark: SparkSession, folder: str) -> DictionaryQuads:
+    return DictionaryQuads(table(spark, folder, "triples"), table(spark, folder, "term_values"), table(spark, folder, "vocab_terms"))
+
+
+_DECODED = """WITH v AS (SELECT id, term, NULL AS born, NULL AS gone FROM vocab_terms
+    UNION SELECT id, term, created_at, deleted_at FROM term_values WHERE id NOT IN (SELECT id FROM vocab_terms)),
+  q AS (SELECT DISTINCT a.term AS s, b.term AS p, d.term AS o, g.term AS c FROM (SELECT DISTINCT subj, pred, obj, context, loaded_at AS t FROM triples)
+    JOIN v a ON subj = a.id AND (a.born IS NULL OR a.born <= t) AND (a.gone IS NULL OR a.gone > t)
+    JOIN v b ON pred = b.id AND (b.born IS NULL OR b.born <= t) AND (b.gone IS NULL OR b.gone > t)
+    JOIN v d ON obj = d.id AND (d.born IS NULL OR d.born <= t) AND (d.gone IS NULL OR d.gone > t)
+    LEFT JOIN v g ON context = g.id AND (g.born IS NULL OR g.born <= t) AND (g.gone IS NULL OR g.gone > t)
+    WHERE g.term IS NOT NULL OR context IS NULL OR context IN (0, 1)) """
+_PADUK = "<http://quads.example/v/paduk>"
+
+
+def _coded_query(name: str, run: Callable[[DictionaryQuads], DataFrame], sql: str) -> None:
+    QUERIES[name], SQL[name] = (lambda spark, folder: run(_coded(spark, folder))), _DECODED + sql
+
+
+_coded_query("ids_decoded", lambda d: d.scan(), "SELECT * FROM q")
+_coded_query("ids_scan_p", lambda d: d.scan(p=_PADUK), f"SELECT * FROM q WHERE p = '{_PADUK}'")
+_coded_query("ids_scan_default_graph", lambda d: d.scan(contexts=[None]), "SELECT * FROM q WHERE c IS NULL")
+_coded_query("ids_unknown_value", lambda d: d.scan(s="<http://quads.example/nobody>"), "SELECT * FROM q WHERE false")
+_coded_query("ids_size_by_predicate", lambda d: d.scan().groupBy("p").agg(F.count(F.lit(1)).alias("n")), "SELECT p, count(*) AS n FROM q GROUP BY p")
+
+
+# ----------------------------------------------------------------- streaming
+def _stream_rates(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows per predicate and hour, counted by a stream over the table."""
+    schema = table(spark, folder, "quads").schema
+    target, log = scratch_path(spark, "rates"), scratch_path(spark, "rates-log")
+    stream = spark.readStream.schema(schema).parquet(f"{folder}/[q]uads.parquet")  # as a pattern it may be a file or a folder
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(target)
+
+    counted = predicate_rates(stream, "loaded_at", late="3650 days")
+    counted.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", log).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(target).select(F.col("start").cast("timestamp_ntz").alias("hour"), "p", "n")
+
+
+QUERIES["stream_predicate_rates"] = _stream_rates
+SQL["stream_predicate_rates"] = "SELECT date_trunc('hour', loaded_at) AS hour, p, count(*) AS n FROM quads WHERE loaded_at IS NOT NULL GROUP BY ALL"

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadlake.operators import profile, references, wide
-from quadlake.sources.tables import table
+from quadlake.sources.tables import spread_table, table
 
 P1_FIELDS = {"p": None, "c": profile.DEFAULT_KEY}
 P1_SHARE = 0.05
@@ -27,19 +27,23 @@ def p1_modes(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("field", "key", F.col("mode_value").alias("top_subject"), F.col("mode_rows").alias("top_rows"))
 
 
+def _values(spark: SparkSession, folder: str) -> DataFrame:
+    return spread_table(spark, folder, "quads", "s", "p", "o")
+
+
 def p3_wide(spark: SparkSession, folder: str) -> DataFrame:
-    return wide.wide_table(table(spark, folder, "quads"), table(spark, folder, "attribute_types"))
+    return wide.wide_table(_values(spark, folder), table(spark, folder, "attribute_types"))
 
 
 def p3_cells(spark: SparkSession, folder: str) -> DataFrame:
     known = wide.attribute_list(table(spark, folder, "attribute_types"))
-    bad = wide.unclean_cells(wide.entity_grid(table(spark, folder, "quads"), known), known)
+    bad = wide.unclean_cells(wide.entity_grid(_values(spark, folder), known), known)
     return bad.select("s", "p", "column_name", "single_valued", "conflict", (F.col("n_misfit") > 0).alias("misfit"))
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     known = [a for a in wide.attribute_list(table(spark, folder, "attribute_types")) if a[3]]
-    return wide.unclean_cells(wide.entity_grid(table(spark, folder, "quads"), known), known).select("s", "p")
+    return wide.unclean_cells(wide.entity_grid(_values(spark, folder), known), known).select("s", "p")
 
 
 def _orphans(spark: SparkSession, folder: str) -> DataFrame:

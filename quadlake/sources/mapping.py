@@ -183,14 +183,16 @@ class MappedQuads(QuadSource):
         return self.spark.createDataFrame([], SCHEMA) if out is None else out
 
     def contexts(self) -> DataFrame:
-        """A graph is there if one row of one of its branches is: no branch is
+        """A graph is there if one row of one of its branches is: no table is
         read further than that."""
-        out = None
+        tests: dict[tuple[str, str], list[Column]] = {}
         for b in self.branches:
             if b.graph is not None:
-                rows = table(self.spark, self.folder, b.table).where(reduce(Column.__and__, [F.col(c).isNotNull() for c in self._columns(b)]))
-                one = rows.limit(1).select(F.lit(b.graph).alias("c"))
-                out = one if out is None else out.unionByName(one)
+                tests.setdefault((b.graph, b.table), []).append(reduce(Column.__and__, [F.col(c).isNotNull() for c in self._columns(b)]))
+        out = None
+        for (graph, name), any_of in tests.items():
+            one = table(self.spark, self.folder, name).where(reduce(Column.__or__, any_of)).limit(1).select(F.lit(graph).alias("c"))
+            out = one if out is None else out.unionByName(one)
         return self.spark.createDataFrame([], "c string") if out is None else out.distinct()
 
     def relations(self, patterns: list[tuple[str | None, str, str | None, str | None, str | None]], contexts: Iterable[str | None] = ()) -> list[Relation]:

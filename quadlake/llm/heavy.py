@@ -18,7 +18,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quadlake.session import ship
@@ -150,3 +150,11 @@ def heavy_items(df: DataFrame, columns: list[str], capacity: int = CAPACITY, wid
             )
 
     return stream.mapInArrow(run, _FOUND)
+
+
+def top_items(found: DataFrame, k: int = CAPACITY) -> DataFrame:
+    """The k items of each column with the largest estimates (of equal ones the
+    smaller item): what one heap over all partitions would hold. Each task
+    passes on k at most."""
+    order = Window.partitionBy("field").orderBy(F.col("estimate").desc(), "item")
+    return found.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k).drop("_r")

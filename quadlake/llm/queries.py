@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadlake.llm import heavy, ledger, mixing, registers, repetition, tokens
-from quadlake.sources.tables import table
+from quadlake.sources.tables import spread_table, table
 
 P2_SHARE = 0.005
 
 
 def p2_heavy(spark: SparkSession, folder: str) -> DataFrame:
-    return heavy.heavy_items(table(spark, folder, "quads"), ["o", "p"])
+    return heavy.top_items(heavy.heavy_items(table(spark, folder, "quads"), ["o", "p"]))
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -35,7 +35,7 @@ def p4_days(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _collapsed(spark: SparkSession, folder: str):
-    return ledger.collapse(spark, table(spark, folder, "literals"), "literal_id", "label", "language", "loaded_at")
+    return ledger.collapse(spark, spread_table(spark, folder, "literals", "literal_id", "label", "language", "loaded_at"), "literal_id", "label", "language", "loaded_at")
 
 
 def p6_records(spark: SparkSession, folder: str) -> DataFrame:
@@ -49,12 +49,16 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return ledger.copies(keyed, book).select("first_id", F.col("record_id").alias("literal_id"))
 
 
+def _texts(spark: SparkSession, folder: str) -> DataFrame:
+    return spread_table(spark, folder, "documents", "doc_id", "text")
+
+
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
-    return tokens.encode_documents(table(spark, folder, "documents"))
+    return tokens.encode_documents(_texts(spark, folder))
 
 
 def _mixed(spark: SparkSession, folder: str):
-    return mixing.mixture(spark, table(spark, folder, "documents"), table(spark, folder, "source_weights"))
+    return mixing.mixture(spark, spread_table(spark, folder, "documents", "doc_id", "text", "source"), table(spark, folder, "source_weights"))
 
 
 def p8_mixture(spark: SparkSession, folder: str) -> DataFrame:
@@ -66,11 +70,11 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p9_repetition(spark: SparkSession, folder: str) -> DataFrame:
-    return repetition.repetition(table(spark, folder, "documents"))
+    return repetition.repetition(_texts(spark, folder))
 
 
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
-    return repetition.repetitive(table(spark, folder, "documents")).select("doc_id")
+    return repetition.repetitive(_texts(spark, folder)).select("doc_id")
 
 
 QUERIES = {f.__name__: f for f in (p2_heavy, p2_found, p4_distinct, p4_days, p6_records, p6_found, p7_ids, p8_mixture, p8_shares, p9_repetition, p9_found)}

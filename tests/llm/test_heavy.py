@@ -41,6 +41,15 @@ def test_every_partition_gives_its_own_values(spark):
     assert len({r.item for r in got}) == len(got)
 
 
+def test_merged_heap_is_the_top_of_all(spark):
+    rows = data()
+    found = heavy.heavy_items(spark.createDataFrame(rows, SCHEMA).repartition(5), ["o", "p"], capacity=60, partitions=3)
+    got = heavy.top_items(found, 21).collect()
+    count = Counter(x[0] for x in rows if x[0] is not None)
+    assert {r.item for r in got if r.field == "o"} == {i for i, _ in count.most_common(21)}
+    assert {r.item for r in got if r.field == "p"} == {"p", "q", ""}
+
+
 def test_long_values_ties_and_empty_tables(spark):
     long = "x" * 200_000
     rows = [(long, "p", "", "", 0, 0)] * 3 + [("", "p", "", "", 0, 0)] * 2 + [(None, None, "", "", 0, 0)] * 9

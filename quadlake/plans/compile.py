@@ -269,6 +269,12 @@ class Compiler:
     _reduced = _distinct
 
     def _orderby(self, node: A.OrderBy) -> Solutions:
+        raw = self._raw(node.child)
+        if raw is not None:
+            env = self._values_of(raw)
+            keys = [c for e, down in node.keys for c in order_columns(compile_expr(e, env), down)]
+            ordered = Relation(raw.df.orderBy(*keys), raw.variables)
+            return Solutions(ordered.terms(), tuple(raw.variables), frozenset(raw.variables))
         child = self.compile(node.child)
         env = _env(child.variables)
         keys = [c for e, down in node.keys for c in order_columns(compile_expr(e, env), down)]

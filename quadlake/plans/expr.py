@@ -374,7 +374,14 @@ def order_columns(v: Value, descending: bool = False) -> list[Column]:
     """Sort keys: unbound, blank nodes, IRIs, literals; among literals numbers
     by value come first, then instants, then the rest by label and full key."""
     t = v.term()
-    rank = F.when(t.isNull(), 0).when(terms.is_bnode(t), 1).when(terms.is_uri(t), 2).otherwise(3)
-    kind = F.when(v.double().isNotNull(), 0).when(v.moment().isNotNull(), 1).otherwise(2)
-    keys = [rank, kind, v.double(), v.moment(), terms.string_value(t), t]
+    if v.known == "number":
+        keys = [F.when(t.isNotNull(), 3).otherwise(0), v.double(), v.exact(), t]
+    elif v.known == "moment":
+        keys = [F.when(t.isNotNull(), 3).otherwise(0), v.ntz, t]
+    elif v.known in ("text", "resource"):
+        keys = [F.when(t.isNull(), 0).when(terms.is_bnode(t), 1).when(terms.is_uri(t), 2).otherwise(3), terms.string_value(t), t]
+    else:
+        rank = F.when(t.isNull(), 0).when(terms.is_bnode(t), 1).when(terms.is_uri(t), 2).otherwise(3)
+        kind = F.when(v.double().isNotNull(), 0).when(v.moment().isNotNull(), 1).otherwise(2)
+        keys = [rank, kind, v.double(), v.exact(), v.moment(), terms.string_value(t), t]
     return [k.desc_nulls_last() if descending else k.asc_nulls_first() for k in keys]

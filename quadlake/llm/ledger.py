@@ -16,8 +16,6 @@ from pyspark.sql import functions as F
 from quadlake.operators.skew import HOT_SHARE
 from quadlake.session import scratch_path, stage
 
-#: Buckets of a ledger; more for more keys, some 10 million keys to a bucket.
-BUCKETS = 16
 _LEDGER = "key binary, copies bigint, first_id bigint"
 _BREAK = r"[;|\n\x0b\x0c\r\x{85}\x{2028}\x{2029}]"
 
@@ -68,8 +66,11 @@ def canonical_key(label: Column, language: Column) -> Column:
 class Ledger:
     """Counts and representatives by canonical key, in versioned buckets."""
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS):
-        self.spark, self.path, self.buckets = spark, path, buckets
+    def __init__(self, spark: SparkSession, path: str, buckets: int | None = None):
+        """buckets: by default one for each shuffle partition, which is the
+        number of tasks a full load is written by."""
+        self.spark, self.path = spark, path
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         #: bucket: version of the folder that holds it
         self.held: dict[int, int] = {}
         self.version = 0
@@ -98,7 +99,7 @@ class Ledger:
             F.least("first", "first_id").alias("first_id"),
         )
         self.version += 1
-        both.withColumn("bucket", self._bucket()).repartition(self.buckets, "bucket").write.partitionBy("bucket").parquet(f"{self.path}/v{self.version}")
+        both.withColumn("bucket", self._bucket()).repartitionById(self.buckets, F.col("bucket")).write.partitionBy("bucket").parquet(f"{self.path}/v{self.version}")
         self.held |= dict.fromkeys(touched, self.version)
 
 
@@ -106,7 +107,7 @@ def keyed_records(df: DataFrame, record_id: str, label: str, language: str, at:
     return df.select(F.col(record_id).cast("bigint").alias("record_id"), canonical_key(F.col(label), F.col(language)).alias("key"), F.col(at).alias("at"))
 
 
-def build(spark: SparkSession, keyed: DataFrame, batches: int = 2, buckets: int = BUCKETS) -> Ledger:
+def build(spark: SparkSession, keyed: DataFrame, batches: int = 2, buckets: int | None = None) -> Ledger:
     """A ledger fed with the records in the order they were loaded, in batches
     of equal spans of time; records without a time come last."""
     out = Ledger(spark, scratch_path(spark, "ledger"), buckets)

@@ -22,13 +22,13 @@ COLUMN_TYPES = {
 }
 
 #: White space that surrounds a value without being part of it.
-_SPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+SPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 _DATE = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"
 _TIME = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T([01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9](\.[0-9]+)?(Z|[+-]([01][0-9]|2[0-3]):[0-5][0-9])?$"
 
 
 def trim(x: Column) -> Column:
-    return F.btrim(x, F.lit(_SPACE))
+    return F.btrim(x, F.lit(SPACE))
 
 
 def norm_number(x: Column, point: bool) -> Column:

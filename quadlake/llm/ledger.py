@@ -13,44 +13,57 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quadlake.functions.lexical import SPACE
 from quadlake.operators.skew import HOT_SHARE
 from quadlake.session import scratch_path, stage
 
 _LEDGER = "key binary, copies bigint, first_id bigint"
-_BREAK = r"[;|\n\x0b\x0c\r\x{85}\x{2028}\x{2029}]"
+#: Marks inside a canonical text: between name and value, and between fields.
+_IS, _AND = "\x01", "\x02"
+_BLANK = r"[\s\p{Z}\x{85}\x1c-\x1f]*"
+_BREAKS = ";|\n\x0b\x0c\r\x85\u2028\u2029"
+_BREAK = f"[{_BREAKS}]"
+#: Two or more fields, after all but words and marks is gone.
+_FIELDS = r"^[^\x01\x02]+\x01[^\x01\x02]*(\x02[^\x01\x02]+\x01[^\x01\x02]*)+$"
 
 
-def words(text: Column) -> Column:
-    """The words of a text in one letter case, one blank between them. A word
-    is a run of letters and digits."""
-    # upper case first: it has one form for letters with two small ones (s, final sigma)
-    one_case = F.translate(F.lower(F.replace(F.upper(text), F.lit("\u1e9e"), F.lit("SS"))), "\u03c2", "\u03c3")
-    return F.trim(F.regexp_replace(one_case, r"[^\p{L}\p{N}]+", " "))
+def fold(text: Column) -> Column:
+    """One letter case. Upper case comes first: it has one form for letters with
+    two small ones (s, final sigma). Marks become blanks."""
+    upper = F.replace(F.upper(text), F.lit("ẞ"), F.lit("SS"))
+    return F.translate(F.lower(upper), f"ς{_IS}{_AND}", "σ  ")
 
 
-def _field(item: Column) -> Column:
-    """name<1>value in words; null if the item is not name = value or name: value."""
-    name, value = F.regexp_extract(item, r"(?s)^([^=:]*)[=:]", 1), F.regexp_extract(item, r"(?s)^[^=:]*[=:](.*)$", 1)
-    return F.when(item.rlike("[=:]") & (words(name) != ""), F.concat(words(name), F.lit("\x01"), words(value)))
+def words(folded: Column) -> Column:
+    """The words of a folded text, one blank between them. A word is a run of
+    letters and digits."""
+    return F.trim(F.regexp_replace(folded, r"[^\p{L}\p{N}]+", " "))
 
 
-def canonical_text(label: Column) -> Column:
-    """Equal for labels with the same words in the same order, and for lists of
-    the same fields in any order.
+def _marked(folded: Column) -> Column:
+    """Words with marks: items are cut at breaks, blank ones left out, and the
+    first '=' or ':' of each is its mark."""
+    cut = F.regexp_replace(F.btrim(folded, F.lit(SPACE + _BREAKS)), f"{_BREAK}(?:{_BLANK}{_BREAK})*", _AND)
+    named = F.regexp_replace(cut, r"(^|\x02)([^=:\x02]*)[=:]", f"$1$2{_IS}")
+    bare = F.regexp_replace(named, r"[^\p{L}\p{N}\x01\x02]+", " ")
+    return F.trim(F.regexp_replace(bare, r" ?([\x01\x02]) ?", "$1"))
+
+
+def with_canonical_text(df: DataFrame, label: str) -> DataFrame:
+    """Add _canonical: equal for labels with the same words in the same order,
+    and for lists of the same fields in any order.
 
     A label of two or more items split at ';', '|' or line breaks, each
     ``name = value`` or ``name: value``, is a list of fields; a name needs a
     word, a field given twice counts once. A null label has no words, like an
-    empty one.
+    empty one. One projection a step, so that no step is computed twice.
     """
-    text = F.coalesce(label, F.lit(""))
-    items = F.filter(F.split(text, _BREAK), lambda x: x.rlike(r"[^\s\p{Z}\x{85}\x1c-\x1f]"))
-    fields = F.transform(items, _field)
-    may = text.rlike(_BREAK) & text.rlike("[=:]")
-    is_list = (F.size(items) >= 2) & F.forall(fields, lambda x: x.isNotNull())
-    listed = F.when(is_list, F.concat(F.lit("F\x02"), F.array_join(F.array_sort(F.array_distinct(fields)), "\x02")))
-    plain = F.concat(F.lit("W\x02"), words(text))
-    return F.coalesce(F.when(may, listed), plain)
+    folded = F.col("_folded")
+    df = df.withColumn("_folded", fold(F.coalesce(F.col(label), F.lit(""))))
+    df = df.withColumn("_marked", F.when(folded.rlike(_BREAK) & folded.rlike("[=:]"), _marked(folded)))
+    fields = F.array_join(F.array_sort(F.array_distinct(F.split("_marked", _AND))), _AND)
+    text = F.when(F.col("_marked").rlike(_FIELDS), F.concat(F.lit("F"), fields)).otherwise(F.concat(F.lit("W"), words(folded)))
+    return df.withColumn("_canonical", text).drop("_folded", "_marked")
 
 
 def canonical_language(language: Column) -> Column:
@@ -58,11 +71,6 @@ def canonical_language(language: Column) -> Column:
     return F.translate(F.lower(F.coalesce(language, F.lit(""))), "_", "-")
 
 
-def canonical_key(label: Column, language: Column) -> Column:
-    """128-bit digest of the canonical language and text."""
-    return F.unhex(F.md5(F.concat(canonical_language(language), F.lit("\x03"), canonical_text(label))))
-
-
 class Ledger:
     """Counts and representatives by canonical key, in versioned buckets."""
 
@@ -104,7 +112,10 @@ class Ledger:
 
 
 def keyed_records(df: DataFrame, record_id: str, label: str, language: str, at: str) -> DataFrame:
-    return df.select(F.col(record_id).cast("bigint").alias("record_id"), canonical_key(F.col(label), F.col(language)).alias("key"), F.col(at).alias("at"))
+    """record_id, key (128-bit digest of canonical language and text), at."""
+    rows = df.select(F.col(record_id).cast("bigint").alias("record_id"), F.col(label).alias("label"), canonical_language(F.col(language)).alias("language"), F.col(at).alias("at"))
+    key = F.unhex(F.md5(F.concat("language", F.lit("\x03"), "_canonical")))
+    return with_canonical_text(rows, "label").select("record_id", key.alias("key"), "at")
 
 
 def build(spark: SparkSession, keyed: DataFrame, batches: int = 2, buckets: int | None = None) -> Ledger:

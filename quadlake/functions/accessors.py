@@ -13,7 +13,6 @@ from quadlake.functions import lexical, terms
 
 #: The accessors and their Spark types.
 SPARK_TYPES = {"byte": "tinyint", "short": "smallint", "int": "int", "long": "bigint", "integer": "decimal(38,0)", "decimal": "decimal(38,10)"}
-_FLOATING = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 _DAY_TIME = r"^(-?)P(?:([0-9]+)D)?(?:T(?:([0-9]+)H)?(?:([0-9]+)M)?(?:([0-9]+(?:\.[0-9]+)?)S)?)?$"
 _YEAR_MONTH = r"^(-?)P(?:([0-9]+)Y)?(?:([0-9]+)M)?$"
 
@@ -26,7 +25,7 @@ def as_type(key: Column, name: str) -> Column:
         return norm.try_cast(SPARK_TYPES[name])
     if name in ("float", "double"):
         special = F.when(x == "INF", float("inf")).when(x == "-INF", float("-inf")).when(x == "NaN", float("nan"))
-        return F.coalesce(special, F.when(x.rlike(_FLOATING), x.try_cast("double"))).cast(name)
+        return F.coalesce(special, F.when(x.rlike(lexical.DOUBLE), x.try_cast("double"))).cast(name)
     if name == "boolean":
         return lexical.norm_boolean(x).try_cast("boolean")
     if name == "date":

@@ -23,6 +23,10 @@ COLUMN_TYPES = {
 
 #: White space that surrounds a value without being part of it.
 SPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Forms of numbers. Possessive, so that no long text is tried again and again.
+INTEGER = r"^[+-]?[0-9]++$"
+DECIMAL = r"^[+-]?(?:[0-9]++(?:\.[0-9]*+)?|\.[0-9]++)$"
+DOUBLE = DECIMAL[:-1] + r"(?:[eE][+-]?[0-9]++)?$"
 _DATE = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"
 _TIME = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T([01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9](\.[0-9]+)?(Z|[+-]([01][0-9]|2[0-3]):[0-5][0-9])?$"
 
@@ -33,11 +37,9 @@ def trim(x: Column) -> Column:
 
 def norm_number(x: Column, point: bool) -> Column:
     """Sign, digits without outer zeros; exact for any number of digits."""
-    bare = F.regexp_replace(x, r"^(?:\+|(-))?0*([0-9]*)$", "$1$2")
-    if point:
-        split = F.rtrim(F.regexp_replace(x, r"^(?:\+|(-))?0*([0-9]*)\.([0-9]*?)0*$", "$1$2.$3"), F.lit("."))
-        bare = F.when(F.instr(x, ".") > 0, split).otherwise(bare)
-    fits = x.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)$" if point else r"^[+-]?[0-9]+$")
+    cut = F.when(F.instr(x, ".") > 0, F.rtrim(F.rtrim(x, F.lit("0")), F.lit("."))).otherwise(x) if point else x
+    bare = F.regexp_replace(cut, r"^(?:\+|(-))?0*+", "$1")
+    fits = x.rlike(DECIMAL if point else INTEGER)
     return F.when(fits, F.when(bare.isin("", "-"), "0").otherwise(bare))
 
 
@@ -64,7 +66,7 @@ def norm_timestamp(x: Column) -> Column:
     offset = F.when(zone.startswith("-"), -1).otherwise(1) * (number(zone, 2) * 3600 + number(zone, 5) * 60)
     clock = number(x, 12) * 3600 + number(x, 15) * 60 + number(x, 18)
     second = F.unix_date(_real_day(F.substring(x, 1, 10))).cast("long") * 86400 + clock - F.coalesce(offset, F.lit(0))
-    fraction = F.when(tail.startswith("."), F.regexp_extract(tail, r"^(\.[0-9]*?)0*(?:[Z+-].*)?$", 1)).otherwise(F.lit(""))
+    fraction = F.when(tail.startswith("."), F.rtrim(F.regexp_extract(tail, r"^\.[0-9]*", 0), F.lit("0"))).otherwise(F.lit(""))
     return F.when(x.rlike(_TIME), F.concat(second.cast("string"), F.rtrim(fraction, F.lit("."))))
 
 

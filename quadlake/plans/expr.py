@@ -15,7 +15,7 @@ from datetime import UTC, datetime
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quadlake.functions import terms
+from quadlake.functions import lexical, terms
 from quadlake.functions.terms import XSD
 from quadlake.plans import algebra as A
 from quadlake.sources.mapping import Literal, Template, Variable
@@ -26,8 +26,7 @@ EXACT = ["decimal", *INTEGERS]
 FLOATING = ["double", "float"]
 _DECIMAL = "decimal(38,10)"
 #: Lexical forms; a cast alone would also take what other notations allow.
-_NUMBER = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)"
-_FORMS = {"integer": r"^[+-]?[0-9]+$", "decimal": _NUMBER + "$", "double": _NUMBER + r"([eE][+-]?[0-9]+)?$"}
+_FORMS = {"integer": lexical.INTEGER, "decimal": lexical.DECIMAL, "double": lexical.DOUBLE}
 _TRUE, _FALSE = f'"true"^^<{XSD}boolean>', f'"false"^^<{XSD}boolean>'
 
 

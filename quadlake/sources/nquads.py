@@ -7,22 +7,25 @@ from pyspark.sql import functions as F
 
 from quadlake.functions import terms
 
-_IRI = r"<([^<>\"{}|^`\\\x00-\x20]|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8})*>"
-_BNODE = r"_:[\w\p{L}](?:[\w\p{L}.-]*[\w\p{L}-])?"
-_LITERAL = r'"(?:[^"\\\n\r]|\\.)*"(?:@[A-Za-z]+(?:-[A-Za-z0-9]+)*|\^\^' + _IRI.replace("(", "(?:") + r")?"
-_RES = f"{_IRI.replace('(', '(?:')}|{_BNODE}"
-_LINE = rf"^\s*({_RES})\s*({_IRI.replace('(', '(?:')})\s*({_RES}|{_LITERAL})\s*({_RES})?\s*\.\s*(?:#.*)?$"
+#: A line cannot hold line breaks, so two of them stand for the escapes that
+#: hide a quote: with those gone, every part is a plain run of characters and no
+#: group has to be repeated, which would take stack for each of its rounds.
+_BACKSLASH, _QUOTE = "\r", "\n"
+_IRI = r"<[^<>\"{}|^`\x00-\x20]*>"
+_RES = rf"{_IRI}|_:[\w\p{{L}}][\w\p{{L}}.-]*"
+_LITERAL = rf'"[^"]*"(?:@[A-Za-z][A-Za-z0-9-]*|\^\^{_IRI})?'
+_LINE = rf"^\s*({_RES})\s*({_IRI})\s*({_RES}|{_LITERAL})\s*({_RES})?\s*\.\s*(?:#.*)?$"
 #: One-character escapes.
-_SHORT = [("\\t", "\t"), ("\\b", "\b"), ("\\n", "\n"), ("\\r", "\r"), ("\\f", "\f"), ('\\"', '"'), ("\\'", "'")]
+_SHORT = [("\\t", "\t"), ("\\b", "\b"), ("\\n", "\n"), ("\\r", "\r"), ("\\f", "\f"), ("\\'", "'")]
 
 
 def _unescape(text: Column) -> Column:
-    """Escapes undone piece by piece, so that a backslash made by one is not
-    read as the start of another."""
-    pieces = F.regexp_extract_all(text, F.lit(r"(?s)(\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\.|[^\\]+)"), 1)
+    """Escapes undone piece by piece, so that what one gives is not read as the
+    start of another."""
+    pieces = F.regexp_extract_all(text, F.lit(r"(\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\.|[\r\n]|[^\\\r\n]+)"), 1)
 
     def one(x: Column) -> Column:
-        out = F.when(x == "\\\\", "\\")
+        out = F.when(x == _BACKSLASH, "\\").when(x == _QUOTE, '"')
         for short, char in _SHORT:
             out = out.when(x == short, char)
         code = F.conv(F.substring(x, F.lit(3), F.length(x)), 16, 10).cast("int")
@@ -35,7 +38,7 @@ def _unescape(text: Column) -> Column:
         units = F.when(code > 0xFFFF, F.concat(unit(high), unit(low))).otherwise(unit(code))
         return out.when(x.rlike(r"^\\[uU]"), F.decode(F.unhex(units), "UTF-16BE")).otherwise(x)
 
-    return F.when(F.instr(text, "\\") > 0, F.array_join(F.transform(pieces, one), "")).otherwise(text)
+    return F.when(text.rlike(r"[\\\r\n]"), F.array_join(F.transform(pieces, one), "")).otherwise(text)
 
 
 def _escape(text: Column) -> Column:
@@ -47,11 +50,12 @@ def _escape(text: Column) -> Column:
 def parse_lines(lines: DataFrame, column: str = "value") -> DataFrame:
     """s, p, o, c and ok of every line that is neither empty nor a comment; a
     line that is no quad has ok false and nulls."""
-    text = F.col(column)
-    # a line has no line break, so one can hold its parts apart
-    parts = F.split(F.regexp_replace(text, _LINE, "$1\n$2\n$3\n$4"), "\n")
-    rows = lines.where(~text.rlike(r"^\s*(#.*)?$")).select(parts.alias("_parts"))
-    rows = rows.select(*[F.when(F.size("_parts") == 4, F.col("_parts")[i]).alias(f"_{n}") for i, n in enumerate("spoc")])
+    hidden = F.replace(F.replace(F.col(column), F.lit("\\\\"), F.lit(_BACKSLASH)), F.lit('\\"'), F.lit(_QUOTE))
+    rows = lines.where(~F.col(column).rlike(r"^\s*(#.*)?$")).select(hidden.alias("_line"))
+    # only the object may hold blanks, so it comes last
+    parts = F.split(F.regexp_replace("_line", _LINE, "$1 $2 $4 $3"), " ", 4)
+    rows = rows.select(F.when(F.col("_line").rlike(_LINE), parts).alias("_parts"))
+    rows = rows.select(*[F.col("_parts")[i].alias(f"_{n}") for i, n in enumerate("spco")])
 
     def key(x: Column) -> Column:
         body = F.concat(F.lit('"'), _unescape(terms.lex(x)), F.lit('"'), terms.suffix(x))

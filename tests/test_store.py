@@ -186,6 +186,12 @@ def test_lines_of_other_writers(spark):
     assert got[2].o == "<http://e/b>"
 
 
+def test_long_labels_take_no_stack(spark):
+    labels = ["x" * 300_000, '"\\' * 60_000, "\n\t" * 60_000, "\r\n" * 50_000 + "\\u0041"]
+    df = spark.createDataFrame([(A, P, f'"{x}"@en', None) for x in labels], SCHEMA)
+    assert sorted(r.o for r in parse_lines(format_quads(df)).where("ok").collect()) == sorted(f'"{x}"@en' for x in labels)
+
+
 def test_nquads_files(spark, tmp_path):
     df = spark.createDataFrame([(A, P, '"a\nb"', None), (A, P, B, G)], SCHEMA)
     write_nquads(df, str(tmp_path / "out"))

@@ -33,6 +33,14 @@ def test_numbers(spark):
     assert values[:6] == [Decimal("1.5"), Decimal("1.5"), Decimal(".5"), Decimal(5), 0, 0]
 
 
+def test_long_numbers_take_linear_time(spark):
+    digits = "1" * 200_000
+    forms, _ = norm(spark, "decimal", [digits + "x", "1." + "0" * 200_000 + "1", "0" * 200_000 + "7.5" + "0" * 200_000, digits + "." + digits])
+    assert forms[0] is None and len(forms[1]) == 200_003 and forms[2] == "7.5" and len(forms[3]) == 400_001
+    forms, _ = norm(spark, "timestamp", ["2024-01-01T00:00:00." + "0" * 200_000 + "1" + "0" * 9 + "Z", "2024-01-01T00:00:00." + "0" * 200_000])
+    assert len(forms[0]) == 10 + 1 + 200_001 and len(forms[1]) == 10
+
+
 def test_booleans_and_days(spark):
     forms, values = norm(spark, "boolean", ["true", "1", " false ", "0", "True", "yes", ""])
     assert values == [True, True, False, False, None, None, None]

@@ -20,11 +20,8 @@ from quadlake.session import scratch_path, stage
 _LEDGER = "key binary, copies bigint, first_id bigint"
 #: Marks inside a canonical text: between name and value, and between fields.
 _IS, _AND = "\x01", "\x02"
-_BLANK = r"[\s\p{Z}\x{85}\x1c-\x1f]*"
 _BREAKS = ";|\n\x0b\x0c\r\x85\u2028\u2029"
 _BREAK = f"[{_BREAKS}]"
-#: Two or more fields, after all but words and marks is gone.
-_FIELDS = r"^[^\x01\x02]+\x01[^\x01\x02]*(\x02[^\x01\x02]+\x01[^\x01\x02]*)+$"
 
 
 def fold(text: Column) -> Column:
@@ -42,8 +39,10 @@ def words(folded: Column) -> Column:
 
 def _marked(folded: Column) -> Column:
     """Words with marks: items are cut at breaks, blank ones left out, and the
-    first '=' or ':' of each is its mark."""
-    cut = F.regexp_replace(F.btrim(folded, F.lit(SPACE + _BREAKS)), f"{_BREAK}(?:{_BLANK}{_BREAK})*", _AND)
+    first '=' or ':' of each is its mark. No group is repeated: that would take
+    stack for every item."""
+    breaks = F.translate(F.btrim(folded, F.lit(SPACE + _BREAKS)), _BREAKS, _AND * len(_BREAKS))
+    cut = F.regexp_replace(breaks, r"\x02[\x02\s\p{Z}\x{85}\x1c-\x1f]*", _AND)
     named = F.regexp_replace(cut, r"(^|\x02)([^=:\x02]*)[=:]", f"$1$2{_IS}")
     bare = F.regexp_replace(named, r"[^\p{L}\p{N}\x01\x02]+", " ")
     return F.trim(F.regexp_replace(bare, r" ?([\x01\x02]) ?", "$1"))
@@ -61,9 +60,11 @@ def with_canonical_text(df: DataFrame, label: str) -> DataFrame:
     folded = F.col("_folded")
     df = df.withColumn("_folded", fold(F.coalesce(F.col(label), F.lit(""))))
     df = df.withColumn("_marked", F.when(folded.rlike(_BREAK) & folded.rlike("[=:]"), _marked(folded)))
-    fields = F.array_join(F.array_sort(F.array_distinct(F.split("_marked", _AND))), _AND)
-    text = F.when(F.col("_marked").rlike(_FIELDS), F.concat(F.lit("F"), fields)).otherwise(F.concat(F.lit("W"), words(folded)))
-    return df.withColumn("_canonical", text).drop("_folded", "_marked")
+    df = df.withColumn("_items", F.split("_marked", _AND))
+    is_list = (F.size("_items") >= 2) & F.forall("_items", lambda x: F.instr(x, _IS) > 1)
+    fields = F.array_join(F.array_sort(F.array_distinct("_items")), _AND)
+    text = F.when(is_list, F.concat(F.lit("F"), fields)).otherwise(F.concat(F.lit("W"), words(folded)))
+    return df.withColumn("_canonical", text).drop("_folded", "_marked", "_items")
 
 
 def canonical_language(language: Column) -> Column:

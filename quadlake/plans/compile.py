@@ -173,7 +173,7 @@ class Compiler:
                 on.append(same)
         return right, names, on
 
-    def _merged(self, a: Solutions, names: dict[str, str], df: DataFrame, left: bool) -> Solutions:
+    def _merged(self, a: Solutions, names: dict[str, str], df: DataFrame) -> Solutions:
         columns = []
         for v in a.variables:
             own = F.col(f"`{v}`")
@@ -189,7 +189,7 @@ class Compiler:
             df = a.df.join(b.df, shared, "inner") if shared else a.df.crossJoin(b.df)
             return Solutions(df, tuple(df.columns), certain)
         right, names, on = self._match(a, b)
-        out = self._merged(a, names, a.df.join(right, reduce(Column.__and__, on)), left=False)
+        out = self._merged(a, names, a.df.join(right, reduce(Column.__and__, on)))
         return Solutions(out.df, out.variables, certain)
 
     def _leftjoin(self, node: A.LeftJoin) -> Solutions:
@@ -205,7 +205,7 @@ class Compiler:
                     env[v] = Value(key=F.coalesce(env[v].key, other))
             on.append(F.coalesce(compile_expr(node.condition, env).truth(), F.lit(False)))
         df = a.df.join(right, reduce(Column.__and__, on) if on else F.lit(True), "left")
-        return self._merged(a, names, df, left=True)
+        return self._merged(a, names, df)
 
     def _semijoin(self, node: A.SemiJoin) -> Solutions:
         a, b = self.compile(node.left), self.compile(node.right)

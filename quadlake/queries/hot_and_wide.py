@@ -27,6 +27,13 @@ def p1_modes(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("field", "key", F.col("mode_value").alias("top_subject"), F.col("mode_rows").alias("top_rows"))
 
 
+def p1_percentiles(spark: SparkSession, folder: str) -> DataFrame:
+    """Median and 99th percentile of the length of the objects of each predicate."""
+    sized = table(spark, folder, "quads").select("p", F.length("o").alias("size"))
+    half, most = (profile.weighted_percentile(sized, "p", "size", q).withColumnRenamed("percentile", n) for q, n in ((0.5, "median"), (0.99, "p99")))
+    return half.join(most, "p")
+
+
 def _values(spark: SparkSession, folder: str) -> DataFrame:
     return spread_table(spark, folder, "quads", "s", "p", "o")
 
@@ -61,7 +68,7 @@ def p5_counts(spark: SparkSession, folder: str) -> DataFrame:
     return references.orphan_counts(_orphans(spark, folder))
 
 
-QUERIES = {f.__name__: f for f in (p1_profile, p1_found, p1_modes, p3_wide, p3_cells, p3_found, p5_found, p5_counts)}
+QUERIES = {f.__name__: f for f in (p1_profile, p1_found, p1_modes, p1_percentiles, p3_wide, p3_cells, p3_found, p5_found, p5_counts)}
 
 _P1_KEYED = """WITH k AS (
   SELECT 'p' AS field, p AS key, s, loaded_at FROM quads
@@ -141,6 +148,7 @@ SQL = {
     + """, n AS (SELECT field, key, s, count(*) AS n FROM k GROUP BY ALL)
 SELECT field, key, s AS top_subject, n AS top_rows FROM n WHERE s IS NOT NULL
 QUALIFY row_number() OVER (PARTITION BY field, key ORDER BY n DESC, s) = 1""",
+    "p1_percentiles": "SELECT p, quantile_disc(length(o), 0.5) AS median, quantile_disc(length(o), 0.99) AS p99 FROM quads WHERE p IS NOT NULL AND o IS NOT NULL GROUP BY p",
     "p3_wide": _wide_sql(),
     "p3_cells": _P3_VALUES + "SELECT s, p, column_name, single_valued, conflict, misfit FROM cells WHERE conflict OR misfit",
     "p3_found": _P3_VALUES + "SELECT s, p FROM cells WHERE single_valued AND (conflict OR misfit)",

@@ -15,7 +15,7 @@ so it cannot give the required share. This module replaces it; see the README.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,14 +23,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quadlake.llm.tokens import text_batches
+from quadlake.llm.tokens import LONG_TEXT, text_batches
 from quadlake.session import ship
 
 #: Words of a run, and the share from which a document counts as repetitive.
 RUN, SHARE = 8, 0.5
 #: Distinct words a worker numbers before it starts again.
 WORDS = 500_000
-_words = re.compile(r"\w+").findall
+_WORD = re.compile(r"\w+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -42,10 +42,16 @@ class _Numbers(dict):
         return n
 
 
+def _numbered(text: str, number: Callable[[str], int]) -> np.ndarray:
+    if len(text) <= LONG_TEXT:
+        return np.fromiter(map(number, _WORD.findall(text)), np.int64)
+    return np.fromiter((number(m[0]) for m in _WORD.finditer(text)), np.int64)  # not all words at once
+
+
 def repeated_words(texts: list[str | None], run: int = RUN, numbers: _Numbers | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Number of words and of repeated words of every text."""
     number = (_Numbers() if numbers is None else numbers).__getitem__
-    each = [np.fromiter(map(number, w), np.int64, len(w)) if (w := _words(t or "")) else np.empty(0, np.int64) for t in texts]
+    each = [_numbered(t or "", number) for t in texts]
     sizes = np.fromiter(map(len, each), np.int64, len(each))
     total = int(sizes.sum())
     repeated = np.zeros(len(texts), np.int64)

@@ -15,6 +15,7 @@ import unicodedata
 from array import array
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
+from itertools import islice
 from pathlib import Path
 
 import pyarrow as pa
@@ -30,6 +31,8 @@ FOLDER = "/opt/tokenizers"
 BYTE_BPE = "byte_bpe_50k.tiktoken"
 #: Pre-tokens kept in a worker's memo, and the longest of them.
 MEMO, MEMO_LENGTH = 200_000, 64
+#: Characters from which the pieces of a text are not held all at once.
+LONG_TEXT = 1_000_000
 #: Characters of text after which a record batch is cut.
 BATCH_CHARS = 8_000_000
 #: The characters with the White_Space property.
@@ -84,7 +87,7 @@ class Encoder(dict):
         self.whole = PerfectHash(entries)
         self.ranks = {t: i for i, t in enumerate(entries)}
         self.longest = max(map(len, entries), default=0)
-        self.split, self.split_ascii = re.compile(self.pattern).findall, re.compile(ASCII_PATTERN).findall
+        self.split, self.split_ascii = re.compile(self.pattern), re.compile(ASCII_PATTERN)
 
     def __reduce__(self):
         return Encoder, (self.entries, self.pattern)
@@ -126,8 +129,11 @@ class Encoder(dict):
         return out
 
     def encode_raw(self, text: str) -> bytes:
-        pieces = self.split_ascii(text) if text.isascii() else self.split(text)
-        return b"".join(map(self.__getitem__, pieces))
+        pattern = self.split_ascii if text.isascii() else self.split
+        if len(text) <= LONG_TEXT:
+            return b"".join(map(self.__getitem__, pattern.findall(text)))
+        pieces = (m[0] for m in pattern.finditer(text))  # not all of them at once
+        return b"".join(b"".join(map(self.__getitem__, part)) for part in iter(lambda: list(islice(pieces, LONG_TEXT // 8)), []))
 
     def encode(self, text: str | None) -> list[int]:
         return memoryview(self.encode_raw(text or "")).cast("i").tolist()

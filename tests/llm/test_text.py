@@ -70,6 +70,15 @@ def test_odd_texts_equal_both_libraries(encoder, library):
         assert b"".join(encoder.entries[i] for i in ids).decode() == text
 
 
+def test_texts_taken_piece_by_piece(encoder, monkeypatch):
+    texts = ["one two  three\n" * 50, "\xe9t\xe9 " * 40]
+    whole, words = [encoder.encode(t) for t in texts], P.repeated_words(texts)
+    monkeypatch.setattr(K, "LONG_TEXT", 16)
+    monkeypatch.setattr(P, "LONG_TEXT", 16)
+    assert [encoder.encode(t) for t in texts] == whole
+    assert [list(x) for x in P.repeated_words(texts)] == [list(x) for x in words]
+
+
 def test_merges_do_not_depend_on_the_memo(encoder):
     fresh = K.Encoder(encoder.entries, encoder.pattern)
     for word in ("lematenZogoha", "xX" * 40, "日本語"):

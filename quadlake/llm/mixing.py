@@ -63,18 +63,22 @@ def features(encoder: Encoder, text: str | None) -> np.ndarray:
     return x / np.linalg.norm(x)
 
 
-def fit_classifier(x: np.ndarray, y: np.ndarray, classes: int, steps: int = 150, rate: float = 4.0, decay: float = 1e-3) -> np.ndarray:
-    """Weights (features + 1) x classes of a softmax regression, by gradient
-    descent from the class frequencies; the same rows give the same weights."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    w = np.zeros((x.shape[1], classes))
+def fit_classifier(x: np.ndarray, y: np.ndarray, classes: int, steps: int = 120, decay: float = 1e-4) -> np.ndarray:
+    """Weights (features + 1) x classes of a softmax regression, by accelerated
+    gradient descent from the class frequencies. Rows of length 1 and a constant
+    bound the curvature by 1, so a step of 1 is safe. The same rows give the
+    same weights."""
+    x = np.hstack([x, np.ones((len(x), 1))]).astype(np.float32)
+    w = np.zeros((x.shape[1], classes), np.float32)
     counts = np.bincount(y, minlength=classes)
     w[-1] = np.where(counts > 0, np.log(np.maximum(counts, 1) / max(1, counts.sum())), -100.0)  # a domain without documents stays out
-    one = np.eye(classes)[y]
-    for _ in range(steps):
-        grad = x.T @ (posteriors(w, x, biased=True) - one) / max(1, len(x))
-        grad[:-1] += decay * w[:-1]
-        w -= rate * grad
+    one = np.eye(classes, dtype=np.float32)[y]
+    ahead = w
+    for k in range(steps):
+        grad = x.T @ (posteriors(ahead, x, biased=True) - one) / max(1, len(x))
+        grad[:-1] += decay * ahead[:-1]
+        w, last = ahead - grad, w
+        ahead = w + (k / (k + 3)) * (w - last)
     return w
 
 
@@ -97,7 +101,7 @@ def training_rows(docs: DataFrame, targets: Targets, rows: int = TRAIN_ROWS, pat
     got = sample.mapInArrow(run, "source string, x binary").collect()
     x = np.array([np.frombuffer(r.x, np.float32) for r in got]).reshape(len(got), FEATURES)
     place = {s: i for i, s in enumerate(targets.sources)}
-    return x.astype(float), np.array([place[r.source] for r in got], np.int64)
+    return x, np.array([place[r.source] for r in got], np.int64)
 
 
 # ---------------------------------------------------------------------- sizes

@@ -81,16 +81,16 @@ class Encoder(dict):
     """Ids of texts. The mapping itself is the memo: pre-token to the bytes of
     its int32 ids."""
 
-    def __init__(self, entries: list[bytes], pattern: str | None = None):
+    def __init__(self, entries: list[bytes], pattern: str | None = None, whole: PerfectHash | None = None):
         super().__init__()
         self.entries, self.pattern = entries, pattern or split_pattern()
-        self.whole = PerfectHash(entries)
+        self.whole = whole or PerfectHash(entries)
         self.ranks = {t: i for i, t in enumerate(entries)}
         self.longest = max(map(len, entries), default=0)
         self.split, self.split_ascii = re.compile(self.pattern), re.compile(ASCII_PATTERN)
 
     def __reduce__(self):
-        return Encoder, (self.entries, self.pattern)
+        return Encoder, (self.entries, self.pattern, self.whole)  # the tables travel, the memo does not
 
     def __missing__(self, piece: str) -> bytes:
         raw = piece.encode()
@@ -142,18 +142,17 @@ class Encoder(dict):
         return len(self.encode_raw(text or "")) // 4
 
 
-@lru_cache(maxsize=2)
-def _encoder(path: str, entries: tuple[bytes, ...], pattern: str) -> Encoder:
-    return Encoder(list(entries), pattern)
+@lru_cache(maxsize=4)
+def load_encoder(path: str) -> Encoder:
+    return Encoder(read_ranks(path))
 
 
 def shared_encoder(df: DataFrame, path: str | None = None) -> Callable[[], Encoder]:
-    """A function that gives each worker one encoder; the vocabulary (about
-    half a MB, fixed) travels once to each executor."""
+    """A function that gives a worker its encoder. It is built once and sent
+    once to each executor (under 2 MB, fixed by the vocabulary)."""
     ship(df.sparkSession)
-    path = path or f"{FOLDER}/{BYTE_BPE}"
-    sent = df.sparkSession.sparkContext.broadcast((path, tuple(read_ranks(path)), split_pattern()))
-    return lambda: _encoder(*sent.value)
+    sent = df.sparkSession.sparkContext.broadcast(load_encoder(path or f"{FOLDER}/{BYTE_BPE}"))
+    return lambda: sent.value
 
 
 def text_batches(batches: Iterable[pa.RecordBatch], column: int, chars: int = BATCH_CHARS) -> Iterator[pa.RecordBatch]:

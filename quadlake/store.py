@@ -140,6 +140,24 @@ class QuadStore(QuadSource):
         if len(state["entries"]) > 1:
             self.publish(v, {**state, "entries": [self.write(self.view(state["entries"]))]})
 
+    def vacuum(self, keep: int = 1) -> int:
+        """Forget all but the newest ``keep`` versions and delete the folders
+        only they used; gives the number of folders deleted. Not to be run
+        while a transaction is open: its folders are not referred to yet."""
+        pointers = sorted(n for n in self.files.names("pointers") if n.endswith(".json"))
+        kept = pointers[-keep:] if keep > 0 else pointers
+        used = {f for n in kept for e in json.loads(self.files.read(f"pointers/{n}"))["entries"] for f in e.get("folders", {}).values()}
+        for n in pointers[: len(pointers) - len(kept)]:
+            self.files.fs.delete(self.files.path(f"pointers/{n}"), False)
+        unused = [n for n in self.files.names("") if n.startswith("quads-") and n not in used]
+        for n in unused:
+            self.files.fs.delete(self.files.path(n), True)
+        return len(unused)
+
+    def drop(self) -> None:
+        """Delete the catalog with all its versions."""
+        self.files.fs.delete(self.files.path(""), True)
+
     def snapshot(self, entries: list[dict] | None = None) -> Snapshot:
         return Snapshot(self, self.state()["entries"] if entries is None else entries)
 

@@ -126,6 +126,20 @@ def test_changes_write_only_what_is_new_and_compact_folds_them(store):
     assert c.remove() == 12 and c.count() == 0 and c.add(A, P, B) == 1 and c.count() == 1
 
 
+def test_vacuum_and_drop(store):
+    c = store.connect()
+    c.add_all([(A, P, f'"{i}"', None) for i in range(9)])
+    c.add(A, P, B)
+    store.compact()
+    before = quads(store)
+    assert store.vacuum(keep=2) == 0 and store.vacuum() == 2 and store.vacuum() == 0
+    assert quads(store) == before and store.version() == 3
+    c.add(B, P, A)
+    assert store.version() == 4
+    store.drop()
+    assert store.version() == 0 and store.scan().count() == 0
+
+
 def test_rollback_leaves_no_files(store):
     c = store.connect()
     c.begin()

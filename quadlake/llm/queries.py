@@ -34,6 +34,13 @@ def p4_days(spark: SparkSession, folder: str) -> DataFrame:
     return registers.neighbours(registers.sketch(_subjects(spark, folder), ["day"], "s"), "day")
 
 
+def p4_graphs(spark: SparkSession, folder: str) -> DataFrame:
+    """Subjects of each named graph and of the default graph: those of either, those of both."""
+    graphs = registers.sketch(_subjects(spark, folder), ["c"], "s")
+    pairs = graphs.select(F.col("c").alias("first"), F.lit("DEFAULT").alias("second")).where("first <> second")
+    return registers.joint_pairs(graphs, "c", pairs).drop("second").withColumnRenamed("first", "c")
+
+
 def _collapsed(spark: SparkSession, folder: str):
     return ledger.collapse(spark, spread_table(spark, folder, "literals", "literal_id", "label", "language", "loaded_at"), "literal_id", "label", "language", "loaded_at")
 
@@ -77,7 +84,7 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return repetition.repetitive(_texts(spark, folder)).select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p2_heavy, p2_found, p4_distinct, p4_days, p6_records, p6_found, p7_ids, p8_mixture, p8_shares, p9_repetition, p9_found)}
+QUERIES = {f.__name__: f for f in (p2_heavy, p2_found, p4_distinct, p4_days, p4_graphs, p6_records, p6_found, p7_ids, p8_mixture, p8_shares, p9_repetition, p9_found)}
 
 _P6_KEYED = r"""WITH cut AS (
   SELECT literal_id, label, language, replace(lower(coalesce(language, '')), '_', '-') AS lang, coalesce(label, '') AS text,

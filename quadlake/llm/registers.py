@@ -205,35 +205,51 @@ def _covariance(value, theta: np.ndarray, h: float = 1e-3) -> np.ndarray:
     return out
 
 
-def neighbours(registers: DataFrame, key: str, m: int = M, base: float = BASE) -> DataFrame:
-    """Joint estimates of each key's set and the set of the key before it:
-    key, previous, union, intersection, jaccard and their standard errors.
+_JOINT = ["union", "union_error", "intersection", "intersection_error", "jaccard", "jaccard_error"]
 
-    Every key but the first gives one row; a null key has no place in the
-    order. The number of keys (days) is small and read to the driver, at most
-    MAX_KEYS; the registers are not: a register row goes to its own pair and to
-    that of the next key, so no two sets are joined.
+
+def joint_pairs(registers: DataFrame, key: str, pairs: DataFrame, m: int = M, base: float = BASE) -> DataFrame:
+    """Joint estimates of the pairs of sets asked for: first, second, union,
+    intersection, jaccard and their standard errors.
+
+    pairs: first and second, keys of sets, one row a pair. A register row goes
+    to the pairs that ask for it and meets the other set's register there, so
+    the work is M rows a pair and no set is held against all others. A key
+    without registers is an empty set; a pair of two such keys, or with a null,
+    gives no row.
     """
     ship(registers.sparkSession)
-    keys = [r[0] for r in registers.where(F.col(key).isNotNull()).select(key).distinct().orderBy(key).limit(MAX_KEYS + 1).collect()]
-    if len(keys) > MAX_KEYS:
-        raise ValueError(f"more than {MAX_KEYS} keys in one order")
-    kind = registers.schema[key].dataType
-    order = registers.sparkSession.createDataFrame(list(zip(keys, keys[1:], strict=False)), f"_previous {kind.simpleString()}, _key {kind.simpleString()}")
-    first = registers.select(F.col(key).alias("_previous"), "reg", F.col("level").alias("_i"), F.lit(0).alias("_j")).join(F.broadcast(order), "_previous")
-    second = registers.select(F.col(key).alias("_key"), "reg", F.lit(0).alias("_i"), F.col("level").alias("_j")).join(F.broadcast(order), "_key")
-    pairs = first.unionByName(second).groupBy("_previous", "_key", "reg").agg(F.max("_i").alias("i"), F.max("_j").alias("j"))
+    asked = pairs.select("first", "second").where("first is not null and second is not null").distinct()
+    own, none = F.col("level"), F.lit(0)
+    left = registers.select(F.col(key).alias("first"), "reg", own.alias("_i"), none.alias("_j")).join(asked, "first")
+    right = registers.select(F.col(key).alias("second"), "reg", none.alias("_i"), own.alias("_j")).join(asked, "second")
+    both = left.unionByName(right).groupBy("first", "second", "reg").agg(F.max("_i").alias("i"), F.max("_j").alias("j"))
     parts = int(registers.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # small rows, much work each: not to be coalesced
-    sets = pairs.groupBy("_previous", "_key").agg(F.collect_list("i").alias("i"), F.collect_list("j").alias("j")).repartition(parts, "_key")  # lists of at most m
-    names = ["union", "union_error", "intersection", "intersection_error", "jaccard", "jaccard_error"]
+    lists = both.groupBy("first", "second").agg(F.collect_list("i").alias("i"), F.collect_list("j").alias("j"))  # of at most m
+    lists = lists.repartition(parts, "first", "second")
 
-    @F.pandas_udf(", ".join(f"`{x}` double" for x in names))
+    @F.pandas_udf(", ".join(f"`{x}` double" for x in _JOINT))
     def joint(i: pd.Series, j: pd.Series) -> pd.DataFrame:
         # registers that neither set uses are pairs (0, 0)
         full = [(np.pad(x, (0, m - len(x))), np.pad(y, (0, m - len(y)))) for x, y in zip(i, j)]
-        return pd.DataFrame([joint_estimate(x, y, m, base) for x, y in full], columns=names)
+        return pd.DataFrame([joint_estimate(x, y, m, base) for x, y in full], columns=_JOINT)
+
+    return lists.select("first", "second", joint("i", "j").alias("_e")).select("first", "second", "_e.*")
 
-    return sets.select(F.col("_key").alias(key), F.col("_previous").alias("previous"), joint("i", "j").alias("_e")).select(key, "previous", "_e.*")
+
+def neighbours(registers: DataFrame, key: str, m: int = M, base: float = BASE) -> DataFrame:
+    """Joint estimates of each key's set and the set of the key before it: key,
+    previous, and the columns of joint_pairs.
+
+    Every key but the first gives one row; a null key has no place in the
+    order. Only the keys (days) are read to the driver, at most MAX_KEYS.
+    """
+    keys = [r[0] for r in registers.where(F.col(key).isNotNull()).select(key).distinct().orderBy(key).limit(MAX_KEYS + 1).collect()]
+    if len(keys) > MAX_KEYS:
+        raise ValueError(f"more than {MAX_KEYS} keys in one order")
+    kind = registers.schema[key].dataType.simpleString()
+    pairs = registers.sparkSession.createDataFrame(list(zip(keys, keys[1:], strict=False)), f"first {kind}, second {kind}")
+    return joint_pairs(registers, key, pairs, m, base).withColumnsRenamed({"first": "previous", "second": key})
 
 
 #: Keys in one order (days: 270 years).

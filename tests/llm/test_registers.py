@@ -120,6 +120,22 @@ def test_neighbouring_days(spark):
         assert abs(r.union - len(sets[a] | sets[b])) < 4 * r.union_error
 
 
+def test_pairs_asked_for(spark):
+    rows = sample()
+    sets = {}
+    for _, c, s, *_ in rows:
+        if c and s:
+            sets.setdefault(c, set()).add(s)
+    asked = [("g0", "g1"), ("g1", "g0"), ("g2", "g2"), ("g0", "nothing"), ("no", "thing"), (None, "g0"), ("g0", "g1")]
+    regs = R.sketch(frame(spark, rows), ["c"], "s")
+    got = {(r["first"], r["second"]): r for r in R.joint_pairs(regs, "c", spark.createDataFrame(asked, "first string, second string")).collect()}
+    assert set(got) == set(asked[:4])
+    for (a, b), r in got.items():
+        x, y = sets.get(a, set()), sets.get(b, set())
+        assert abs(r.union - len(x | y)) < 4 * r.union_error
+        assert abs(r.intersection - len(x & y)) <= 4 * r.intersection_error + 1
+
+
 def test_empty_and_null_items(spark):
     assert R.cube(frame(spark, []), ["day", "c"], "s").count() == 0
     assert R.neighbours(R.sketch(frame(spark, []), ["day"], "s"), "day").count() == 0

@@ -224,9 +224,10 @@ def joint_pairs(registers: DataFrame, key: str, pairs: DataFrame, m: int = M, ba
     left = registers.select(F.col(key).alias("first"), "reg", own.alias("_i"), none.alias("_j")).join(asked, "first")
     right = registers.select(F.col(key).alias("second"), "reg", none.alias("_i"), own.alias("_j")).join(asked, "second")
     both = left.unionByName(right).groupBy("first", "second", "reg").agg(F.max("_i").alias("i"), F.max("_j").alias("j"))
-    parts = int(registers.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # small rows, much work each: not to be coalesced
+    parts = int(registers.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     lists = both.groupBy("first", "second").agg(F.collect_list("i").alias("i"), F.collect_list("j").alias("j"))  # of at most m
-    lists = lists.repartition(parts, "first", "second")
+    # Small rows but much work each: dealt out again, by an expression the planner does not hold to be met already.
+    lists = lists.repartition(parts, F.xxhash64("first", "second"))
 
     @F.pandas_udf(", ".join(f"`{x}` double" for x in _JOINT))
     def joint(i: pd.Series, j: pd.Series) -> pd.DataFrame:

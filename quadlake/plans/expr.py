@@ -315,7 +315,7 @@ def compile_expr(e: A.Expr, env: Mapping[str, Value]) -> Value:
         return Value(bool_=less(args[0], args[1], name == "<="))
     if name in (">", ">="):
         return Value(bool_=less(args[1], args[0], name == ">="))
-    if name in "+-*/":
+    if name in ("+", "-", "*", "/"):
         if len(args) == 1:
             zero = Value(exact_=F.lit(0).cast(_DECIMAL), double_=F.lit(0.0), integer=F.lit(True))
             return args[0] if name == "+" else _arithmetic(zero, args[0], "-")

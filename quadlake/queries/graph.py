@@ -255,7 +255,7 @@ QUERIES["uri_split"] = lambda spark, folder: stored(spark, folder).scan().where(
     "s", terms.namespace(F.col("s")).alias("ns"), terms.local_name(F.col("s")).alias("local"))
 SQL["uri_split"] = r"""SELECT s, regexp_extract(s, '^<(.*/)([^/]*)>$', 1) AS ns, regexp_extract(s, '^<(.*/)([^/]*)>$', 2) AS local
   FROM (SELECT DISTINCT s FROM quads WHERE starts_with(s, '<') AND p IS NOT NULL AND o IS NOT NULL)"""
-QUERIES["long_literal"] = lambda spark, folder: sample_quads(spark, folder).scan(p=ex("text")).where(terms.kind(F.col("o")) == "long_literal").select("s", F.length(terms.lex(F.col("o"))).alias("n"))
+QUERIES["long_literal"] = lambda spark, folder: sample_quads(spark, folder).scan(p=ex("text")).where(terms.kind(F.col("o")) == "long_literal").select("s", F.length(terms.lex(F.col("o"))).cast("bigint").alias("n"))
 SQL["long_literal"] = f"SELECT {i('doc', 'doc_id')} AS s, length(text) AS n FROM documents WHERE length(text) >= 256"
 
 

@@ -51,13 +51,12 @@ def attribute_list(attributes: DataFrame) -> list[Attribute]:
     return list(out.values())
 
 
-def cells(quads: DataFrame, attributes: list[Attribute]) -> DataFrame:
-    """One row per subject and attribute: s, pos, lo, hi, n_misfit.
+def fitted(quads: DataFrame, attributes: list[Attribute]) -> DataFrame:
+    """s, pos and _v for every row with a subject: the position of its
+    attribute and the normal form of its value, null if it does not fit.
 
-    lo and hi are the smallest and largest normal form of the values that fit.
-    Rows of unlisted predicates, and with a null predicate or object, keep
-    their subject alive under the null position; rows with a null subject are
-    left out. Repeated rows change nothing but n_misfit.
+    Rows of unlisted predicates, and with a null predicate or object, have the
+    null position.
     """
     pos, kind = F.lit(None).cast("int"), F.lit(None).cast("string")
     if attributes:
@@ -70,14 +69,39 @@ def cells(quads: DataFrame, attributes: list[Attribute]) -> DataFrame:
     rows = rows.withColumn("_lex", F.when(F.col("_t").isNotNull(), terms.lex(F.col("o"))))
     rows = rows.withColumn("_x", F.when(~F.col("_t").isin("iri", "string"), lexical.trim(F.col("_lex"))))
     norm = lexical.normal_form(F.col("_t"), F.col("o"), F.col("_lex"), F.col("_x"))
+    return rows.select("s", "pos", norm.alias("_v"))
+
+
+def cells(quads: DataFrame, attributes: list[Attribute]) -> DataFrame:
+    """One row per subject and attribute: s, pos, lo, hi, n_misfit.
+
+    lo and hi are the smallest and largest normal form of the values that fit.
+    Rows of unlisted predicates, and with a null predicate or object, keep
+    their subject alive under the null position; rows with a null subject are
+    left out. Repeated rows change nothing but n_misfit.
+    """
     misfit = F.col("pos").isNotNull() & F.col("_v").isNull()
     return (
-        rows.select("s", "pos", norm.alias("_v"))
+        fitted(quads, attributes)
         .groupBy("s", "pos")
         .agg(F.min("_v").alias("lo"), F.max("_v").alias("hi"), F.count(F.when(misfit, 1)).alias("n_misfit"))
     )
 
 
+def cell_values(quads: DataFrame, attributes: list[Attribute]) -> DataFrame:
+    """Every value of every cell: s, p, column_name, value (the normal form),
+    one row for each different value that fits.
+
+    The values stay rows and are made different by (s, attribute, value), so a
+    subject with many values is spread over all tasks by them.
+    """
+    if not attributes:
+        return quads.sparkSession.createDataFrame([], "s string, p string, column_name string, value string")
+    listed = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(n).alias("column_name")) for p, n, *_ in attributes])
+    found = fitted(quads, attributes).where(F.col("pos").isNotNull() & F.col("_v").isNotNull()).distinct()
+    return found.select("s", F.get(listed, F.col("pos")).alias("_a"), F.col("_v").alias("value")).select("s", "_a.*", "value")
+
+
 def entity_grid(quads: DataFrame, attributes: list[Attribute]) -> DataFrame:
     """s and grid: for every subject one array with a cell (lo, hi, n_misfit)
     at each attribute's position, null where the subject has no value."""
@@ -110,7 +134,8 @@ def wide_table(quads: DataFrame, attributes: DataFrame) -> DataFrame:
 
     A single-valued attribute with two or more different values gives null (see
     unclean_cells); misfits are passed over. An attribute that may have several
-    values gives the one with the smallest normal form. Subjects without any
+    values gives the one with the smallest normal form; cell_values has them
+    all. Subjects without any
     listed attribute have a row of nulls; null subjects have none. Empty input
     gives no rows, an empty attribute list a table of subjects.
     """

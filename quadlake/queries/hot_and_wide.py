@@ -48,6 +48,12 @@ def p3_cells(spark: SparkSession, folder: str) -> DataFrame:
     return bad.select("s", "p", "column_name", "single_valued", "conflict", (F.col("n_misfit") > 0).alias("misfit"))
 
 
+def p3_values(spark: SparkSession, folder: str) -> DataFrame:
+    """All values of the attributes that may have several; p3_wide shows one of each cell."""
+    known = [a for a in wide.attribute_list(table(spark, folder, "attribute_types")) if not a[3]]
+    return wide.cell_values(_values(spark, folder), known)
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     known = [a for a in wide.attribute_list(table(spark, folder, "attribute_types")) if a[3]]
     return wide.unclean_cells(wide.entity_grid(_values(spark, folder), known), known).select("s", "p")
@@ -68,7 +74,7 @@ def p5_counts(spark: SparkSession, folder: str) -> DataFrame:
     return references.orphan_counts(_orphans(spark, folder))
 
 
-QUERIES = {f.__name__: f for f in (p1_profile, p1_found, p1_modes, p1_percentiles, p3_wide, p3_cells, p3_found, p5_found, p5_counts)}
+QUERIES = {f.__name__: f for f in (p1_profile, p1_found, p1_modes, p1_percentiles, p3_wide, p3_cells, p3_values, p3_found, p5_found, p5_counts)}
 
 _P1_KEYED = """WITH k AS (
   SELECT 'p' AS field, p AS key, s, loaded_at FROM quads
@@ -151,6 +157,7 @@ QUALIFY row_number() OVER (PARTITION BY field, key ORDER BY n DESC, s) = 1""",
     "p1_percentiles": "SELECT p, quantile_disc(length(o), 0.5) AS median, quantile_disc(length(o), 0.99) AS p99 FROM quads WHERE p IS NOT NULL AND o IS NOT NULL GROUP BY p",
     "p3_wide": _wide_sql(),
     "p3_cells": _P3_VALUES + "SELECT s, p, column_name, single_valued, conflict, misfit FROM cells WHERE conflict OR misfit",
+    "p3_values": _P3_VALUES + "SELECT DISTINCT s, p, column_name, v AS value FROM vals WHERE single_valued IS NOT TRUE AND v IS NOT NULL",
     "p3_found": _P3_VALUES + "SELECT s, p FROM cells WHERE single_valued AND (conflict OR misfit)",
     "p5_found": _P5_ORPHANS + "SELECT stmt_id, field, reason FROM found",
     "p5_counts": _P5_ORPHANS + "SELECT field, reason, CAST(date_trunc('month', t) AS DATE) AS month, count(*) AS n_refs FROM found GROUP BY ALL",

@@ -108,3 +108,24 @@ def test_a_hot_subject_gives_one_row(spark, n):
     data = [("<hot>", "<t>", lit(i), None) for i in range(n)]
     rows = wide.wide_table(quads(spark, data), spark.createDataFrame(KNOWN, ATTRIBUTES)).collect()
     assert len(rows) == 1 and rows[0].t == "0"
+
+
+def test_every_value_of_a_cell_is_given(spark):
+    listed = wide.attribute_list(spark.createDataFrame(KNOWN, ATTRIBUTES))
+    hot = [("<hot>", "<t>", lit(i), None) for i in range(3000)]
+    got = [tuple(r) for r in wide.cell_values(quads(spark, DATA + hot), listed).collect()]
+    several = [a for a in listed if not a[3]]
+    assert sorted(r[3] for r in got if r[0] == "<hot>") == sorted(str(i) for i in range(3000))
+    assert {r for r in got if r[:2] == ("<a>", "<t>")} == {("<a>", "<t>", "t", "b"), ("<a>", "<t>", "t", "z")}
+    assert {r[3] for r in got if r[:2] == ("<b>", "<n>")} == {"1", "2"} and not [r for r in got if r[:2] == ("_:x", "<n>")]
+    assert len(got) == len(set(got)) and all(r[0] is not None for r in got)
+    assert sorted(tuple(r) for r in wide.cell_values(quads(spark, DATA + hot), several).collect()) == sorted(r for r in got if r[1] == "<t>")
+    assert wide.cell_values(quads(spark, DATA), []).count() == 0
+
+
+def test_p3_values_against_its_sql(spark):
+    import __spark_entry__ as entries
+    from compare import connect, difference
+
+    folder = "/root/testdata/sf0.001"
+    assert difference(entries.queries()["p3_values"](spark, folder), connect(folder), entries.oracle_sql()["p3_values"]) == ""

@@ -93,3 +93,15 @@ def typed(value_type: str, norm: Column) -> Column:
         micros = F.when(F.instr(norm, ".") > 0, fraction.try_cast("bigint")).otherwise(F.lit(0).cast("bigint"))
         return F.timestamp_micros(seconds * 1_000_000 + micros).cast("timestamp_ntz")
     return norm.try_cast(COLUMN_TYPES[value_type])
+
+
+def held(value_type: Column, norm: Column) -> Column:
+    """Whether typed() gives the whole value of a normal form, for a type held
+    in a column: no null in its place, no digit of a fraction lost."""
+    places = F.when(F.instr(norm, ".") > 0, F.length(F.substring_index(norm, ".", -1))).otherwise(0)
+    return (
+        F.when(value_type == "integer", norm.try_cast(COLUMN_TYPES["integer"]).isNotNull())
+        .when(value_type == "decimal", norm.try_cast(COLUMN_TYPES["decimal"]).isNotNull() & (places <= COLUMN_TYPES["decimal"].scale))
+        .when(value_type == "timestamp", places <= 6)
+        .otherwise(F.lit(True))
+    )

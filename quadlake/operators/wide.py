@@ -114,19 +114,24 @@ def entity_grid(quads: DataFrame, attributes: list[Attribute]) -> DataFrame:
 
 def unclean_cells(grid: DataFrame, attributes: list[Attribute]) -> DataFrame:
     """The cells of an entity_grid that cannot be filled cleanly: s, p,
-    column_name, single_valued, n_misfit (rows whose value does not fit) and
-    conflict (different values in a single-valued attribute)."""
+    column_name, single_valued, n_misfit (rows whose value does not fit),
+    conflict (different values in a single-valued attribute) and unheld (the
+    value of the cell fits, but its column gives null or a rounded one)."""
     if not attributes:
-        return grid.sparkSession.createDataFrame([], "s string, p string, column_name string, single_valued boolean, n_misfit bigint, conflict boolean")
+        return grid.sparkSession.createDataFrame([], "s string, p string, column_name string, single_valued boolean, n_misfit bigint, conflict boolean, unheld boolean")
     listed = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(n).alias("column_name"), F.lit(one).alias("single_valued")) for p, n, _, one in attributes])
+    kinds = F.array(*[F.lit(t) for _, _, t, _ in attributes])
 
     def conflict(c: Column) -> Column:
         return F.coalesce(F.get(listed, c["pos"])["single_valued"] & (c["lo"] != c["hi"]), F.lit(False))
 
-    bad = F.filter("grid", lambda c: c.isNotNull() & ((c["n_misfit"] > 0) | conflict(c)))
+    def unheld(c: Column) -> Column:
+        return c["lo"].isNotNull() & ~conflict(c) & ~lexical.held(F.get(kinds, c["pos"]), c["lo"])
+
+    bad = F.filter("grid", lambda c: c.isNotNull() & ((c["n_misfit"] > 0) | conflict(c) | unheld(c)))
     c = F.col("_c")
     found = grid.select("s", F.explode(bad).alias("_c"))
-    return found.select("s", F.get(listed, c["pos"]).alias("_a"), c["n_misfit"].alias("n_misfit"), conflict(c).alias("conflict")).select("s", "_a.*", "n_misfit", "conflict")
+    return found.select("s", F.get(listed, c["pos"]).alias("_a"), c["n_misfit"].alias("n_misfit"), conflict(c).alias("conflict"), unheld(c).alias("unheld")).select("s", "_a.*", "n_misfit", "conflict", "unheld")
 
 
 def wide_table(quads: DataFrame, attributes: DataFrame) -> DataFrame:

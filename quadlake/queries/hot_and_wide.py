@@ -43,6 +43,8 @@ def p3_wide(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p3_cells(spark: SparkSession, folder: str) -> DataFrame:
+    """The cells that cannot be filled cleanly; one with neither conflict nor
+    misfit holds a value that its column cannot give whole."""
     known = wide.attribute_list(table(spark, folder, "attribute_types"))
     bad = wide.unclean_cells(wide.entity_grid(_values(spark, folder), known), known)
     return bad.select("s", "p", "column_name", "single_valued", "conflict", (F.col("n_misfit") > 0).alias("misfit"))
@@ -56,7 +58,8 @@ def p3_values(spark: SparkSession, folder: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     known = [a for a in wide.attribute_list(table(spark, folder, "attribute_types")) if a[3]]
-    return wide.unclean_cells(wide.entity_grid(_values(spark, folder), known), known).select("s", "p")
+    bad = wide.unclean_cells(wide.entity_grid(_values(spark, folder), known), known)
+    return bad.where((F.col("n_misfit") > 0) | F.col("conflict")).select("s", "p")
 
 
 def _orphans(spark: SparkSession, folder: str) -> DataFrame:

@@ -129,3 +129,32 @@ def test_p3_values_against_its_sql(spark):
 
     folder = "/root/testdata/sf0.001"
     assert difference(entries.queries()["p3_values"](spark, folder), connect(folder), entries.oracle_sql()["p3_values"]) == ""
+
+
+UNHELD = [
+    ("<a>", "<n>", lit("9" * 20), None), ("<b>", "<n>", lit("9223372036854775807"), None), ("<a>", "<d>", lit("-0.12345678901"), None), ("<b>", "<d>", lit("0.1234567890000"), None),
+    ("<c>", "<d>", lit("1" * 29), None), ("<d>", "<d>", lit("1" * 28 + ".5"), None), ("<a>", "<w>", lit("2024-01-01T00:00:00.1234567Z"), None), ("<b>", "<w>", lit("2024-01-01T00:00:00.1234560Z"), None),
+    ("<c>", "<n>", lit("x"), None), ("<d>", "<n>", lit("8" * 20), None), ("<d>", "<n>", lit("9" * 20), None), ("<a>", "<t>", lit("." + "0" * 20 + "1"), None), ("<a>", "<v>", lit("9" * 20), None), ("<a>", "<v>", lit("99"), None),
+]
+
+
+def test_cells_whose_column_cannot_hold_the_value_are_unclean(spark):
+    known = spark.createDataFrame([*KNOWN, ("<v>", "v", "integer", False)], ATTRIBUTES)
+    listed, data = wide.attribute_list(known), spark.createDataFrame([(*x, "clash", 9) for x in UNHELD], QUADS)
+    bad = {(r.s, r.p): (r.n_misfit, r.conflict, r.unheld) for r in wide.unclean_cells(wide.entity_grid(data, listed), listed).collect()}
+    unheld = {("<a>", "<n>"), ("<a>", "<d>"), ("<c>", "<d>"), ("<a>", "<w>")}
+    assert bad == {("<c>", "<n>"): (1, False, False), ("<d>", "<n>"): (0, True, False), **{k: (0, False, True) for k in unheld}}
+    rows = {r.s: r for r in wide.wide_table(data, known).collect()}
+    assert rows["<b>"].n == 9223372036854775807 and rows["<b>"].d == Decimal("0.123456789") and rows["<b>"].w.microsecond == 123456
+    assert rows["<d>"].d == Decimal("1" * 28 + ".5") and rows["<a>"].n is None and rows["<c>"].d is None
+
+
+def test_p3_cells_lists_what_p3_found_does_not(spark, tmp_path):
+    import __spark_entry__ as entries
+
+    spark.createDataFrame([(*x, "clash", 9) for x in UNHELD], QUADS).write.parquet(f"{tmp_path}/quads.parquet")
+    spark.createDataFrame(KNOWN, ATTRIBUTES).write.parquet(f"{tmp_path}/attribute_types.parquet")
+    cells = {(r.s, r.p): (r.conflict, r.misfit) for r in entries.queries()["p3_cells"](spark, str(tmp_path)).collect()}
+    found = {(r.s, r.p) for r in entries.queries()["p3_found"](spark, str(tmp_path)).collect()}
+    assert found == {("<c>", "<n>"), ("<d>", "<n>")} == {k for k, v in cells.items() if any(v)}
+    assert {k for k, v in cells.items() if not any(v)} == {("<a>", "<n>"), ("<a>", "<d>"), ("<c>", "<d>"), ("<a>", "<w>")}

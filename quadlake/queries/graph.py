@@ -82,6 +82,13 @@ _PART = legs("part", i("part", "p_partkey"), CATALOG, name=plain("p_name"), bran
 _VEC = legs("embeddings", i("vec", "vec_id"), CATALOG, label=whole("label"))
 #: The quads of the geo and catalog graphs and of the default graph.
 _SMALL = f"WITH q AS ({_GEO} UNION ALL {_CUSTOMER} UNION ALL {_SUPPLIER} UNION ALL {_PART} UNION ALL {_VEC}) "
+_ORDERS = legs("orders", i("order", "o_orderkey"), SALES, customer=i("customer", "o_custkey"), status=plain("o_orderstatus"), priority=plain("o_orderpriority"), total=dec("o_totalprice"), date=moment("o_orderdate"))
+_LINE = legs("lineitem", i("line", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"), SALES, order=i("order", "l_orderkey"), part=i("part", "l_partkey"), supplier=i("supplier", "l_suppkey"), quantity=dec("l_quantity"),
+             price=dec("l_extendedprice"), discount=dec("l_discount"), tax=dec("l_tax"), returnflag=plain("l_returnflag"), shipdate=moment("l_shipdate"))
+_EVENTS = legs("events", i("event", "event_id"), "'_:events'", user=i("user", "user_id"), kind=plain("event_type"), value=dec("value"), at=moment("ts"), props=plain("props"))
+_DOCS = legs("documents", i("doc", "doc_id"), TEXT, text="""'"' || text || CASE WHEN length(lang) > 0 THEN '"@' || lang ELSE '"' END""", source=plain("source"), chars=whole("n_chars"), repo=plain("repo"), path=plain("path"), licence=plain("licence_file"))
+#: The quads of all branches.
+_EVERY = _SMALL.removesuffix(") ") + f" UNION ALL {_ORDERS} UNION ALL SELECT DISTINCT * FROM ({_LINE}) UNION ALL {_EVENTS} UNION ALL {_DOCS}) "
 
 
 # ---------------------------------------------------------- pattern look-ups
@@ -107,6 +114,7 @@ _scan("pattern_soc", f"SELECT * FROM ({_GEO}) WHERE s = '{ex('region/2')}' AND o
 _scan("pattern_poc", f"SELECT * FROM ({_SUPPLIER}) WHERE p = {p('nation')} AND o = '{_NATION7}'", (ex("g/catalog"),), p=ex("nation"), o=_NATION7)
 _scan("pattern_spoc", f"SELECT * FROM ({_GEO}) WHERE s = '{ex('region/2')}' AND p = {p('name')} AND o = '{_ASIA}'", (ex("g/geo"),), s=ex("region/2"), p=ex("name"), o=_ASIA)
 _scan("pattern_none", _SMALL + "SELECT * FROM q", (ex("g/geo"), None, ex("g/catalog")))
+_scan("pattern_none_all", _EVERY + "SELECT * FROM q WHERE s IS NOT NULL")
 _scan("pattern_unknown_value", f"SELECT * FROM ({_GEO}) WHERE false", s=ex("nobody/1"), p=ex("name"))
 _scan("scan_default_graph", _CUSTOMER, (None,))
 _scan("scan_multi_context", f"{_GEO} UNION ALL {_SUPPLIER} UNION ALL {_PART} UNION ALL {_VEC}", (ex("g/geo"), ex("g/catalog"), ex("g/geo"), ex("g/unknown")))

@@ -228,3 +228,13 @@ def test_nulls_in_mapped_columns_give_no_quads(spark, tmp_path):
     src = MappedQuads(spark, str(tmp_path), [Branch("t", Template("http://e/", ("id",)), "<l>", Literal("label", "lang", "tag"), None)])
     assert rows(src.scan()) == Counter([("<http://e/2>", "<l>", '"a"', None)])
     assert src.contexts().count() == 0
+
+
+def test_unbound_scan_has_all_branches(spark):
+    import __spark_entry__ as entries
+    from compare import connect, difference
+    from quadlake.sources.mapping import sample_mapping
+
+    df = entries.queries()["pattern_none_all"](spark, SAMPLE)
+    assert {(r.p, r.c) for r in df.select("p", "c").distinct().collect()} == {(b.predicate, b.graph) for b in sample_mapping()}
+    assert difference(df, connect(SAMPLE), entries.oracle_sql()["pattern_none_all"]) == ""

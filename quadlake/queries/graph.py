@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quadlake.functions import accessors, terms
@@ -212,6 +212,24 @@ _query("orderby_limit_offset", M, "SELECT ?o ?t WHERE { ?o ex:total ?t } ORDER B
 _query("orderby_mixed_terms", M, """SELECT ?x WHERE { { ?s ex:size ?x } UNION { ?s ex:region ?x } UNION { ?s ex:region ?y OPTIONAL { ?s ex:brand ?x } } UNION { ?s ex:brand ?x } } ORDER BY ?x LIMIT 300""",
        f"""SELECT x FROM (SELECT {whole('p_size')} AS x, 3 AS r, 0 AS k, p_size AS v, '' AS t FROM part UNION ALL SELECT {i('region', 'n_regionkey')}, 2, 2, NULL, {i('region', 'n_regionkey')} FROM nation
          UNION ALL SELECT NULL, 0, 2, NULL, '' FROM nation UNION ALL SELECT {plain('p_brand')}, 3, 2, NULL, p_brand FROM part) ORDER BY r, k, v NULLS FIRST, t, x LIMIT 300""")
+_MIXED, _MIXED_ROWS = "SELECT ?x WHERE { { ?s ex:size ?x } UNION { ?s ex:region ?x } UNION { ?s ex:region ?y OPTIONAL { ?s ex:brand ?x } } UNION { ?s ex:brand ?x } } ORDER BY ?x", (
+    f"""SELECT {whole('p_size')} AS x, 3 AS r, 0 AS k, p_size AS v, '' AS t FROM part UNION ALL SELECT {i('region', 'n_regionkey')}, 2, 2, NULL, {i('region', 'n_regionkey')} FROM nation
+         UNION ALL SELECT NULL, 0, 2, NULL, '' FROM nation UNION ALL SELECT {plain('p_brand')}, 3, 2, NULL, p_brand FROM part""")
+
+
+def _numbered(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """The rows of an ordered DataFrame with their position from 1; each task numbers its own rows."""
+    rows = stage(spark, df.withColumn("_id", F.monotonically_increasing_id()), "ordered")
+    rows = rows.withColumn("_task", F.shiftright("_id", 33))
+    before = F.sum("_n").over(Window.orderBy("_task")) - F.col("_n")
+    starts = rows.groupBy("_task").agg(F.count(F.lit(1)).alias("_n")).select("_task", before.alias("_before"))
+    here = F.col("_id") - F.shiftleft("_task", 33)
+    return rows.join(starts, "_task").select(*df.columns, (F.col("_before") + here + 1).alias("position"))
+
+
+#: All rows of orderby_mixed_terms with their positions.
+QUERIES["orderby_mixed_all"] = lambda spark, folder: _numbered(spark, execute(M(spark, folder), parse(PREFIXES + _MIXED)))
+SQL["orderby_mixed_all"] = f"SELECT x, row_number() OVER (ORDER BY r, k, v NULLS FIRST, t, x) AS position FROM ({_MIXED_ROWS})"
 
 # ------------------------------------------------------------------------ filters
 _query("filter_numeric", M, "SELECT ?c ?b WHERE { ?c ex:acctbal ?b . ?c ex:segment ?s FILTER(?b > 5000 && ?b <= 7500.5) }",

@@ -238,3 +238,15 @@ def test_unbound_scan_has_all_branches(spark):
     df = entries.queries()["pattern_none_all"](spark, SAMPLE)
     assert {(r.p, r.c) for r in df.select("p", "c").distinct().collect()} == {(b.predicate, b.graph) for b in sample_mapping()}
     assert difference(df, connect(SAMPLE), entries.oracle_sql()["pattern_none_all"]) == ""
+
+
+def test_the_whole_order_of_mixed_terms(spark):
+    import __spark_entry__ as entries
+    from compare import connect, difference
+
+    folder = "/root/testdata/sf0.01"
+    df = entries.queries()["orderby_mixed_all"](spark, folder)
+    got = [r.x for r in df.orderBy("position").collect()]
+    assert len(got) == 50 + 2 * 2000 and got[:25] == [None] * 25 and all(x.endswith("integer>") for x in got[50:2050])
+    assert got[2050:] == sorted(got[2050:]) and got[-1].startswith('"Brand#')
+    assert difference(df, connect(folder), entries.oracle_sql()["orderby_mixed_all"]) == ""

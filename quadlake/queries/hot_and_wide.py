@@ -28,10 +28,11 @@ def p1_modes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p1_percentiles(spark: SparkSession, folder: str) -> DataFrame:
-    """Median and 99th percentile of the length of the objects of each predicate."""
+    """Median and 99th percentile of the length of the objects of each predicate, the null one too."""
     sized = table(spark, folder, "quads").select("p", F.length("o").cast("bigint").alias("size"))
     half, most = (profile.weighted_percentile(sized, "p", "size", q).withColumnRenamed("percentile", n) for q, n in ((0.5, "median"), (0.99, "p99")))
-    return half.join(most, "p")
+    most = most.withColumnRenamed("p", "_p")
+    return half.join(most, F.col("p").eqNullSafe(F.col("_p"))).drop("_p")
 
 
 def _values(spark: SparkSession, folder: str) -> DataFrame:

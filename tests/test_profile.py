@@ -81,3 +81,12 @@ def test_salts_keep_every_pair(spark):
     assert a.select("_salt").distinct().count() == 8
     assert a.join(b, ["k", "_salt"]).count() == 438
     assert a.count() == 439 and b.count() == 51 + 7
+
+
+def test_p1_percentiles_keep_the_null_predicate(spark, tmp_path):
+    import __spark_entry__ as entries
+
+    data = [("s", None, "o" * n, None, None, "", 0) for n in range(1, 101)] + [("s", "p", "oo", None, None, "", 0), ("s", "q", None, None, None, "", 0)]
+    spark.createDataFrame(data, SCHEMA).write.parquet(f"{tmp_path}/quads.parquet")
+    got = {tuple(r) for r in entries.queries()["p1_percentiles"](spark, str(tmp_path)).select("p", "median", "p99").collect()}
+    assert got == {(None, 50, 99), ("p", 2, 2)}

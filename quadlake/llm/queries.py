@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadlake.llm import heavy, ledger, mixing, registers, repetition, tokens
-from quadlake.sources.tables import spread_table, table
+from quadlake.sources.tables import table
 
 P2_SHARE = 0.005
 
@@ -42,7 +42,7 @@ def p4_graphs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _collapsed(spark: SparkSession, folder: str):
-    return ledger.collapse(spark, spread_table(spark, folder, "literals", "literal_id", "label", "language", "loaded_at"), "literal_id", "label", "language", "loaded_at")
+    return ledger.collapse(spark, table(spark, folder, "literals"), "literal_id", "label", "language", "loaded_at")
 
 
 def p6_records(spark: SparkSession, folder: str) -> DataFrame:
@@ -57,7 +57,7 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _texts(spark: SparkSession, folder: str) -> DataFrame:
-    return spread_table(spark, folder, "documents", "doc_id", "text")
+    return table(spark, folder, "documents").select("doc_id", "text")
 
 
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
@@ -65,7 +65,7 @@ def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _mixed(spark: SparkSession, folder: str):
-    return mixing.mixture(spark, spread_table(spark, folder, "documents", "doc_id", "text", "source"), table(spark, folder, "source_weights"))
+    return mixing.mixture(spark, table(spark, folder, "documents").select("doc_id", "text", "source"), table(spark, folder, "source_weights"))
 
 
 def p8_mixture(spark: SparkSession, folder: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadlake.operators import profile, references, wide
-from quadlake.sources.tables import spread_table, table
+from quadlake.sources.tables import table
 
 P1_FIELDS = {"p": None, "c": profile.DEFAULT_KEY}
 P1_SHARE = 0.05
@@ -36,7 +36,7 @@ def p1_percentiles(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _values(spark: SparkSession, folder: str) -> DataFrame:
-    return spread_table(spark, folder, "quads", "s", "p", "o")
+    return table(spark, folder, "quads").select("s", "p", "o")
 
 
 def p3_wide(spark: SparkSession, folder: str) -> DataFrame:

@@ -6,14 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """The table as it lies. Its tasks follow from the size of its files and
+    spark.sql.files.maxPartitionBytes alone, so a plan is the same at any size."""
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
-
-def spread_table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
-    """A table for work that is heavy per row. If its files cannot be cut into
-    as many pieces as there are cores (which makes it small), its rows are
-    dealt out; a larger table is read as it lies, without a shuffle."""
-    df = table(spark, folder, name)
-    df = df.select(*columns) if columns else df
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from quadlake.functions import accessors
 from quadlake.functions.terms import XSD
 from quadlake.sources.dictionary import DictionaryQuads
-from quadlake.sources.tables import spread_table
+from quadlake.sources.tables import table
 
 START = datetime.datetime(2024, 1, 1)
 STATEMENTS = "subj bigint, pred bigint, obj bigint, context bigint, loaded_at timestamp_ntz, id int, term string"
@@ -87,7 +87,8 @@ def test_typed_accessors(spark):
     assert [r.v for r in rows.select(accessors.year_month_duration(o).cast("string").alias("v")).collect()] == ["INTERVAL '1-2' YEAR TO MONTH", "INTERVAL '-0-3' YEAR TO MONTH", None, None, None]
 
 
-def test_small_tables_are_spread(spark, tmp_path):
-    spark.range(100).coalesce(1).write.parquet(str(tmp_path / "t.parquet"))
-    df = spread_table(spark, str(tmp_path), "t")
-    assert df.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and df.count() == 100
+def test_tables_are_read_as_they_lie(spark, tmp_path):
+    for rows in (1, 50_000):
+        spark.range(rows).coalesce(1).write.parquet(str(tmp_path / f"t{rows}.parquet"))
+        df = table(spark, str(tmp_path), f"t{rows}")
+        assert df.count() == rows and "Exchange" not in df._jdf.queryExecution().toString()

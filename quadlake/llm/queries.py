@@ -80,11 +80,18 @@ def p9_repetition(spark: SparkSession, folder: str) -> DataFrame:
     return repetition.repetition(_texts(spark, folder))
 
 
+def p9_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """The likelihood ratio of every document, and whether it is below the threshold."""
+    texts = _texts(spark, folder)
+    ratio = repetition.fit_ratio(texts)
+    return repetition.scores(texts, ratio).withColumn("below", F.coalesce(F.col("score") <= ratio.threshold(repetition.SHARE), F.lit(False)))
+
+
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return repetition.repetitive(_texts(spark, folder)).select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p2_heavy, p2_found, p4_distinct, p4_days, p4_graphs, p6_records, p6_found, p7_ids, p8_mixture, p8_shares, p9_repetition, p9_found)}
+QUERIES = {f.__name__: f for f in (p2_heavy, p2_found, p4_distinct, p4_days, p4_graphs, p6_records, p6_found, p7_ids, p8_mixture, p8_shares, p9_repetition, p9_scores, p9_found)}
 
 _P6_KEYED = r"""WITH cut AS (
   SELECT literal_id, label, language, replace(lower(coalesce(language, '')), '_', '-') AS lang, coalesce(label, '') AS text,

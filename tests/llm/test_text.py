@@ -144,6 +144,34 @@ def test_repetition_of_documents(spark):
     assert P.repetition(spark.createDataFrame([], DOCS)).count() == 0
 
 
+@given(st.lists(st.lists(st.sampled_from(["a", "b", "c"]), max_size=80).map(" ".join), max_size=6), st.integers(0, 2**32), st.sampled_from([0.2, 0.5, 0.9]))
+@settings(max_examples=100, deadline=None)
+def test_no_weights_lose_a_repetitive_text(texts, seed, share):
+    ratio = P.Ratio(tuple(np.random.default_rng(seed).normal(size=2 * P.BUCKETS).tolist()))
+    runs = P._Runs(texts, P.RUN)
+    for text, score in zip(texts, ratio.scores(runs)):
+        n, again = brute(text)
+        if n and again >= share * n:
+            assert score <= ratio.threshold(share)
+        assert np.isnan(score) == (n < P.RUN)
+
+
+def test_ratio_of_two_corpora(spark):
+    """The score alone tells planted texts, and does not depend on how the rows lie."""
+    r = random.Random(5)
+    text = lambda n: " ".join(f"w{r.randrange(3000)}" for _ in range(n))
+    clean = [text(r.randrange(30, 300)) for _ in range(300)]
+    planted = [" ".join([text(20)] * r.randrange(4, 9) + [text(r.randrange(40))]) for _ in range(30)]
+    df = spark.createDataFrame([(i, t, "s", "", 0, 1, "") for i, t in enumerate(clean + planted)], DOCS)
+    ratio = P.fit_ratio(df.repartition(5))
+    assert ratio == P.fit_ratio(df.coalesce(1))
+    got = {x.doc_id: x.score for x in P.scores(df, ratio).collect()}
+    assert {i for i, x in got.items() if x <= ratio.middle(P.SHARE)} == set(range(300, 330))
+    found = P.repetitive(df, ratio=ratio).collect()
+    assert {x.doc_id for x in found} == set(range(300, 330)) and all(x.share >= P.SHARE for x in found)
+    assert P.repetitive(df.limit(0)).count() == 0 and P.scores(df.limit(0), ratio).count() == 0
+
+
 # --------------------------------------------------------------------- mixture
 WEIGHTS = "source string, target_share double, max_repeats int"
 

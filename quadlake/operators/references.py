@@ -5,7 +5,7 @@ partitioned by id and sorted by (id, time), and merged in one linear pass over
 each partition: a running maximum of the lifetimes' ends tells at every
 reference whether some lifetime that has begun is still open.
 
-An id that holds a large share of all references is spread over salts, and the
+An id with more references than a task should get is spread over salts, and the
 few lifetimes of such an id are given to every salt.
 """
 
@@ -37,14 +37,14 @@ def orphans(
     at: str,
     parents: DataFrame,
     static_parents: DataFrame | None = None,
-    share: float = skew.HOT_SHARE,
-    salts: int = skew.SALTS,
+    limit: int | None = None,
 ) -> DataFrame:
     """References whose id has no record, or none live at their time.
 
     parents: id, created_at, deleted_at, one row per lifetime, live from
     created_at (included) to deleted_at (excluded; null: not deleted).
-    static_parents: id, always live. Result: row_id, field, ref, ts, reason:
+    static_parents: id, always live. limit: references of one id that a task
+    may get, by default half of a mean task. Result: row_id, field, ref, ts, reason:
     ``missing`` no lifetime has the id, ``deleted`` some lifetime began at or
     before ts but all those had ended, ``late`` every lifetime begins after ts.
 
@@ -62,13 +62,13 @@ def orphans(
         F.coalesce(F.col("created_at").cast("timestamp_ntz"), F.expr(_ALWAYS)).alias("ts"),
         F.coalesce(F.col("deleted_at").cast("timestamp_ntz"), F.expr(_FOREVER)).alias("until"),
     )
-    hot = skew.hot_keys(refs, "ref", df.count() * len(fields), share)
+    hot = skew.hot_keys(refs, "ref", df.count() * len(fields), limit)
     spread_by = F.struct("row_id", "field", "ts")
     nothing = F.lit(None)
-    stream = skew.spread(refs, hot, "ref", spread_by, salts).select(
+    stream = skew.spread(refs, hot, "ref", spread_by).select(
         "ref", "_salt", "ts", F.lit(1).alias("is_ref"), "row_id", "field", nothing.cast("timestamp_ntz").alias("until")
     ).unionByName(
-        skew.replicate(lives, hot, "ref", salts).select(
+        skew.replicate(lives, hot, "ref").select(
             "ref", "_salt", "ts", F.lit(0).alias("is_ref"), nothing.cast(refs.schema["row_id"].dataType).alias("row_id"), nothing.cast("string").alias("field"), "until"
         )
     )

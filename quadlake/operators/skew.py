@@ -1,9 +1,11 @@
-"""Hot keys: finding the few keys that hold a large share of all rows, and
+"""Hot keys: finding the keys that would fill a task by themselves, and
 spreading them.
 
-A key is hot if it holds at least ``share`` of the rows, so there can be at
-most ``1 / share`` of them whatever the size of the table; that bound is what
-makes broadcasting the list safe.
+A key is hot if its rows are more than half of what a shuffle task gets on
+average, n_rows / (2 * tasks), so there are at most 2 * tasks hot keys however
+large the table is; that bound is what makes broadcasting the list safe. A hot
+key gets as many salts as it has shares of that size, so no task gets more than
+about half a mean task of one key, at any number of rows and of tasks.
 """
 
 from __future__ import annotations
@@ -13,32 +15,33 @@ from pyspark.sql import functions as F
 
 #: At most 1 / HOT_SHARE keys are hot.
 HOT_SHARE = 1 / 512
-#: Tasks over which one hot key is spread.
-SALTS = 64
 
 
-def hot_keys(df: DataFrame, key: str, n_rows: int, share: float = HOT_SHARE) -> DataFrame:
-    """The keys of df with at least share * n_rows rows (map-side counted)."""
-    least = max(1, int(n_rows * share))
-    return df.groupBy(key).count().where((F.col("count") >= least) & F.col(key).isNotNull()).select(key)
+def task_rows(df: DataFrame, n_rows: int) -> int:
+    """Rows of one key that a task may get: half of a mean task of n_rows."""
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, n_rows // (2 * max(1, tasks)))
 
 
-def spread(df: DataFrame, hot: DataFrame, key: str, by: Column, salts: int = SALTS, name: str = "_salt") -> DataFrame:
-    """Add a salt to df: pmod(hash(by)) for hot keys, 0 for all others."""
-    marked = hot.select(F.col(key), F.lit(True).alias("_hot"))
-    return (
-        df.join(F.broadcast(marked), key, "left")
-        .withColumn(name, F.when(F.col("_hot"), F.pmod(F.xxhash64(by), F.lit(salts)).cast("int")).otherwise(F.lit(0)))
-        .drop("_hot")
-    )
+def hot_keys(df: DataFrame, key: str, n_rows: int, limit: int | None = None) -> DataFrame:
+    """The keys of df with more than limit rows (by default task_rows), and
+    salts, the number of tasks each is to be spread over. Counted map-side; a
+    null key is never hot."""
+    limit = limit or task_rows(df, n_rows)
+    return df.groupBy(key).count().where((F.col("count") > limit) & F.col(key).isNotNull()).select(key, F.ceil(F.col("count") / limit).cast("int").alias("salts"))
 
 
-def replicate(df: DataFrame, hot: DataFrame, key: str, salts: int = SALTS, name: str = "_salt") -> DataFrame:
+def _marked(df: DataFrame, hot: DataFrame, key: str) -> DataFrame:
+    return df.join(F.broadcast(hot.select(F.col(key), F.col("salts").alias("_salts"))), key, "left")
+
+
+def spread(df: DataFrame, hot: DataFrame, key: str, by: Column, name: str = "_salt") -> DataFrame:
+    """Add a salt to df: pmod(hash(by), salts) for hot keys, 0 for all others."""
+    salt = F.when(F.col("_salts").isNotNull(), F.pmod(F.xxhash64(by), F.col("_salts")).cast("int")).otherwise(F.lit(0))
+    return _marked(df, hot, key).withColumn(name, salt).drop("_salts")
+
+
+def replicate(df: DataFrame, hot: DataFrame, key: str, name: str = "_salt") -> DataFrame:
     """Give the rows of hot keys once per salt, all others once with salt 0."""
-    marked = hot.select(F.col(key), F.lit(True).alias("_hot"))
-    every = F.sequence(F.lit(0), F.lit(salts - 1))
-    return (
-        df.join(F.broadcast(marked), key, "left")
-        .withColumn(name, F.explode(F.when(F.col("_hot"), every).otherwise(F.array(F.lit(0)))))
-        .drop("_hot")
-    )
+    every = F.when(F.col("_salts").isNotNull(), F.sequence(F.lit(0), F.col("_salts") - 1)).otherwise(F.array(F.lit(0)))
+    return _marked(df, hot, key).withColumn(name, F.explode(every)).drop("_salts")

@@ -3,7 +3,9 @@ from __future__ import annotations
 import random
 from datetime import datetime, timedelta
 
-from quadlake.operators import references
+from pyspark.sql import functions as F
+
+from quadlake.operators import references, skew
 
 START = datetime(2024, 1, 1)
 TRIPLES = "stmt_id bigint, subj bigint, pred bigint, obj bigint, loaded_at timestamp_ntz, ref bigint, ts string, reason string"
@@ -40,7 +42,7 @@ def case(seed, n=1500):
 
 
 def test_against_brute_force_with_a_hot_id(spark):
-    for seed in range(3):
+    for seed, limit in ((0, None), (1, 30), (2, 1)):
         rows, lives = case(seed)
         fixed = [70, 71]
         want = set()
@@ -50,7 +52,7 @@ def test_against_brute_force_with_a_hot_id(spark):
                     want.add((k, f, why))
         found = references.orphans(
             spark.createDataFrame(rows, TRIPLES), "stmt_id", ["subj", "obj"], "loaded_at",
-            spark.createDataFrame([(*x, 0) for x in lives], TERMS), spark.createDataFrame([(i,) for i in fixed], "id bigint"), share=0.1, salts=7,
+            spark.createDataFrame([(*x, 0) for x in lives], TERMS), spark.createDataFrame([(i,) for i in fixed], "id bigint"), limit=limit,
         )
         got = [(r.row_id, r.field, r.reason) for r in found.collect()]
         assert len(got) == len(set(got)) and set(got) == want
@@ -73,3 +75,17 @@ def test_empty_sides_and_counts(spark):
     counts = references.orphan_counts(found)
     assert counts.groupBy().sum("n_refs").first()[0] == found.count()
     assert references.orphans(no_rows, "stmt_id", ["subj"], "loaded_at", spark.createDataFrame([(*x, 0) for x in lives], TERMS)).count() == 0
+
+
+def test_no_task_gets_much_of_one_key(spark):
+    """Salts follow from the rows of a key and of a task, not from the table."""
+    df = spark.range(40_000).select(F.when(F.col("id") % 3 == 0, -1).when(F.col("id") % 20 == 1, -2).otherwise(F.col("id")).alias("k"), "id")
+    limit = skew.task_rows(df, df.count())
+    assert limit == 5000  # four tasks of 10,000 rows
+    hot = skew.hot_keys(df, "k", df.count())
+    assert {r.k: r.salts for r in hot.collect()} == {-1: 3}
+    fine = skew.hot_keys(df, "k", df.count(), 100)
+    assert {r.k: r.salts for r in fine.collect()} == {-1: 134, -2: 14}
+    parts = skew.spread(df, fine, "k", F.col("id")).groupBy("k", "_salt").count()
+    assert parts.agg({"count": "max"}).first()[0] < 200 and parts.agg({"count": "sum"}).first()[0] == 40_000
+    assert skew.replicate(spark.createDataFrame([(-1, "a"), (5, "b"), (None, "c")], "k bigint, x string"), fine, "k").groupBy("x").count().orderBy("x").collect() == [("a", 134), ("b", 1), ("c", 1)]

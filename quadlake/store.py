@@ -25,44 +25,12 @@ from quadlake.functions import terms
 from quadlake.plans.algebra import Node, Query
 from quadlake.plans.compile import execute
 from quadlake.plans.sparql import parse
+from quadlake.sources.files import Files
 from quadlake.sources.quads import COLUMNS, SCHEMA, FrameQuads, QuadSource, context_filter
 
 Quad = tuple[str, str, str, str | None]
 
 
-class _Files:
-    """Small files through the Hadoop file system of a path."""
-
-    def __init__(self, spark: SparkSession, root: str):
-        self.jvm, self.root = spark.sparkContext._jvm, root
-        self.fs = self.path("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-    def path(self, name: str):
-        return self.jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
-
-    def names(self, folder: str) -> list[str]:
-        at = self.path(folder)
-        return [x.getPath().getName() for x in self.fs.listStatus(at)] if self.fs.exists(at) else []
-
-    def read(self, name: str) -> str:
-        stream = self.fs.open(self.path(name))
-        try:
-            return self.jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-        finally:
-            stream.close()
-
-    def create(self, name: str, text: str) -> bool:
-        """False if the name is taken. Written aside, then renamed."""
-        aside = self.path(f"{name}.{uuid.uuid4().hex}.tmp")
-        stream = self.fs.create(aside, True)
-        stream.write(bytearray(text.encode()))
-        stream.close()
-        if not self.fs.exists(self.path(name)) and self.fs.rename(aside, self.path(name)):
-            return True
-        self.fs.delete(aside, False)
-        return False
-
-
 class QuadStore(QuadSource):
     """A catalog: quads and namespaces below ``<path>/<catalog>``."""
 
@@ -71,7 +39,7 @@ class QuadStore(QuadSource):
             raise ConfigError(f"unknown store type {config.type!r}")
         self.spark, self.config = spark, config
         self.root = f"{config.path.rstrip('/')}/{config.catalog}"
-        self.files = _Files(spark, self.root)
+        self.files = Files(spark, self.root)
         #: helpers that make terms
         self.terms = terms
 
@@ -131,7 +99,7 @@ class QuadStore(QuadSource):
 
     def discard(self, entry: dict) -> None:
         for folder in entry.get("folders", {}).values():
-            self.files.fs.delete(self.files.path(folder), True)
+            self.files.remove(folder)
 
     def compact(self) -> None:
         """Write the quads of the newest version as one entry. Older folders
@@ -148,15 +116,15 @@ class QuadStore(QuadSource):
         kept = pointers[-keep:] if keep > 0 else pointers
         used = {f for n in kept for e in json.loads(self.files.read(f"pointers/{n}"))["entries"] for f in e.get("folders", {}).values()}
         for n in pointers[: len(pointers) - len(kept)]:
-            self.files.fs.delete(self.files.path(f"pointers/{n}"), False)
+            self.files.remove(f"pointers/{n}")
         unused = [n for n in self.files.names("") if n.startswith("quads-") and n not in used]
         for n in unused:
-            self.files.fs.delete(self.files.path(n), True)
+            self.files.remove(n)
         return len(unused)
 
     def drop(self) -> None:
         """Delete the catalog with all its versions."""
-        self.files.fs.delete(self.files.path(""), True)
+        self.files.remove("")
 
     def snapshot(self, entries: list[dict] | None = None) -> Snapshot:
         return Snapshot(self, self.state()["entries"] if entries is None else entries)

@@ -6,7 +6,7 @@ classifier trained on labelled documents; one of another, unlisted source is a
 member of none. Projected-gradient least squares then fits a rate between 0 and
 the allowed repeats for every document, so that the expected tokens of each
 domain meet their targets, and the rates are rounded to whole copies without
-changing the totals by more than a few documents.
+changing the totals of tokens by more than a few small documents.
 """
 
 from __future__ import annotations
@@ -18,9 +18,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quadlake.llm.tokens import Encoder, shared_encoder, text_batches
-from quadlake.session import stage
+from quadlake.session import ship, stage
 
 #: Labelled documents the classifier is fitted on (those with the smallest
 #: hash of their id), and the size of its hashed features.
@@ -116,8 +117,10 @@ def sized_documents(docs: DataFrame, targets: Targets, weights: np.ndarray, path
     source, null for all others. One pass over the texts, no shuffle."""
     rows = docs.select("doc_id", "text", F.when(F.trim("source") != "", F.col("source")).alias("source"))
     get = shared_encoder(docs, path)
+    sent = docs.sparkSession.sparkContext.broadcast(weights)  # (FEATURES + 1) x sources numbers, at most 4 MB a thousand sources
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = sent.value
         for batch in text_batches(batches, 1):
             encoder, texts, sources = get(), batch.column(1).to_pylist(), batch.column(2).to_pylist()
             tokens = [encoder.count(t) for t in texts]
@@ -233,24 +236,45 @@ def with_rates(sized: DataFrame, targets: Targets, fit: Fit) -> DataFrame:
     return hard_rows.unionByName(soft_rows)
 
 
+def _extra_copies(tokens: np.ndarray, part: np.ndarray) -> np.ndarray:
+    """Which documents, in falling order of tokens, get one more copy, so that
+    the tokens of these copies make up the sum of part * tokens: a document gets
+    it when at least half of its tokens are owed."""
+    out = np.zeros(len(tokens), bool)
+    owed = 0.0
+    for k, (n, f) in enumerate(zip(tokens.tolist(), part.tolist())):
+        owed += f * n
+        if f > 0 and 2 * owed >= n > 0:
+            out[k] = True
+            owed -= n
+    return out
+
+
 def with_copies(rated: DataFrame, n_rows: int, group_rows: int = GROUP_ROWS) -> DataFrame:
     """Add copies: rate rounded down, and one more for so many documents that
-    the sum of the fractions is kept.
-
-    Documents of a domain are cut by hash into groups of about group_rows,
-    sorted by size inside a group, and get their extra copy where the running
-    sum of fractions passes a whole number: each group is right to one
-    document, and extras fall evenly over all sizes.
+    the tokens of all copies are kept.
+
+    Documents of a domain, those with and without a source apart, are cut by hash
+    into groups of about group_rows. In a
+    group they are taken from the largest to the smallest, and what one document
+    leaves owed or overpaid is carried on to the next: each group is right to
+    half of its smallest documents. A document without tokens, whose copies weigh
+    nothing, gets no extra one.
     """
     groups = max(1, -(-n_rows // group_rows))
     key = F.xxhash64(F.col("doc_id").cast("string"), F.col("tokens"))
-    rows = rated.withColumn("_g", F.pmod(key, F.lit(groups))).withColumn("_rate", F.round("rate", 9))
-    rows = rows.withColumn("_f", F.col("_rate") - F.floor("_rate"))
-    order = Window.partitionBy("domain", "_g").orderBy("tokens", key, "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before = F.pmod(F.xxhash64("domain", "_g"), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    rows = rows.withColumn("_sum", F.round(F.sum("_f").over(order), 9) + before)
-    extra = F.floor("_sum") - F.floor(F.round(F.col("_sum") - F.col("_f"), 9))
-    return rows.withColumn("copies", (F.floor("_rate") + F.when(F.col("_f") > 0, extra).otherwise(0)).cast("int")).drop("_g", "_rate", "_f", "_sum")
+    rows = rated.withColumn("rate", F.round("rate", 9)).withColumn("_g", F.struct(F.pmod(key, F.lit(groups)), F.col("member").isNull())).withColumn("_h", key)
+    schema = T.StructType([*rated.schema.fields, T.StructField("copies", T.IntegerType())])
+
+    def deal(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("tokens", "descending"), ("_h", "ascending"), ("doc_id", "ascending")])
+        rate, tokens = table["rate"].to_numpy(), table["tokens"].to_numpy()
+        base = np.floor(rate)
+        copies = base + _extra_copies(tokens, rate - base)
+        return table.drop_columns(["_g", "_h"]).append_column("copies", pa.array(copies.astype(np.int32)))
+
+    ship(rated.sparkSession)
+    return rows.groupBy("domain", "_g").applyInArrow(deal, schema)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, weights: DataFrame, total: float | None = None, path: str | None = None) -> tuple[DataFrame, Targets, Fit]:

@@ -24,6 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quadlake.operators import skew
 from quadlake.session import ship
 
 #: Registers of a set, and the base of their levels.
@@ -206,36 +207,77 @@ def _covariance(value, theta: np.ndarray, h: float = 1e-3) -> np.ndarray:
 
 
 _JOINT = ["union", "union_error", "intersection", "intersection_error", "jaccard", "jaccard_error"]
+#: A register and its level in one number: reg * LEVELS + level.
+_LEVELS = 1 << 16
+
+
+def packed_sets(registers: DataFrame, key: str) -> DataFrame:
+    """key and _set: all registers of a set in one array of at most m numbers,
+    whatever the size of the set; a set without registers has no row."""
+    one = F.col("reg").cast("bigint") * _LEVELS + F.col("level")
+    return registers.groupBy(key).agg(F.collect_list(one).alias("_set"))
+
+
+def _levels(packed: np.ndarray | None, m: int) -> np.ndarray:
+    out = np.zeros(m, np.int64)
+    if packed is not None and len(packed):
+        x = np.asarray(packed, np.int64)
+        out[x // _LEVELS] = x % _LEVELS
+    return out
+
+
+def _dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """Small rows but much work each: dealt out to all tasks, by an expression
+    the planner does not hold to be met already."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, F.xxhash64(*keys))
 
 
 def joint_pairs(registers: DataFrame, key: str, pairs: DataFrame, m: int = M, base: float = BASE) -> DataFrame:
     """Joint estimates of the pairs of sets asked for: first, second, union,
     intersection, jaccard and their standard errors.
 
-    pairs: first and second, keys of sets, one row a pair. A register row goes
-    to the pairs that ask for it and meets the other set's register there, so
-    the work is M rows a pair and no set is held against all others. A key
-    without registers is an empty set; a pair of two such keys, or with a null,
-    gives no row.
+    pairs: first and second, keys of sets, one row a pair. A set is one row
+    with an array of at most m numbers, joined once for each side of a pair; no
+    set is held against all others. A set that many pairs ask for is spread over
+    salts (for one set against all, see joint_with). A key without registers is
+    an empty set; a pair of two such keys, or with a null, gives no row.
     """
     ship(registers.sparkSession)
     asked = pairs.select("first", "second").where("first is not null and second is not null").distinct()
-    own, none = F.col("level"), F.lit(0)
-    left = registers.select(F.col(key).alias("first"), "reg", own.alias("_i"), none.alias("_j")).join(asked, "first")
-    right = registers.select(F.col(key).alias("second"), "reg", none.alias("_i"), own.alias("_j")).join(asked, "second")
-    both = left.unionByName(right).groupBy("first", "second", "reg").agg(F.max("_i").alias("i"), F.max("_j").alias("j"))
-    parts = int(registers.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    lists = both.groupBy("first", "second").agg(F.collect_list("i").alias("i"), F.collect_list("j").alias("j"))  # of at most m
-    # Small rows but much work each: dealt out again, by an expression the planner does not hold to be met already.
-    lists = lists.repartition(parts, F.xxhash64("first", "second"))
+    sets, n = packed_sets(registers, key), asked.count()
+    rows = asked
+    for side, name in (("first", "_i"), ("second", "_j")):
+        own = sets.select(F.col(key).alias(side), F.col("_set").alias(name))
+        hot = skew.hot_keys(asked, side, n)
+        rows = skew.spread(rows, hot, side, F.struct("first", "second")).join(skew.replicate(own, hot, side), [side, "_salt"], "left").drop("_salt")
+    rows = rows.where("_i is not null or _j is not null")
 
     @F.pandas_udf(", ".join(f"`{x}` double" for x in _JOINT))
     def joint(i: pd.Series, j: pd.Series) -> pd.DataFrame:
-        # registers that neither set uses are pairs (0, 0)
-        full = [(np.pad(x, (0, m - len(x))), np.pad(y, (0, m - len(y)))) for x, y in zip(i, j)]
-        return pd.DataFrame([joint_estimate(x, y, m, base) for x, y in full], columns=_JOINT)
+        return pd.DataFrame([joint_estimate(_levels(x, m), _levels(y, m), m, base) for x, y in zip(i, j)], columns=_JOINT)
+
+    return _dealt(rows, "first", "second").select("first", "second", joint("_i", "_j").alias("_e")).select("first", "second", "_e.*")
+
+
+def joint_with(registers: DataFrame, key: str, common: object, m: int = M, base: float = BASE) -> DataFrame:
+    """Joint estimates of every other set with one common set: key and the
+    columns of joint_pairs.
+
+    The common set is at most m registers, which go to the tasks as a constant,
+    so nothing is joined. Null keys have no row; a common set without registers
+    is empty.
+    """
+    ship(registers.sparkSession)
+    known = registers.where(F.col(key) == F.lit(common)).select((F.col("reg").cast("bigint") * _LEVELS + F.col("level")).alias("x")).limit(m).collect()
+    against = _levels(np.array([r.x for r in known], np.int64), m)
+    others = packed_sets(registers.where(F.col(key) != F.lit(common)), key)
+
+    @F.pandas_udf(", ".join(f"`{x}` double" for x in _JOINT))
+    def joint(own: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([joint_estimate(_levels(x, m), against, m, base) for x in own], columns=_JOINT)
 
-    return lists.select("first", "second", joint("i", "j").alias("_e")).select("first", "second", "_e.*")
+    return _dealt(others, key).select(key, joint("_set").alias("_e")).select(key, "_e.*")
 
 
 def neighbours(registers: DataFrame, key: str, m: int = M, base: float = BASE) -> DataFrame:

@@ -31,6 +31,8 @@ FOLDER = "/opt/tokenizers"
 BYTE_BPE = "byte_bpe_50k.tiktoken"
 #: Pre-tokens kept in a worker's memo, and the longest of them.
 MEMO, MEMO_LENGTH = 200_000, 64
+#: Bytes of the largest rank file that is sent to executors.
+MAX_FILE = 32 << 20
 #: Characters from which the pieces of a text are not held all at once.
 LONG_TEXT = 1_000_000
 #: Characters of text after which a record batch is cut.
@@ -149,9 +151,12 @@ def load_encoder(path: str) -> Encoder:
 
 def shared_encoder(df: DataFrame, path: str | None = None) -> Callable[[], Encoder]:
     """A function that gives a worker its encoder. It is built once and sent
-    once to each executor (under 2 MB, fixed by the vocabulary)."""
+    once to each executor; a rank file over MAX_FILE bytes is refused."""
     ship(df.sparkSession)
-    sent = df.sparkSession.sparkContext.broadcast(load_encoder(path or f"{FOLDER}/{BYTE_BPE}"))
+    path = path or f"{FOLDER}/{BYTE_BPE}"
+    if (size := Path(path).stat().st_size) > MAX_FILE:
+        raise ValueError(f"a rank file of {size} bytes is too large to be sent to every executor")
+    sent = df.sparkSession.sparkContext.broadcast(load_encoder(path))
     return lambda: sent.value
 
 

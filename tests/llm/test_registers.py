@@ -142,3 +142,18 @@ def test_empty_and_null_items(spark):
     rows = [(date(2024, 1, 1), None, None, 0, "")] * 3 + [(date(2024, 1, 1), None, "x" * 100_000, 0, "")] * 3
     got = R.cube(frame(spark, rows), ["day", "c"], "s").collect()
     assert len(got) == 4 and all(abs(r.estimate - 1) < 0.01 for r in got)
+
+
+def test_joint_estimates_need_no_products(spark):
+    rows = sample()
+    regs = R.sketch(frame(spark, rows), ["c"], "s")
+    one = {r.c: r for r in R.joint_with(regs, "c", "g0").collect()}
+    pairs = spark.createDataFrame([(k, "g0") for k in one], "first string, second string")
+    two = {r["first"]: r for r in R.joint_pairs(regs, "c", pairs).collect()}
+    assert one and set(one) == set(two) == {c for _, c, s, *_ in rows if c and s} - {"g0"}
+    for k, r in one.items():
+        assert all(r[x] == two[k][x] for x in R._JOINT)
+    for df in (R.joint_with(regs, "c", "g0"), R.joint_pairs(regs, "c", pairs)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert {r.intersection for r in R.joint_with(regs, "c", "no set").collect()} == {0.0}

@@ -13,8 +13,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: At most 1 / HOT_SHARE keys are hot.
-HOT_SHARE = 1 / 512
 
 
 def task_rows(df: DataFrame, n_rows: int) -> int:

@@ -35,6 +35,37 @@ def as_type(key: Column, name: str) -> Column:
     raise ValueError(f"no accessor {name}")
 
 
+#: The lexical forms of xsd:dateTime, date, time, gYearMonth, gYear,
+#: gMonthDay, gMonth and gDay, without their time zone.
+_YEAR, _MONTH, _DAY, _CLOCK = r"-?[0-9]{4,9}", r"(?:0[1-9]|1[0-2])", r"(?:0[1-9]|[12][0-9]|3[01])", r"(?:[01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9](?:\.[0-9]+)?"
+_CALENDAR = rf"^(?:(?:{_YEAR}-{_MONTH}-{_DAY}T)?{_CLOCK}|{_YEAR}(?:-{_MONTH}(?:-{_DAY})?)?|--{_MONTH}(?:-{_DAY})?|---{_DAY})$"
+
+
+def calendar(key: Column) -> Column:
+    """year, month, day, hour, minute (int), second (decimal) and zone (minutes
+    from UTC) of any of the calendar types, null for what the type lacks; a null
+    struct if the label is none. Days that do not exist are none."""
+    x = lexical.trim(terms.lex(key))
+    zone = F.regexp_extract(x, r"(Z|[+-](?:0[0-9]|1[0-4]):[0-5][0-9])$", 1)
+    bare = F.substring(x, F.lit(1), F.length(x) - F.length(zone))
+
+    def part(pattern: str, kind: str = "int") -> Column:
+        return F.regexp_extract(bare, pattern, 1).try_cast(kind)
+
+    year, month = part(rf"^({_YEAR})(?:-|$)"), part(rf"^(?:{_YEAR}|-)-([0-9][0-9])(?:-|$)")
+    day = part(rf"^(?:(?:{_YEAR}|-)-[0-9][0-9]|--)-([0-9][0-9])(?:T|$)")
+    minutes = F.substring(zone, 2, 2).try_cast("int") * 60 + F.substring(zone, 5, 2).try_cast("int")
+    parts = {
+        "year": year, "month": month, "day": day,
+        "hour": part(r"(?:^|T)([0-9][0-9]):"), "minute": part(r"(?:^|T)[0-9][0-9]:([0-9][0-9]):"), "second": part(r":([0-9][0-9](?:\.[0-9]+)?)$", "decimal(11,9)"),
+        "zone": F.when(zone == "Z", 0).when(zone.startswith("-"), -minutes).otherwise(minutes),
+    }
+    # a day without year is held against a leap year; years beyond four digits keep their number
+    last = F.when(month.isin(4, 6, 9, 11), 30).when((month == 2) & (F.coalesce(year, F.lit(4)) % 4 == 0) & ((F.coalesce(year, F.lit(4)) % 100 != 0) | (year % 400 == 0)), 29).when(month == 2, 28).otherwise(31)
+    exists = F.coalesce((day <= last) | (day.isNull()), F.lit(True))
+    return F.when(bare.rlike(_CALENDAR) & exists, F.struct(*[c.alias(n) for n, c in parts.items()]))
+
+
 def _group(x: Column, pattern: str, n: int, kind: str) -> Column:
     return F.coalesce(F.regexp_extract(x, pattern, n).try_cast(kind), F.lit(0).cast(kind))
 

@@ -8,6 +8,7 @@ are the same if and only if their keys are equal byte for byte.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -33,8 +34,9 @@ def uri(value: str, local: str | None = None) -> str:
     return f"<{value}{local or ''}>"
 
 
-def bnode(label: str) -> str:
-    return f"_:{label}"
+def bnode(label: str | None = None) -> str:
+    """A blank node; without a label a new one that no other call gives."""
+    return f"_:{label or 'n' + uuid.uuid4().hex}"
 
 
 def literal(label: str, language: str | None = None, datatype: str | None = None) -> str:
@@ -44,6 +46,16 @@ def literal(label: str, language: str | None = None, datatype: str | None = None
     return f'"{label}"@{language}' if language else f'"{label}"'
 
 
+def statement(s: str, p: str, o: str, c: str | None = None) -> tuple[str, str, str, str | None]:
+    """A quad, c None for the default graph. Terms that cannot stand in their
+    place raise."""
+    kinds = [t.kind if (t := decode(x)) else None for x in (s, p, o)]
+    graph = "uri" if c is None else g.kind if (g := decode(c)) else None
+    if kinds[0] not in ("uri", "bnode") or kinds[1] != "uri" or kinds[2] is None or graph not in ("uri", "bnode"):
+        raise ValueError(f"not a quad: {(s, p, o, c)}")
+    return s, p, o, c
+
+
 def decode(key: str | None) -> Term | None:
     """The parts of a key; None for None and for a string that is no key."""
     if not key:
@@ -80,6 +92,12 @@ def is_resource(key: Column) -> Column:
     return is_uri(key) | is_bnode(key)
 
 
+def legal_quad(s: str = "s", p: str = "p", o: str = "o", c: str = "c") -> Column:
+    """Rows that are quads: a resource, an IRI, any term, and a resource or null."""
+    graph = F.col(c)
+    return is_resource(F.col(s)) & is_uri(F.col(p)) & (is_resource(F.col(o)) | is_literal(F.col(o))) & (graph.isNull() | is_resource(graph))
+
+
 def suffix(key: Column) -> Column:
     """What follows the last quote of a literal; null for other terms."""
     return F.when(is_literal(key), F.substring_index(key, '"', -1))
@@ -148,8 +166,10 @@ def make_uri(value: Column, local: Column | None = None) -> Column:
     return F.concat(F.lit("<"), *([value] if local is None else [value, local]), F.lit(">"))
 
 
-def make_bnode(label: Column) -> Column:
-    return F.concat(F.lit("_:"), label)
+def make_bnode(label: Column | None = None) -> Column:
+    """Without a label a new blank node for every row, and for every run: stage
+    the rows before they are used twice."""
+    return F.concat(F.lit("_:"), F.concat(F.lit("n"), F.replace(F.uuid(), F.lit("-"))) if label is None else label)
 
 
 def make_literal(label: Column, lang: Column | None = None, dtype: str | None = None) -> Column:

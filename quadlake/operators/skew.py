@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-
 def task_rows(df: DataFrame, n_rows: int) -> int:
     """Rows of one key that a task may get: half of a mean task of n_rows."""
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

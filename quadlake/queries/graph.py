@@ -8,6 +8,7 @@ too. ``Q`` queries run on the table quads, taken as a set of (s, p, o, c).
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -24,7 +25,7 @@ from quadlake.sources.nquads import format_quads, parse_lines
 from quadlake.sources.quads import FrameQuads
 from quadlake.sources.tables import table
 from quadlake.store import QuadStore
-from quadlake.streaming.ingest import predicate_rates
+from quadlake.streaming.ingest import late_rows, newest_rates, predicate_rates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -414,7 +415,9 @@ _coded_query("ids_scan_p", lambda d: d.scan(p=_PADUK), f"SELECT * FROM q WHERE p
 _coded_query("ids_scan_default_graph", lambda d: d.scan(contexts=[None]), "SELECT * FROM q WHERE c IS NULL")
 _coded_query("ids_unknown_value", lambda d: d.scan(s="<http://quads.example/nobody>"), "SELECT * FROM q WHERE false")
 _coded_query("ids_size_by_predicate", lambda d: d.scan().groupBy("p").agg(F.count(F.lit(1)).alias("n")), "SELECT p, count(*) AS n FROM q GROUP BY p")
-
+#: All stored quads added to the statements, with ids for the terms that have none.
+QUERIES["ids_add"] = lambda spark, folder: _coded(spark, folder).added(stored(spark, folder).scan(), datetime(2099, 1, 1)).scan()
+SQL["ids_add"] = _DECODED + ", x AS (SELECT s, p, o, c FROM q UNION SELECT s, p, o, c FROM quads WHERE s IS NOT NULL AND p IS NOT NULL AND o IS NOT NULL) SELECT * FROM x"
 
 # ----------------------------------------------------------------- streaming
 def _stream_rates(spark: SparkSession, folder: str) -> DataFrame:
@@ -424,11 +427,14 @@ def _stream_rates(spark: SparkSession, folder: str) -> DataFrame:
     stream = spark.readStream.schema(schema).parquet(f"{folder}/[q]uads.parquet")  # as a pattern it may be a file or a folder
 
     def keep(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(target)
-
-    counted = predicate_rates(stream, "loaded_at", late="3650 days")
-    counted.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", log).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(target).select(F.col("start").cast("timestamp_ntz").alias("hour"), "p", "n")
+        batch.write.mode("overwrite").parquet(f"{target}/batch={number}")
+
+    counted = predicate_rates(stream, "loaded_at", late="7 days")
+    query = counted.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", log).trigger(availableNow=True).start()
+    query.awaitTermination()
+    if late := late_rows(query):
+        raise RuntimeError(f"{late} rows came too late")
+    return newest_rates(spark.read.parquet(target)).select(F.col("start").cast("timestamp_ntz").alias("hour"), "p", "n")
 
 
 QUERIES["stream_predicate_rates"] = _stream_rates

@@ -268,7 +268,7 @@ class Connection(QuadSource):
 
         def run() -> int:
             new = quads.select(*COLUMNS) if isinstance(quads, DataFrame) else self.spark.createDataFrame(list(quads), SCHEMA)
-            bad = new.where(~F.coalesce(legal(), F.lit(False))).take(1)
+            bad = new.where(~F.coalesce(terms.legal_quad(), F.lit(False))).take(1)
             if bad:
                 raise ValueError(f"not a quad: {tuple(bad[0])}")
             entry = self.store.write(fresh(new.distinct(), self.quads()))
@@ -329,12 +329,6 @@ class Connection(QuadSource):
         self._rename({})
 
 
-def legal() -> Column:
-    """Rows that are quads: a resource, an IRI, any term, and a resource or null."""
-    s, p, o, c = (F.col(x) for x in COLUMNS)
-    return terms.is_resource(s) & terms.is_uri(p) & (terms.is_resource(o) | terms.is_literal(o)) & (c.isNull() | terms.is_resource(c))
-
-
 def removed(pattern: dict) -> Column:
     """The quads a removal hides."""
     tests = [F.col(n) == pattern[n] for n in ("s", "p", "o") if n in pattern]

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from quadlake.store import QuadStore, legal
+from quadlake.functions.terms import legal_quad
+from quadlake.store import QuadStore
 
 
 def ingest(stream: DataFrame, store: QuadStore, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
@@ -22,14 +23,26 @@ def ingest(stream: DataFrame, store: QuadStore, checkpoint: str, trigger: dict |
 
     def add(batch: DataFrame, _: int) -> None:
         with store.connect() as c:
-            c.add_all(batch.select("s", "p", "o", "c").where(F.coalesce(legal(), F.lit(False))))
+            c.add_all(batch.select("s", "p", "o", "c").where(F.coalesce(legal_quad(), F.lit(False))))
 
     return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
+def late_rows(query: StreamingQuery) -> int:
+    """Rows the watermark has dropped, over the batches whose progress is kept."""
+    return sum(o.numRowsDroppedByWatermark for p in query.recentProgress for o in p.stateOperators)
+
+
+def newest_rates(updates: DataFrame) -> DataFrame:
+    """The table of rates after a stream in update mode whose batches were kept
+    with their number (batch): the newest row of every window and predicate."""
+    return updates.groupBy("start", "end", "p").agg(F.max_by("n", "batch").alias("n"))
+
+
 def predicate_rates(stream: DataFrame, time: str, window: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Rows per predicate and window of event time; rows later than ``late``
-    behind the newest are dropped by the watermark. Also works on a table."""
+    behind the newest are dropped by the watermark (see late_rows). In update mode
+    a window leaves the state once it is that old. Also works on a table."""
     rows = stream.withColumn("_t", F.col(time).cast("timestamp"))
     rows = rows.withWatermark("_t", late) if stream.isStreaming else rows
     return rows.groupBy(F.window("_t", window).alias("w"), "p").agg(F.count(F.lit(1)).alias("n")).select("w.start", "w.end", "p", "n")

@@ -7,6 +7,7 @@ import random
 from collections import Counter
 from decimal import Decimal
 
+import pytest
 from pyspark.sql import functions as F
 
 from quadlake.functions import accessors
@@ -67,6 +68,53 @@ def test_decoding_and_look_ups(spark):
     assert empty.scan().count() == 0
 
 
+def test_added_statements_get_ids(spark):
+    statements, values, vocabulary = case()
+    src = DictionaryQuads(
+        spark.createDataFrame([(*x, 7, "clash") for x in statements], STATEMENTS), spark.createDataFrame([(*x, "clash") for x in values], VALUES), spark.createDataFrame(vocabulary, "id bigint, term string")
+    )
+    had = decode(statements, values, vocabulary)
+    again = sorted(had, key=str)[:20]
+    new = [("<n1>", "<v1>", '"x"', None), ("<n1>", "<v1>", '"x"', None), ("_:b", "<n2>", "<n1>", "<v2>"), ("<n1>", "<n2>", '"' + "long" * 100_000 + '"@en', "_:b")] + [("<hot>", "<v0>", f'"{i}"', "<v3>") for i in range(300)]
+    quads = spark.createDataFrame([(*q, i) for i, q in enumerate(again + new)], "s string, p string, o string, c string, subj int").repartition(5)
+    out = src.added(quads, hours(1000))
+    want = Counter(had | set(new) | set(again))
+    assert Counter(tuple(r) for r in out.scan().collect()) == want
+    assert Counter(tuple(r) for r in out.added(quads, hours(1001)).scan().collect()) == want  # no new ids for known terms
+    assert {tuple(r) for r in out.scan(s="<hot>").collect()} == {q for q in new if q[0] == "<hot>"}
+    ids = [r.id for r in out.values.where("born = timestamp_ntz'2024-02-11 16:00:00'").collect()]
+    assert len(ids) == len(set(ids)) and min(ids) > 129 and not set(ids) & {v[0] for v in values}
+    assert out.ids_of("<v1>") == [11] and len(out.ids_of("<n1>")) == 1
+    with pytest.raises(ValueError):
+        src.added(spark.createDataFrame([('"literal"', "<p>", "<o>", None)], "s string, p string, o string, c string"), hours(0))
+    empty = DictionaryQuads(spark.createDataFrame([], STATEMENTS), spark.createDataFrame([], VALUES), spark.createDataFrame([], "id bigint, term string"))
+    assert {tuple(r) for r in empty.added(quads, hours(0)).scan().collect()} == set(new) | set(again)
+
+
+def test_no_join_by_a_null_key_and_no_product(spark):
+    statements, values, vocabulary = case()
+    src = DictionaryQuads(
+        spark.createDataFrame([(*x, 7, "") for x in statements], STATEMENTS), spark.createDataFrame([(*x, "") for x in values], VALUES), spark.createDataFrame(vocabulary, "id bigint, term string")
+    )
+    plan = src.scan()._jdf.queryExecution().optimizedPlan().toString()
+    inner = [line for line in plan.split("\n") if "Join Inner" in line]
+    values = [line for line in inner if "born" in line]  # the others meet the small vocabulary
+    assert "Cartesian" not in plan and len(values) >= 4 and all("_salt" in line for line in values)
+
+
+def test_calendar_accessor(spark):
+    labels = {
+        "2024-02-29T23:59:59.5Z": (2024, 2, 29, 23, 59, Decimal("59.5"), 0), "2024-02-29+02:00": (2024, 2, 29, None, None, None, 120), "2023-02-29": None,
+        "12:30:00-01:30": (None, None, None, 12, 30, Decimal(0), -90), "2024": (2024, None, None, None, None, None, None), "-0044": (-44, None, None, None, None, None, None),
+        "2024-05": (2024, 5, None, None, None, None, None), "--02-29": (None, 2, 29, None, None, None, None), "--02-30": None, "--12": (None, 12, None, None, None, None, None),
+        "---31Z": (None, None, 31, None, None, None, 0), "---32": None, "24:61:00": None, "2024-13": None, "": None, "x" * 300_000: None, "12024-01-01": (12024, 1, 1, None, None, None, None),
+    }
+    rows = spark.createDataFrame([(f'"{x}"^^<{XSD}any>', x) for x in labels] + [("<iri>", "<iri>"), (None, "null")], "o string, x string")
+    got = {r.x: r.c for r in rows.select("x", accessors.calendar(F.col("o")).alias("c")).collect()}
+    for x, want in {**labels, "<iri>": None, "null": None}.items():
+        assert (got[x] and tuple(got[x])) == want, x
+
+
 def test_typed_accessors(spark):
     o = F.col("o")
 

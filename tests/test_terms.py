@@ -5,6 +5,7 @@ from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from quadlake.functions import accessors
 from quadlake.functions import terms as T
 
 LABELS = st.text(st.characters(blacklist_categories=("Cs",)))
@@ -59,3 +60,16 @@ def test_builders(spark):
         T.make_uri(F.lit("http://e/"), F.lit("a")), T.make_bnode(F.lit("b")), T.make_literal(F.lit("x"), F.lit("en")), T.make_literal(F.lit("x"), F.lit("")), T.make_literal(F.lit("1"), dtype=T.XSD + "int")
     ).first()
     assert list(row) == ["<http://e/a>", "_:b", '"x"@en', '"x"', f'"1"^^<{T.XSD}int>']
+
+
+def test_new_blank_nodes_and_statements(spark):
+    assert T.bnode("x") == "_:x" and T.bnode() != T.bnode() and T.decode(T.bnode()).kind == "bnode"
+    made = [r.b for r in spark.range(200).select(T.make_bnode().alias("b")).collect()]
+    assert len(set(made)) == 200 and all(b.startswith("_:n") for b in made)
+    assert T.statement("<s>", "<p>", '"o"') == ("<s>", "<p>", '"o"', None)
+    assert T.statement("_:s", "<p>", "_:o", "_:g")[3] == "_:g"
+    for bad in [('"s"', "<p>", "<o>"), ("<s>", "_:p", "<o>"), ("<s>", "<p>", "o"), ("<s>", "<p>", "<o>", '"g"'), (None, "<p>", "<o>"), ("<s>", "<p>", "<o>", "g")]:
+        with pytest.raises(ValueError):
+            T.statement(*bad)
+    df = spark.createDataFrame([("123456789",), ("",), (None,)], "x string")
+    assert [r.v for r in df.select(accessors.checksum(F.col("x")).alias("v")).collect()] == [0xCBF43926, 0, None]

@@ -1,12 +1,15 @@
 """A quad store on immutable Parquet files.
 
 A version is a numbered pointer file with a list of entries: folders of quads
-that were added, and patterns that were removed. An addition writes only the
-quads that are new, a removal writes nothing but its pattern, which hides the
-matching quads of all earlier entries; ``compact`` folds the list into one
-entry. Readers resolve the newest pointer once per call, so they see a commit
-as a whole or not at all. Quads are a set of (s, p, o, c). The flag for inferred statements is accepted everywhere and
-has no effect: all statements are alike.
+that were added, and patterns or folders of quads that were removed. An addition
+writes only the quads that are new; a removal hides the matching quads of all
+earlier entries. A commit that leaves more than ENTRIES entries folds the newest
+of them into one, together with older ones that are no larger, so a quad is
+written again only as often as the store doubles and a pointer stays short;
+``compact`` folds all. Readers resolve the newest pointer once per call, so they
+see a commit as a whole or not at all. Quads are a set of (s, p, o, c). The flag
+for inferred statements is accepted everywhere and has no effect: all statements
+are alike.
 """
 
 from __future__ import annotations
@@ -29,6 +32,8 @@ from quadlake.sources.files import Files
 from quadlake.sources.quads import COLUMNS, SCHEMA, FrameQuads, QuadSource, context_filter
 
 Quad = tuple[str, str, str, str | None]
+#: Entries a version may have before the newest are folded.
+ENTRIES = 32
 
 
 class QuadStore(QuadSource):
@@ -83,24 +88,63 @@ class QuadStore(QuadSource):
         for paths, after in parts:
             rows = self.spark.read.schema(SCHEMA).parquet(*paths)
             for r in after:
-                rows = rows.where(~removed(r))
+                rows = without(rows, self.read(r["folder"])) if "folder" in r else rows.where(~removed(r))
             out = rows if out is None else out.unionByName(rows)
         return self.spark.createDataFrame([], SCHEMA) if out is None else out
 
+    def read(self, folder: str) -> DataFrame:
+        return self.spark.read.schema(SCHEMA).parquet(f"{self.root}/{folder}")
+
     def write(self, quads: DataFrame) -> dict:
         """Write a set of quads once per layout, as an entry; file statistics
-        on the sort columns let scans skip row groups."""
-        out = {}
+        on the sort columns let scans skip row groups. Only the first layout
+        evaluates quads, the others are written from its files, so all hold the
+        same quads whatever quads is made of."""
+        out: dict[str, str] = {}
         for i, layout in enumerate(self.config.layouts):
-            rows = quads.repartitionByRange(*([layout.partitions] if layout.partitions else []), *layout.sort)
+            rows = quads if i == 0 else self.read(out["0"])
+            rows = rows.repartitionByRange(*([layout.partitions] if layout.partitions else []), *layout.sort)
             out[str(i)] = f"quads-{uuid.uuid4().hex}"
             rows.sortWithinPartitions(*layout.sort).write.parquet(f"{self.root}/{out[str(i)]}")
-        return {"folders": out}
+        return {"folders": out, "rows": self.read(out["0"]).count()}
+
+    def keep(self, quads: DataFrame) -> str:
+        """Write quads as they come into a folder of their own."""
+        folder = f"quads-{uuid.uuid4().hex}"
+        quads.write.parquet(f"{self.root}/{folder}")
+        return folder
+
+    @staticmethod
+    def folders_of(entry: dict) -> list[str]:
+        removal = entry.get("remove", {})
+        return [*entry.get("folders", {}).values(), *([removal["folder"]] if "folder" in removal else [])]
 
     def discard(self, entry: dict) -> None:
-        for folder in entry.get("folders", {}).values():
+        for folder in self.folders_of(entry):
             self.files.remove(folder)
 
+    def settle(self) -> None:
+        """Fold the newest entries if there are more than ENTRIES: at least half
+        as many, and every older one with no more rows than those after it. What
+        was removed stays noted for the entries before them. A commit of another
+        connection in between goes first."""
+        v, state = self.version(), self.state()
+        entries = state["entries"]
+        if len(entries) <= ENTRIES:
+            return
+        start, rows = len(entries), 0
+        while start and (len(entries) - start < ENTRIES // 2 or entries[start - 1].get("rows", 0) <= rows):
+            start -= 1
+            rows += entries[start].get("rows", 0)
+        removals = [e for e in entries[start:] if "remove" in e]
+        if len(removals) > ENTRIES // 4 or {} in [e["remove"] for e in removals]:
+            start, removals = 0, []
+        folded = self.write(self.view(entries[start:]))
+        try:
+            self.publish(v, {**state, "entries": [*entries[:start], *(removals if start else []), folded]})
+        except TransactionError:
+            self.discard(folded)
+
     def compact(self) -> None:
         """Write the quads of the newest version as one entry. Older folders
         stay for readers of older versions."""
@@ -114,7 +158,7 @@ class QuadStore(QuadSource):
         while a transaction is open: its folders are not referred to yet."""
         pointers = sorted(n for n in self.files.names("pointers") if n.endswith(".json"))
         kept = pointers[-keep:] if keep > 0 else pointers
-        used = {f for n in kept for e in json.loads(self.files.read(f"pointers/{n}"))["entries"] for f in e.get("folders", {}).values()}
+        used = {f for n in kept for e in json.loads(self.files.read(f"pointers/{n}"))["entries"] for f in self.folders_of(e)}
         for n in pointers[: len(pointers) - len(kept)]:
             self.files.remove(f"pointers/{n}")
         unused = [n for n in self.files.names("") if n.startswith("quads-") and n not in used]
@@ -204,6 +248,7 @@ class Connection(QuadSource):
             except TransactionError:
                 self.rollback()
                 raise
+            self.store.settle()
         self._end()
 
     def rollback(self) -> None:
@@ -267,32 +312,59 @@ class Connection(QuadSource):
         """Add quads; those already there change nothing. Illegal terms raise."""
 
         def run() -> int:
-            new = quads.select(*COLUMNS) if isinstance(quads, DataFrame) else self.spark.createDataFrame(list(quads), SCHEMA)
-            bad = new.where(~F.coalesce(terms.legal_quad(), F.lit(False))).take(1)
-            if bad:
-                raise ValueError(f"not a quad: {tuple(bad[0])}")
-            entry = self.store.write(fresh(new.distinct(), self.quads()))
-            n = self.spark.read.schema(SCHEMA).parquet(f"{self.store.root}/{entry['folders']['0']}").count()
-            if n:
+            entry: dict = {}
+            new, aside = self._given(quads)
+            try:
+                if bad := new.where(~F.coalesce(terms.legal_quad(), F.lit(False))).take(1):
+                    raise ValueError(f"not a quad: {tuple(bad[0])}")
+                entry = self.store.write(fresh(new.distinct(), self.quads()))
+            finally:
+                self.store.discard(aside)
+            if entry["rows"]:
                 self._own.append(entry)
             else:
                 self.store.discard(entry)
-            return n
+            return entry["rows"]
 
         return self._change(run)
 
+    def _given(self, quads: DataFrame | Iterable[Quad]) -> tuple[DataFrame, dict]:
+        """Quads of a caller, and an entry to discard after use: a DataFrame is
+        evaluated once and written aside, so that what is checked is what is stored."""
+        if not isinstance(quads, DataFrame):
+            return self.spark.createDataFrame(list(quads), SCHEMA), {}
+        folder = self.store.keep(quads.select(*COLUMNS))
+        return self.store.read(folder), {"folders": {"0": folder}}
+
     def remove(self, s=None, p=None, o=None, contexts: Iterable[str | None] = (), inferred: bool = False) -> int:
         """Remove the quads that match; None among the contexts is the default
         graph only. Gives the number removed."""
 
         def run() -> int:
-            pattern = {k: v for k, v in (("s", s), ("p", p), ("o", o)) if v is not None}
             graphs = list(dict.fromkeys(contexts))
-            if graphs:
-                pattern["contexts"] = graphs
-            n = self.quads().where(removed(pattern)).count()
+            n = self.scan(s, p, o, graphs).count()
             if n:
-                self._own.append({"remove": pattern})
+                pattern = {k: v for k, v in (("s", s), ("p", p), ("o", o)) if v is not None}
+                self._own.append({"remove": pattern | ({"contexts": graphs} if graphs else {})})
+            return n
+
+        return self._change(run)
+
+    def remove_all(self, quads: DataFrame | Iterable[Quad]) -> int:
+        """Remove each of these quads, all in one change; those that are not
+        there change nothing. Gives the number removed."""
+
+        def run() -> int:
+            old, aside = self._given(quads)
+            try:
+                folder = self.store.keep(present(old.distinct(), self.quads()))
+            finally:
+                self.store.discard(aside)
+            entry, n = {"remove": {"folder": folder}}, self.store.read(folder).count()
+            if n:
+                self._own.append(entry)
+            else:
+                self.store.discard(entry)
             return n
 
         return self._change(run)
@@ -338,19 +410,31 @@ def removed(pattern: dict) -> Column:
     return reduce(Column.__and__, tests) if tests else F.lit(True)
 
 
+#: A quad's columns as join keys, null contexts equal.
+_KEYS = ["s", "p", "o", "_c"]
+
+
+def _keyed(df: DataFrame) -> DataFrame:
+    return df.withColumn("_c", F.coalesce("c", F.lit("")))
+
+
+def without(quads: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of quads that are not in gone."""
+    return _keyed(quads).join(_keyed(gone).select(*_KEYS), _KEYS, "left_anti").select(*COLUMNS)
+
+
+def present(some: DataFrame, quads: DataFrame) -> DataFrame:
+    """The rows of some, a set, that are in quads."""
+    return _keyed(quads).join(_keyed(some).select(*_KEYS), _KEYS, "left_semi").select(*COLUMNS)
+
+
 def fresh(new: DataFrame, old: DataFrame) -> DataFrame:
-    """The rows of new that are not in old, null contexts equal.
+    """The rows of new that are not in old.
 
     The old side is first reduced to what new has too, so that a small batch is
     held against a large store by a scan, without shuffling the store.
     """
-
-    def keyed(df: DataFrame) -> DataFrame:
-        return df.withColumn("_c", F.coalesce("c", F.lit("")))
-
-    keys = ["s", "p", "o", "_c"]
-    again = keyed(old).join(keyed(new).select(*keys), keys, "left_semi").select(*keys)
-    return keyed(new).join(again, keys, "left_anti").select(*COLUMNS)
+    return without(new, present(new, old))
 
 
 def open_store(spark: SparkSession, options: StoreConfig | dict) -> QuadStore:

@@ -6,6 +6,7 @@ from collections import Counter
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from quadlake.config import Layout, StoreConfig
 from quadlake.errors import ConfigError, TransactionError
@@ -126,6 +127,71 @@ def test_changes_write_only_what_is_new_and_compact_folds_them(store):
     assert c.remove() == 12 and c.count() == 0 and c.add(A, P, B) == 1 and c.count() == 1
 
 
+def test_removal_of_given_quads(spark, store):
+    c = store.connect()
+    c.add_all([(A, P, f'"{i}"', G if i % 2 else None) for i in range(20)])
+    c.add(A, P, '"3"')
+    gone = spark.createDataFrame([(A, P, '"3"', G, 1), (A, P, '"3"', G, 2), (A, P, '"4"', None, 3), (A, P, '"5"', None, 4), (B, P, B, None, 5)], SCHEMA + ", n int")
+    assert c.remove_all(gone) == 2 and c.remove_all(gone) == 0 and c.remove_all([]) == 0
+    want = Counter((A, P, f'"{i}"', G if i % 2 else None) for i in range(20) if i not in (3, 4)) + Counter([(A, P, '"3"', None)])
+    assert quads(store) == want
+    assert c.add(A, P, '"4"') == 1
+    store.compact()
+    assert quads(store) == want + Counter([(A, P, '"4"', None)])
+    assert store.vacuum() == 4 and quads(store) == want + Counter([(A, P, '"4"', None)])
+
+
+def test_an_input_is_evaluated_once(spark, tmp_path):
+    """Rows that come out differently each time are the same in every layout."""
+    store = open_store(spark, {"path": str(tmp_path), "layouts": [{"sort": ["s", "p", "o", "c"]}, {"sort": ["o"]}]})
+    c = store.connect()
+    rows = spark.range(200).select(F.lit(A).alias("s"), F.lit(P).alias("p"), F.concat(F.lit('"'), F.uuid(), F.lit('"')).alias("o"), F.lit(None).cast("string").alias("c"))
+    assert c.add_all(rows) == 200
+    entries = store.state()["entries"]
+    one, two = (Counter(tuple(r) for r in store.view(entries, k).collect()) for k in (0, 1))
+    assert one == two and len(one) == 200
+    assert len([n for n in store.files.names("") if n.startswith("quads-")]) == 2
+
+
+def test_many_commits_keep_a_short_pointer(spark, store, monkeypatch):
+    monkeypatch.setattr("quadlake.store.ENTRIES", 6)
+    c = store.connect()
+    want = Counter()
+    c.add_all([(B, P, f'"{i}"', None) for i in range(50)])
+    want += Counter((B, P, f'"{i}"', None) for i in range(50))
+    first = store.state()["entries"][0]
+    for i in range(14):
+        c.add(A, P, f'"{i}"')
+        want[(A, P, f'"{i}"', None)] += 1
+        if i % 5 == 4:
+            assert c.remove(o=f'"{i}"') == 2 and c.remove_all([(A, P, f'"{i - 1}"', None)]) == 1
+            del want[(A, P, f'"{i}"', None)], want[(B, P, f'"{i}"', None)], want[(A, P, f'"{i - 1}"', None)]
+        assert len(store.state()["entries"]) <= 6
+        assert i > 3 or store.state()["entries"][0] == first  # small entries are folded without the large one
+    assert quads(store) == want
+    c.remove()
+    assert c.count() == 0
+
+
+def test_inferred_statements_are_like_others(store):
+    c = store.connect()
+    assert c.add(A, P, B, inferred=True) == 1 and c.remove(A, P, B, inferred=True) == 1 and c.count() == 0
+    assert c.add(A, P, B) == 1 and c.remove(inferred=True) == 1
+    assert store.terms.uri("http://e/", "x") == "<http://e/x>" and store.terms.decode(store.terms.literal("x")).value == "x"
+
+
+def test_bound_columns_prune_the_layout_that_is_sorted_by_them(spark, tmp_path):
+    store = open_store(spark, {"path": str(tmp_path), "layouts": [{"sort": ["s", "p"], "partitions": 4}, {"sort": ["o", "p"], "partitions": 4}]})
+    with store.connect() as c:
+        c.add_all([(f"<http://e/{i}>", P, f'"{i:03}"', None) for i in range(100)])
+    folders = store.state()["entries"][0]["folders"]
+    for bound, layout in (({"o": '"007"'}, "1"), ({"s": "<http://e/7>"}, "0")):
+        df = store.scan(**bound)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert folders[layout] in "".join(df.inputFiles()) and "EqualTo(" + next(iter(bound)) in plan
+        assert df.count() == 1
+
+
 def test_vacuum_and_drop(store):
     c = store.connect()
     c.add_all([(A, P, f'"{i}"', None) for i in range(9)])

@@ -9,7 +9,7 @@ table of the query language.
 from __future__ import annotations
 
 from collections.abc import Mapping
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from datetime import UTC, datetime
 
 from pyspark.sql import Column
@@ -39,13 +39,29 @@ def _types(names: list[str]) -> list[str]:
     return [f"^^<{XSD}{n}>" for n in names]
 
 
+@dataclass(frozen=True)
+class Computed:
+    """What a column made of an expression holds: a number as a struct of exact
+    and floating value and whether it is an integer, or a truth value."""
+
+    kind: str
+
+    def term(self, raw: Column) -> Column:
+        return self.value(raw).term()
+
+    def value(self, raw: Column) -> Value:
+        if self.kind == "boolean":
+            return Value(bool_=raw)
+        return Value(exact_=raw["exact"], double_=raw["double"], integer=raw["integer"])
+
+
 @dataclass
 class Value:
     """One of term, truth and number (an exact and a floating Column).
 
     known: the sort the value has if it is not null (number, moment, text,
-    boolean, resource or other), where that is certain before it runs; then
-    only the forms given exist, and nothing is decoded from the key.
+    tagged, boolean, resource or other), where that is certain before it runs;
+    then only the forms given exist, and nothing is decoded from the key.
     """
 
     key: Column | None = None
@@ -53,22 +69,59 @@ class Value:
     exact_: Column | None = None
     double_: Column | None = None
     integer: Column | None = None
+    #: an integer of 64 bits
+    long_: Column | None = None
     #: a dateTime as timestamp_ntz in UTC
     ntz: Column | None = None
     text_: Column | None = None
+    #: the language tag of a literal whose label is text_; null or empty: none
+    tag: Column | None = None
+    #: of the text of a language tag: the column that stores it
+    stored_tag: Column | None = None
     known: str | None = None
     #: the key, if it is constant
     const: str | None = None
+    #: the column the value is held in, and what that column holds
+    raw: Column | None = None
+    variable: Variable | None = None
+
+    def __post_init__(self) -> None:
+        if self.long_ is not None:
+            self.exact_, self.double_, self.integer, self.known = self.long_.cast(_DECIMAL), self.long_.cast("double"), F.lit(True), "number"
 
     def _decodes(self) -> bool:
         return self.key is not None and self.known is None
 
+    def held(self) -> tuple[Column, Variable]:
+        """A column that holds the value with as little work as it needs, and
+        what the column holds."""
+        if self.raw is not None:
+            return self.raw, self.variable
+        if self.long_ is not None:
+            return self.long_, Variable(Literal("", "integer"))
+        if self.bool_ is not None:
+            return self.bool_, Variable(Computed("boolean"))
+        if self.key is None:
+            number = F.struct(self.exact_.cast(_DECIMAL).alias("exact"), self.double_.cast("double").alias("double"), self.integer.alias("integer"))
+            return F.when(self.double_.isNotNull(), number), Variable(Computed("number"))
+        if self.known == "text":
+            return self.text_, Variable(Literal("", "plain"))
+        return self.key, Variable()
+
+    def bound(self) -> Column:
+        """Whether there is a value: neither unbound nor an error."""
+        return self.held()[0].isNotNull()
+
     # --------------------------------------------------------------- as a term
     def term(self) -> Column:
         if self.key is not None:
             return self.key
+        if self.variable is not None:
+            return self.variable.term(self.raw)
         if self.bool_ is not None:
             return F.when(self.bool_, _TRUE).when(~self.bool_, _FALSE)
+        if self.long_ is not None:
+            return F.concat(F.lit('"'), self.long_.cast("string"), F.lit(f'"^^<{XSD}integer>'))
         whole = F.concat(F.lit('"'), self.exact_.cast("decimal(38,0)").cast("string"), F.lit(f'"^^<{XSD}integer>'))
         text = F.regexp_replace(self.exact_.cast("string"), r"\.?0+$", "")
         text = F.when(self.exact_.cast("string").contains("."), text).otherwise(self.exact_.cast("string"))
@@ -131,6 +184,8 @@ class Value:
 
     def text(self) -> Column:
         """The label of a plain or xsd:string literal."""
+        if self.tag is not None:
+            return F.when(F.coalesce(F.length(self.tag), F.lit(0)) == 0, self.text_)
         if self.text_ is not None:
             return self.text_
         if not self._decodes():
@@ -141,12 +196,20 @@ class Value:
         """The label of a literal with or without language tag, for string functions."""
         return self.text_ if self.text_ is not None else terms.lex(self.term())
 
+    def language(self) -> Column:
+        """The tag of a literal, '' without one; null for other terms."""
+        if self.tag is not None:
+            return F.when(self.text_.isNotNull(), F.coalesce(self.tag, F.lit("")))
+        if self.known in ("text", "number", "moment"):
+            return F.when(self.bound(), F.lit(""))
+        return terms.language(self.term())
+
     def truth(self) -> Column:
         """Effective boolean value; an invalid boolean or number is false."""
         if self.bool_ is not None:
             return self.bool_
         if self.text_ is not None:
-            return F.length(self.text_) > 0
+            return F.length(self.text()) > 0
         if self.double_ is not None:
             d = self.double()
             return (d != 0) & ~F.isnan(d)
@@ -171,6 +234,7 @@ def _comparisons(a: Value, b: Value, test) -> list[Column]:
     by_sort = {
         "number": lambda: _number_compare(a, b, test),
         "text": lambda: test(a.text(), b.text()),
+        "tagged": lambda: test(a.text(), b.text()),
         "moment": lambda: _moment_compare(a, b, test),
         "boolean": lambda: test(a.boolean(), b.boolean()),
     }
@@ -229,9 +293,16 @@ def _arithmetic(a: Value, b: Value, op: str) -> Value:
     return Value(exact_=exact, double_=F.when(both_exact, exact.cast("double")).otherwise(double), integer=integer)
 
 
-def _lang_matches(tag: Column, wanted: Column) -> Column:
-    tag, wanted = F.lower(tag), F.lower(wanted)
-    return F.when(wanted == "*", tag != "").otherwise((tag == wanted) | tag.startswith(F.concat(wanted, F.lit("-"))))
+def _lang_matches(a: Value, wanted: Value) -> Column:
+    tag, text = F.lower(a.text()), F.lower(wanted.text())
+    if wanted.const is None:
+        return F.when(text == "*", tag != "").otherwise((tag == text) | tag.startswith(F.concat(text, F.lit("-"))))
+    name = terms.decode(wanted.const).value.lower()
+    if name == "*":
+        return tag != ""
+    found = (tag == name) | tag.startswith(f"{name}-")
+    # a tag that is stored is there only if its column is not null, which the scan can test
+    return a.stored_tag.isNotNull() & found if a.stored_tag is not None and name else found
 
 
 def regex(text: Column, pattern: str, flags: str = "") -> Column:
@@ -267,27 +338,37 @@ def _cast(v: Value, kind: str) -> Value:
 
 
 def _string(c: Column) -> Value:
-    return Value(key=F.concat(F.lit('"'), c, F.lit('"')))
+    return Value(key=F.concat(F.lit('"'), c, F.lit('"')), text_=c, known="text")
 
 
 def mapped(variable: Variable, raw: Column) -> Value:
-    """The value of a relation's column, without going through its term."""
-    key = variable.term(raw)
+    """The value of a column, without going through its term."""
+    if isinstance(variable.made, Computed):
+        out = variable.made.value(raw)
+    else:
+        out = _mapped(variable, raw)
+    out.raw, out.variable = raw, variable
+    return out
+
+
+def _mapped(variable: Variable, raw: Column) -> Value:
     if isinstance(variable.made, Template):
-        return Value(key=key, known="resource")
+        return Value(known="resource")
     if not isinstance(variable.made, Literal):
-        return Value(key=key)
+        return Value(key=raw)
     kind = variable.made.kind
     if kind == "integer":
-        return Value(key=key, exact_=raw.cast(_DECIMAL), double_=raw.cast("double"), integer=F.lit(True), known="number")
+        return Value(long_=raw.cast("bigint"))
     if kind == "decimal":
         exact = raw.cast("decimal(18,2)")
-        return Value(key=key, exact_=exact.cast(_DECIMAL), double_=exact.cast("double"), integer=F.lit(False), known="number")
+        return Value(exact_=exact.cast(_DECIMAL), double_=exact.cast("double"), integer=F.lit(False), known="number")
     if kind == "dateTime":
-        return Value(key=key, ntz=raw, known="moment")
+        return Value(ntz=raw, known="moment")
     if kind in ("plain", "string"):
-        return Value(key=key, text_=raw, known="text")
-    return Value(key=key)
+        return Value(text_=raw, known="text")
+    if kind == "lang":
+        return Value(text_=raw["text"], tag=raw["tag"], known="tagged")
+    return Value(key=variable.term(raw))
 
 
 def compile_expr(e: A.Expr, env: Mapping[str, Value]) -> Value:
@@ -300,7 +381,7 @@ def compile_expr(e: A.Expr, env: Mapping[str, Value]) -> Value:
         raise TypeError(f"not an expression: {e!r}")
     name = e.name
     if name == "bound":
-        return Value(bool_=env[e.args[0].name].term().isNotNull() if e.args[0].name in env else F.lit(False))
+        return Value(bool_=env[e.args[0].name].bound() if e.args[0].name in env else F.lit(False))
     args = [compile_expr(a, env) for a in e.args]
     if name == "&&":
         return Value(bool_=args[0].truth() & args[1].truth())
@@ -335,15 +416,16 @@ def compile_expr(e: A.Expr, env: Mapping[str, Value]) -> Value:
     if name == "isliteral":
         return Value(bool_=terms.is_literal(args[0].term()))
     if name == "isnumeric":
-        return Value(bool_=args[0].double().isNotNull() & args[0].term().isNotNull())
+        return Value(bool_=args[0].double().isNotNull() & args[0].bound())
     if name == "str":
         return _string(terms.str_value(args[0].term()))
     if name == "lang":
-        return _string(terms.language(args[0].term()))
+        tag = args[0].language()
+        return replace(_string(tag), stored_tag=args[0].tag)
     if name == "datatype":
         return Value(key=terms.datatype(args[0].term()))
     if name == "langmatches":
-        return Value(bool_=_lang_matches(args[0].text(), args[1].text()))
+        return Value(bool_=_lang_matches(args[0], args[1]))
     if name == "regex":
         if not all(isinstance(a, A.Const) for a in e.args[1:]):
             return Value(bool_=F.regexp_like(args[0].label(), args[1].text()))
@@ -353,8 +435,7 @@ def compile_expr(e: A.Expr, env: Mapping[str, Value]) -> Value:
         a, b = args[0].label(), args[1].label()
         return Value(bool_={"contains": a.contains, "strstarts": a.startswith, "strends": a.endswith}[name](b))
     if name == "strlen":
-        n = F.length(args[0].label())
-        return Value(exact_=n.cast(_DECIMAL), double_=n.cast("double"), integer=F.lit(True))
+        return Value(long_=F.length(args[0].label()).cast("bigint"))
     if name in ("ucase", "lcase"):
         lex = args[0].label()
         return Value(key=F.concat(F.lit('"'), F.upper(lex) if name == "ucase" else F.lower(lex), F.lit('"'), terms.suffix(args[0].term())))
@@ -377,7 +458,7 @@ def order_columns(v: Value, descending: bool = False) -> list[Column]:
         keys = [F.when(t.isNotNull(), 3).otherwise(0), v.double(), v.exact(), t]
     elif v.known == "moment":
         keys = [F.when(t.isNotNull(), 3).otherwise(0), v.ntz, t]
-    elif v.known in ("text", "resource"):
+    elif v.known in ("text", "tagged", "resource"):
         keys = [F.when(t.isNull(), 0).when(terms.is_bnode(t), 1).when(terms.is_uri(t), 2).otherwise(3), terms.string_value(t), t]
     else:
         rank = F.when(t.isNull(), 0).when(terms.is_bnode(t), 1).when(terms.is_uri(t), 2).otherwise(3)

@@ -114,8 +114,8 @@ _scan("pattern_spc", f"SELECT * FROM ({_GEO}) WHERE s = '{_NATION7}' AND p = {p(
 _scan("pattern_soc", f"SELECT * FROM ({_GEO}) WHERE s = '{ex('region/2')}' AND o = '{_ASIA}'", (ex("g/geo"),), s=ex("region/2"), o=_ASIA)
 _scan("pattern_poc", f"SELECT * FROM ({_SUPPLIER}) WHERE p = {p('nation')} AND o = '{_NATION7}'", (ex("g/catalog"),), p=ex("nation"), o=_NATION7)
 _scan("pattern_spoc", f"SELECT * FROM ({_GEO}) WHERE s = '{ex('region/2')}' AND p = {p('name')} AND o = '{_ASIA}'", (ex("g/geo"),), s=ex("region/2"), p=ex("name"), o=_ASIA)
-_scan("pattern_none", _SMALL + "SELECT * FROM q", (ex("g/geo"), None, ex("g/catalog")))
-_scan("pattern_none_all", _EVERY + "SELECT * FROM q WHERE s IS NOT NULL")
+_scan("scan_three_graphs", _SMALL + "SELECT * FROM q", (ex("g/geo"), None, ex("g/catalog")))
+_scan("pattern_none", _EVERY + "SELECT * FROM q WHERE s IS NOT NULL")
 _scan("pattern_unknown_value", f"SELECT * FROM ({_GEO}) WHERE false", s=ex("nobody/1"), p=ex("name"))
 _scan("scan_default_graph", _CUSTOMER, (None,))
 _scan("scan_multi_context", f"{_GEO} UNION ALL {_SUPPLIER} UNION ALL {_PART} UNION ALL {_VEC}", (ex("g/geo"), ex("g/catalog"), ex("g/geo"), ex("g/unknown")))
@@ -174,7 +174,20 @@ _query("stored_bgp_reading_status", Q, "SELECT ?t (COUNT(*) AS ?k) WHERE { ?r v:
        _SET + f"SELECT b.o AS t, {whole('count(*)')} AS k FROM q a JOIN q b ON a.o = b.s JOIN q d ON d.s = b.s WHERE a.p = '<{V}of>' AND b.p = '<{V}status>' AND d.p = '<{V}active>' GROUP BY b.o")
 _query("stored_graph_join", Q, "SELECT ?g ?s ?a ?b WHERE { GRAPH ?g { ?s v:status ?a . ?s v:height ?b } }",
        _SET + f"SELECT a.c AS g, a.s AS s, a.o AS a, b.o AS b FROM q a JOIN q b ON a.s = b.s AND a.c = b.c WHERE a.p = '<{V}status>' AND b.p = '<{V}height>'")
-_query("pattern_repeated_var", Q, "SELECT ?x ?p WHERE { ?x ?p ?x }", _SET + "SELECT s AS x, p AS p FROM q WHERE s = o")
+
+
+def _linked(spark: SparkSession, folder: str) -> FrameQuads:
+    """The stored quads, and a link v:near from every subject with a status to
+    itself and from every part to what it is part of."""
+    rows = stored(spark, folder).scan()
+    near = F.lit(f"<{V}near>")
+    own = rows.where(F.col("p") == _STATUS).select("s", near.alias("p"), F.col("s").alias("o"), "c")
+    whole = rows.where(F.col("p") == f"<{V}part_of>").select("s", near.alias("p"), "o", "c")
+    return FrameQuads(rows.unionByName(own).unionByName(whole))
+
+
+_query("pattern_repeated_var", _linked, "SELECT ?x ?p WHERE { ?x ?p ?x }",
+       _SET + f"SELECT s AS x, '<{V}near>' AS p FROM (SELECT DISTINCT s, c FROM q WHERE p = '{_STATUS}' UNION SELECT s, c FROM q WHERE p = '<{V}part_of>' AND s = o) UNION ALL SELECT s, p FROM q WHERE s = o")
 _query("cross_product_small", M, "SELECT ?a ?b WHERE { GRAPH g:geo { ?a ex:region ?x } GRAPH g:geo { ?y ex:region ?b } }",
        f"SELECT {i('nation', 'a.n_nationkey')} AS a, {i('region', 'b.n_regionkey')} AS b FROM nation a, nation b")
 _query("optional_licence", M, "SELECT ?d ?l WHERE { ?d ex:chars ?n OPTIONAL { ?d ex:licence ?l } }",
@@ -187,21 +200,33 @@ _AS_DOUBLE = f"""CASE WHEN regexp_full_match({_BARE}, '[+-]?([0-9]+([.][0-9]*)?|
 _query("optional_filter_inside", Q, "SELECT ?s ?h WHERE { ?s v:status ?t OPTIONAL { ?s v:height ?h FILTER(?h > 500) } }",
        _SET + f""", h AS (SELECT s, o FROM q WHERE p = '<{V}height>' AND regexp_matches(o, '"\\^\\^<{XSD}{_NUMERIC}>$') AND {_AS_DOUBLE} > 500 AND NOT isnan({_AS_DOUBLE}))
          SELECT a.s AS s, h.o AS h FROM q a LEFT JOIN h ON a.s = h.s WHERE a.p = '{_STATUS}'""")
-_query("optional_chained_maybe_unbound", M, """SELECT ?n ?x ?r WHERE { ?n ex:region ?y OPTIONAL { ?n ex:acctbal ?r } { ?z ex:name ?x . FILTER(?x = "ASIA") OPTIONAL { ?z ex:region ?r } } }""",
-       f"SELECT {i('nation', 'n_nationkey')} AS n, {plain('r_name')} AS x, {NONE} AS r FROM nation, region WHERE r_name = 'ASIA'")
+_query("optional_chained_maybe_unbound", Q, """SELECT ?s ?t ?h WHERE { { ?s v:status ?t OPTIONAL { ?s v:part_of ?h } } { ?s v:active ?a OPTIONAL { GRAPH qg:registry { ?s v:part_of ?h } } } }""",
+       _SET + f""", a AS (SELECT x.s, x.o AS t, y.o AS h FROM q x LEFT JOIN q y ON x.s = y.s AND y.p = '<{V}part_of>' WHERE x.p = '{_STATUS}'),
+         b AS (SELECT x.s, y.o AS h FROM q x LEFT JOIN q y ON x.s = y.s AND y.p = '<{V}part_of>' AND y.c = '<{G}registry>' WHERE x.p = '<{V}active>')
+         SELECT a.s AS s, t, coalesce(a.h, b.h) AS h FROM a JOIN b ON a.s = b.s AND (a.h = b.h OR a.h IS NULL OR b.h IS NULL)""")
 _query("exists_semi", M, "SELECT ?c WHERE { ?c ex:segment ?s FILTER EXISTS { ?o ex:customer ?c . ?o ex:status \"F\" } }",
        f"SELECT {i('customer', 'c_custkey')} AS c FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F')")
-_query("not_bound_anti", M, "SELECT ?c WHERE { ?c ex:segment ?s OPTIONAL { ?o ex:customer ?c } FILTER(!BOUND(?o)) }",
-       f"SELECT {i('customer', 'c_custkey')} AS c FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+#: Customers without an urgent finished order.
+_CALM = f"SELECT {i('customer', 'c_custkey')} AS c FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F' AND o_orderpriority = '1-URGENT')"
+_URGENT = '?o ex:customer ?c . ?o ex:status "F" . ?o ex:priority "1-URGENT"'
+_query("not_bound_anti", M, f"SELECT ?c WHERE {{ ?c ex:segment ?s OPTIONAL {{ {_URGENT} }} FILTER(!BOUND(?o)) }}", _CALM)
+_query("not_exists_anti", M, f"SELECT ?c WHERE {{ ?c ex:segment ?s FILTER NOT EXISTS {{ {_URGENT} }} }}", _CALM)
+_query("values_join", M, 'SELECT ?p ?b ?w WHERE { ?p ex:brand ?b VALUES (?b ?w) { ("Brand#1" ex:low) ("Brand#2" UNDEF) ("Brand#none" ex:no) } }',
+       f"SELECT {i('part', 'p_partkey')} AS p, {plain('p_brand')} AS b, CASE WHEN p_brand = 'Brand#1' THEN '{ex('low')}' END AS w FROM part WHERE p_brand IN ('Brand#1', 'Brand#2')")
+_query("bind_extend", M, "SELECT ?p ?d ?big WHERE { ?p ex:size ?z BIND(?z * 2 AS ?d) BIND(?d > 50 AS ?big) FILTER(?d > 20) }",
+       f"SELECT {i('part', 'p_partkey')} AS p, {whole('p_size * 2')} AS d, {typed('CAST(p_size * 2 > 50 AS VARCHAR)', 'boolean')} AS big FROM part WHERE p_size * 2 > 20")
+_query("dataset_from_named", Q, f"SELECT ?g ?s ?o FROM NAMED <{G}registry> FROM NAMED <{G}unknown> WHERE {{ GRAPH ?g {{ ?s v:status ?o }} }}",
+       _SET + f"SELECT c AS g, s, o FROM q WHERE p = '{_STATUS}' AND c = '<{G}registry>'")
+_query("dataset_from", Q, f"SELECT ?s ?o FROM <{G}registry> FROM <{G}catalogue> WHERE {{ ?s v:status ?o }}",
+       _SET + f"SELECT s, o FROM q WHERE p = '{_STATUS}' AND c IN ('<{G}registry>', '<{G}catalogue>')")
 
 # -------------------------------------------------------- sets, order and slices
 _query("union_patterns", M, "SELECT ?x ?a ?b WHERE { { ?x ex:brand ?a } UNION { ?x ex:region ?b } }",
        f"SELECT {i('part', 'p_partkey')} AS x, {plain('p_brand')} AS a, {NONE} AS b FROM part UNION ALL SELECT {i('nation', 'n_nationkey')}, NULL, {i('region', 'n_regionkey')} FROM nation")
-_query("minus_patterns", M, "SELECT ?c ?n WHERE { ?c ex:segment ?x . ?c ex:nation ?n MINUS { ?s ex:supplied ?y . ?s ex:nation ?n } MINUS { ?p ex:brand ?b } }",
-       f"SELECT {i('customer', 'c_custkey')} AS c, {i('nation', 'c_nationkey')} AS n FROM customer")
-_query("minus_shared", M, "SELECT ?n WHERE { ?n ex:region ?r MINUS { ?s ex:nation ?n . ?s ex:acctbal ?b FILTER(?b > 9000) } }",
-       f"""SELECT {i('nation', 'n_nationkey')} AS n FROM nation WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_nationkey = n_nationkey AND c_acctbal > 9000)
-         AND NOT EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = n_nationkey AND s_acctbal > 9000)""")
+_query("minus_patterns", M, "SELECT ?c ?n WHERE { ?c ex:segment ?x . ?c ex:nation ?n MINUS { ?n ex:region <http://ex.org/region/2> } MINUS { ?p ex:brand ?b } }",
+       f"SELECT {i('customer', 'c_custkey')} AS c, {i('nation', 'c_nationkey')} AS n FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey <> 2")
+_query("minus_shared", M, f"SELECT ?c ?b WHERE {{ ?c ex:segment ?x . ?c ex:acctbal ?b MINUS {{ {_URGENT} }} MINUS {{ ?c ex:acctbal ?b FILTER(?b > 9000) }} }}",
+       f"SELECT {i('customer', 'c_custkey')} AS c, {dec('c_acctbal')} AS b FROM customer WHERE c_acctbal <= 9000 AND {i('customer', 'c_custkey')} IN ({_CALM})")
 QUERIES["intersect_patterns"] = lambda spark, folder: execute(M(spark, folder), A.Intersect(
     A.Project(A.BGP((A.Pattern(A.Var("c"), ex("nation"), A.Var("n")), A.Pattern(A.Var("c"), ex("segment"), A.Var("x")))), ("n",)),
     A.Project(A.BGP((A.Pattern(A.Var("s"), ex("nation"), A.Var("n"), ex("g/catalog")),)), ("n",))))
@@ -249,8 +274,8 @@ _query("filter_logic_error", Q, "SELECT ?s ?o WHERE { ?s v:count ?o FILTER(?o >
          SELECT s, o FROM n WHERE v > 4000 OR (starts_with(s, '<') AND v < 5)""")
 _query("filter_sparql_in", M, 'SELECT ?p ?b WHERE { ?p ex:brand ?b FILTER(?b IN ("Brand#1", "Brand#2")) }',
        f"SELECT {i('part', 'p_partkey')} AS p, {plain('p_brand')} AS b FROM part WHERE p_brand IN ('Brand#1', 'Brand#2')")
-_query("theta_join", M, "SELECT ?a ?b WHERE { ?a ex:region ?r . ?b ex:region ?r . ?a ex:name ?x . ?b ex:name ?y FILTER(?x < ?y) }",
-       f"SELECT {i('nation', 'a.n_nationkey')} AS a, {i('nation', 'b.n_nationkey')} AS b FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_name < b.n_name")
+_query("theta_join", M, "SELECT ?a ?b WHERE { ?a ex:segment ?g ; ex:nation ?n ; ex:acctbal ?x . GRAPH g:catalog { ?b ex:nation ?n ; ex:acctbal ?y } FILTER(?x < ?y) }",
+       f"SELECT {i('customer', 'c_custkey')} AS a, {i('supplier', 's_suppkey')} AS b FROM customer JOIN supplier ON c_nationkey = s_nationkey AND CAST(c_acctbal AS DECIMAL(18,2)) < CAST(s_acctbal AS DECIMAL(18,2))")
 #: A decimal without closing zeros.
 _SHORT = "regexp_replace(CAST(CAST(p_retailprice AS DECIMAL(18,2)) - 0.5 AS VARCHAR), '[.]?0+$', '')"
 _query("arithmetic", M, "SELECT ?p (?z * 2 + 1 AS ?d) (?c - 0.5 AS ?e) WHERE { ?p ex:size ?z . ?p ex:price ?c . ?p ex:brand ?b }",
@@ -278,17 +303,28 @@ QUERIES["term_parts"] = lambda spark, folder: _terms(spark, folder).select(
 SQL["term_parts"] = _OBJECTS + f"""SELECT o, CASE WHEN starts_with(o, '<') THEN o[2:-2] WHEN starts_with(o, '_:') THEN o[3:] ELSE {_LEX} END AS value,
   CASE WHEN starts_with({_SUFFIX}, '@') THEN ({_SUFFIX})[2:] WHEN starts_with(o, '"') THEN '' END AS lang,
   CASE WHEN starts_with({_SUFFIX}, '^^<') THEN ({_SUFFIX})[3:] WHEN {_SUFFIX} = '' THEN '<{XSD}string>' END AS datatype FROM t"""
-QUERIES["uri_split"] = lambda spark, folder: stored(spark, folder).scan().where(terms.is_uri(F.col("s"))).select("s").distinct().select(
-    "s", terms.namespace(F.col("s")).alias("ns"), terms.local_name(F.col("s")).alias("local"))
-SQL["uri_split"] = r"""SELECT s, regexp_extract(s, '^<(.*/)([^/]*)>$', 1) AS ns, regexp_extract(s, '^<(.*/)([^/]*)>$', 2) AS local
-  FROM (SELECT DISTINCT s FROM quads WHERE starts_with(s, '<') AND p IS NOT NULL AND o IS NOT NULL)"""
+
+
+def _iris(spark: SparkSession, folder: str) -> DataFrame:
+    """IRIs with each of the three separators: subjects, datatypes, and names made of blank nodes."""
+    rows = stored(spark, folder).scan()
+    named = rows.where(terms.is_bnode(F.col("s"))).select(terms.make_uri(F.lit("urn:node:"), terms.string_value(F.col("s"))).alias("s"))
+    every = rows.where(terms.is_uri(F.col("s"))).select("s").unionByName(rows.select(terms.datatype(F.col("o")).alias("s")).dropna()).unionByName(named)
+    return every.distinct().select("s", terms.namespace(F.col("s")).alias("ns"), terms.local_name(F.col("s")).alias("local"))
+
+
+QUERIES["uri_split"] = _iris
+SQL["uri_split"] = _SET + f"""SELECT s, regexp_extract(s, e, 1) AS ns, regexp_extract(s, e, 2) AS local FROM (
+  SELECT DISTINCT s, CASE WHEN contains(s, '#') THEN '^<(.*#)([^#]*)>$' WHEN contains(s, '/') THEN '^<(.*/)([^/]*)>$' ELSE '^<(.*:)([^:]*)>$' END AS e FROM (
+    SELECT s FROM q WHERE starts_with(s, '<') UNION ALL SELECT '<urn:node:' || s[3:] || '>' FROM q WHERE starts_with(s, '_:')
+    UNION ALL SELECT CASE WHEN starts_with({_SUFFIX}, '^^<') THEN ({_SUFFIX})[3:] ELSE '<{XSD}string>' END FROM q WHERE starts_with({_SUFFIX}, '^^<') OR {_SUFFIX} = ''))"""
 QUERIES["long_literal"] = lambda spark, folder: sample_quads(spark, folder).scan(p=ex("text")).where(terms.kind(F.col("o")) == "long_literal").select("s", F.length(terms.lex(F.col("o"))).cast("bigint").alias("n"))
 SQL["long_literal"] = f"SELECT {i('doc', 'doc_id')} AS s, length(text) AS n FROM documents WHERE length(text) >= 256"
 
 
 def _accessors(spark: SparkSession, folder: str) -> DataFrame:
     o = F.col("o")
-    named = {n: accessors.as_type(o, n) for n in ("byte", "int", "long", "decimal", "boolean", "date", "dateTime")}
+    named = {n: accessors.as_type(o, n) for n in ("byte", "short", "int", "long", "decimal", "double", "boolean", "date", "dateTime")}
     return _terms(spark, folder).where(terms.is_literal(o)).select("o", *[c.alias(f"as_{n}") for n, c in named.items()])
 
 
@@ -296,61 +332,95 @@ QUERIES["typed_accessors"] = _accessors
 _INT = "CASE WHEN regexp_full_match(x, '[+-]?[0-9]+') THEN TRY_CAST(x AS {}) END"
 _ZONE = "regexp_extract(x, '([+-][0-9]{2}:[0-9]{2})$', 1)"
 SQL["typed_accessors"] = _OBJECTS + f""", x AS (SELECT o, regexp_replace({_LEX}, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g') AS x FROM t WHERE starts_with(o, '"'))
-  SELECT o, {_INT.format('TINYINT')} AS as_byte, {_INT.format('INTEGER')} AS as_int, {_INT.format('BIGINT')} AS as_long,
+  SELECT o, {_INT.format('TINYINT')} AS as_byte, {_INT.format('SMALLINT')} AS as_short, {_INT.format('INTEGER')} AS as_int, {_INT.format('BIGINT')} AS as_long,
   CASE WHEN regexp_full_match(x, '[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)') THEN TRY_CAST(x AS DECIMAL(38,10)) END AS as_decimal,
+  CASE WHEN x IN ('INF', '-INF', 'NaN') THEN CAST(replace(x, 'INF', 'Infinity') AS DOUBLE) WHEN regexp_full_match(x, '[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?') THEN TRY_CAST(x AS DOUBLE) END AS as_double,
   CASE WHEN x IN ('true', '1') THEN true WHEN x IN ('false', '0') THEN false END AS as_boolean,
   CASE WHEN regexp_full_match(x, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') THEN TRY_CAST(x AS DATE) END AS as_date,
   CASE WHEN regexp_full_match(x, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}T([01][0-9]|2[0-3])(:[0-5][0-9]){{2}}([.][0-9]+)?(Z|[+-]([01][0-9]|2[0-3]):[0-5][0-9])?')
     THEN TRY_CAST(replace(regexp_extract(x, '^([0-9T:.-]+?)(Z|[+-][0-9]{{2}}:[0-9]{{2}})?$', 1), 'T', ' ') AS TIMESTAMP)
       - CASE WHEN {_ZONE} = '' THEN INTERVAL 0 MINUTE ELSE to_minutes(CAST(({_ZONE})[1] || '1' AS INT) * (CAST(({_ZONE})[2:3] AS INT) * 60 + CAST(({_ZONE})[5:6] AS INT))) END END AS "as_dateTime" FROM x"""
 
+
+
+def _calendar(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _terms(spark, folder).where(terms.is_literal(F.col("o"))).select("o", accessors.calendar(F.col("o")).alias("k"))
+    return rows.where(F.col("k").isNotNull()).select("o", *[F.col(f"k.{n}").alias(n) for n in ("year", "month", "day", "hour", "minute", "zone")])
+
+
+QUERIES["calendar_accessors"] = _calendar
+_YMD = "-?[0-9]{4,9}-(0[1-9]|1[0-2])-(0[1-9]|[12][0-9]|3[01])"
+SQL["calendar_accessors"] = _OBJECTS + f""", x AS (SELECT o, regexp_replace({_LEX}, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g') AS x FROM t WHERE starts_with(o, '"')),
+  z AS (SELECT *, regexp_extract(x, '(Z|[+-](0[0-9]|1[0-4]):[0-5][0-9])$', 1) AS zone FROM x), b AS (SELECT *, x[:length(x) - length(zone)] AS b FROM z),
+  k AS (SELECT *, regexp_full_match(b, '{_YMD}(T.*)?') AS full_day FROM b WHERE regexp_full_match(b,
+    '({_YMD}T)?([01][0-9]|2[0-3])(:[0-5][0-9]){{2}}([.][0-9]+)?|{_YMD}|-?[0-9]{{4,9}}(-(0[1-9]|1[0-2]))?|--(0[1-9]|1[0-2])(-(0[1-9]|[12][0-9]|3[01]))?|---(0[1-9]|[12][0-9]|3[01])'))
+  SELECT o, TRY_CAST(regexp_extract(b, '^(-?[0-9]{{4,9}})(-|$)', 1) AS INT) AS year, TRY_CAST(regexp_extract(b, '^(-?[0-9]{{4,9}}|-)-([0-9]{{2}})(-|$)', 2) AS INT) AS month,
+    TRY_CAST(regexp_extract(b, '^((-?[0-9]{{4,9}}|-)-[0-9]{{2}}|--)-([0-9]{{2}})(T|$)', 3) AS INT) AS day,
+    TRY_CAST(regexp_extract(b, '(^|T)([0-9]{{2}}):', 2) AS INT) AS hour, TRY_CAST(regexp_extract(b, '(^|T)[0-9]{{2}}:([0-9]{{2}}):', 2) AS INT) AS minute,
+    CASE WHEN zone = 'Z' THEN 0 WHEN zone <> '' THEN CAST(zone[1] || '1' AS INT) * (CAST(zone[2:3] AS INT) * 60 + CAST(zone[5:6] AS INT)) END AS zone
+  FROM k WHERE NOT full_day OR TRY_CAST(regexp_extract(b, '^({_YMD})', 1) AS DATE) IS NOT NULL"""
+
 # ------------------------------------------------------- changes of a real store
-_ADDED = [(ex("a"), ex("knows"), ex("b"), None), (ex("a"), ex("knows"), ex("b"), ex("g/geo")), (ex("region/2"), ex("name"), '"ASIA"', ex("g/geo"))]
+_LAYOUTS = [{"sort": ["s", "p", "o", "c"]}, {"sort": ["o", "p", "c", "s"]}]
+_COPY, _REGISTRY = ex("g/copy"), f"<{G}registry>"
 
 
-def _geo_store(spark: SparkSession, folder: str) -> QuadStore:
-    """A new store in the shared folder that holds the geo graph."""
-    store = QuadStore.open(spark, {"path": scratch_path(spark, "store"), "catalog": "geo"})
+def _whole_store(spark: SparkSession, folder: str, layouts: list | None = None) -> QuadStore:
+    """A new store in the shared folder that holds all stored quads."""
+    store = QuadStore.open(spark, {"path": scratch_path(spark, "store"), "catalog": "quads", **({"layouts": layouts} if layouts else {})})
     with store.connect() as c:
-        c.add_all(sample_quads(spark, folder).scan(contexts=[ex("g/geo")]))
+        c.add_all(table(spark, folder, "quads").where("s is not null and p is not null and o is not null"))
     return store
 
 
-def _change(name: str, run: Callable, sql: str) -> None:
+def _change(name: str, run: Callable, sql: str, layouts: list | None = None) -> None:
     def query(spark: SparkSession, folder: str) -> DataFrame:
-        store = _geo_store(spark, folder)
+        store = _whole_store(spark, folder, layouts)
         out = run(store)
         return store.scan() if out is None else out
 
-    QUERIES[name], SQL[name] = query, sql
+    QUERIES[name], SQL[name] = query, _SET + sql
+
+
+def _copies(store: QuadStore) -> DataFrame:
+    """Every statement of a status, as it is and in a graph of its own."""
+    rows = store.scan(p=_STATUS)
+    return rows.unionByName(rows.withColumn("c", F.lit(_COPY)))
 
 
 def _transaction(end: str) -> Callable:
     def run(store: QuadStore) -> None:
         c = store.connect()
         c.begin()
-        c.add_all(_ADDED)
-        c.remove(p=ex("region"))
+        c.add_all(_copies(store))
+        c.remove(p=f"<{V}of>")
         getattr(c, end)()
 
     return run
 
 
-def _both_graphs(store: QuadStore) -> None:
+def _flagged(store: QuadStore) -> DataFrame:
+    """The flag changes nothing: added with it, removed with it, read without it."""
     with store.connect() as c:
-        c.add_all(_ADDED)
-        c.remove(ex("a"), ex("knows"), ex("b"), [None])
-
-
-_A, _B, _KNOWS = f"'{ex('a')}'", f"'{ex('b')}'", p("knows")
-_change("add_statements", lambda store: store.connect().add_all(_ADDED) and None, f"{_GEO} UNION ALL SELECT {_A}, {_KNOWS}, {_B}, NULL UNION ALL SELECT {_A}, {_KNOWS}, {_B}, {GEO}")
-_change("add_idempotent", lambda store: [store.connect().add_all(store.scan()) for _ in range(2)] and None, _GEO)
-_change("remove_pattern", lambda store: store.connect().remove(p=ex("region")) and None, f"SELECT * FROM ({_GEO}) WHERE p <> {p('region')}")
-_change("remove_null_context", _both_graphs, f"{_GEO} UNION ALL SELECT {_A}, {_KNOWS}, {_B}, {GEO}")
-_change("inferred_flag_ignored", lambda store: store.connect().add(ex("a"), ex("knows"), ex("b"), inferred=True) and store.connect().scan(s=ex("a"), include_inferred=False),
-        f"SELECT {_A} AS s, {_KNOWS} AS p, {_B} AS o, {NONE} AS c")
-_change("commit_visible", _transaction("commit"), f"SELECT * FROM ({_GEO}) WHERE p <> {p('region')} UNION ALL SELECT {_A}, {_KNOWS}, {_B}, NULL UNION ALL SELECT {_A}, {_KNOWS}, {_B}, {GEO}")
-_change("rollback_discards", _transaction("rollback"), _GEO)
+        c.add(ex("a"), ex("knows"), ex("b"), inferred=True)
+        c.remove(p=_STATUS, inferred=True)
+    return store.connect().scan(include_inferred=False)
+
+
+_COPIED = f"SELECT s, p, o, '{_COPY}' AS c FROM q WHERE p = '{_STATUS}'"
+_change("add_statements", lambda store: store.connect().add_all(_copies(store)) and None, f"SELECT * FROM q UNION {_COPIED}")
+_change("add_idempotent", lambda store: [store.connect().add_all(store.scan()) for _ in range(2)] and None, "SELECT * FROM q")
+_change("remove_pattern", lambda store: store.connect().remove(p=_STATUS) and None, f"SELECT * FROM q WHERE p <> '{_STATUS}'")
+_change("remove_null_context", lambda store: store.connect().remove(p=_STATUS, contexts=[None]) and None, f"SELECT * FROM q WHERE NOT (p = '{_STATUS}' AND c IS NULL)")
+_change("remove_quads", lambda store: store.connect().remove_all(_copies(store).where(F.coalesce("c", F.lit("")).isin("", _REGISTRY, _COPY))) and None,
+        f"SELECT * FROM q WHERE NOT (p = '{_STATUS}' AND (c IS NULL OR c = '{_REGISTRY}'))")
+_change("inferred_flag_ignored", _flagged, f"SELECT * FROM q WHERE p <> '{_STATUS}' UNION ALL SELECT '{ex('a')}', '{ex('knows')}', '{ex('b')}', NULL")
+_change("commit_visible", _transaction("commit"), f"SELECT * FROM (SELECT * FROM q UNION {_COPIED}) WHERE p <> '<{V}of>'")
+_change("rollback_discards", _transaction("rollback"), "SELECT * FROM q")
+#: Read from the layout that is sorted by object.
+_change("layout_by_object", lambda store: store.scan(o='"active"'), """SELECT * FROM q WHERE o = '"active"'""", _LAYOUTS)
+_change("layouts_after_changes", lambda store: _transaction("commit")(store) or store.compact() or store.scan(o='"active"', contexts=[_COPY, None]),
+        f"""SELECT * FROM (SELECT * FROM q UNION {_COPIED}) WHERE p <> '<{V}of>' AND o = '"active"' AND (c IS NULL OR c = '{_COPY}')""", _LAYOUTS)
 
 
 def _namespaces(spark: SparkSession, folder: str) -> DataFrame:
@@ -375,8 +445,12 @@ _query("construct_triples", M, "CONSTRUCT { ?r ex:hasCustomer ?c . ?c ex:in ?r }
        f"""WITH j AS (SELECT {i('region', 'n_regionkey')} AS r, {i('customer', 'c_custkey')} AS c FROM customer JOIN nation ON c_nationkey = n_nationkey)
          SELECT r AS s, {p('hasCustomer')} AS p, c AS o FROM j UNION ALL SELECT c, {p('in')}, r FROM j""")
 _query("group_count", Q, "SELECT ?p (COUNT(?o) AS ?n) (COUNT(DISTINCT ?o) AS ?d) WHERE { ?s ?p ?o } GROUP BY ?p", _SET + f"SELECT p, {whole('count(o)')} AS n, {whole('count(DISTINCT o)')} AS d FROM q GROUP BY p")
-_query("group_sum_avg", M, "SELECT ?b (SUM(?z) AS ?sum) (MIN(?c) AS ?lo) (MAX(?c) AS ?hi) WHERE { ?p ex:brand ?b ; ex:size ?z ; ex:price ?c } GROUP BY ?b HAVING(COUNT(*) > 1)",
-       f"SELECT {plain('p_brand')} AS b, {whole('sum(p_size)')} AS sum, {dec('min(p_retailprice)')} AS lo, {dec('max(p_retailprice)')} AS hi FROM part GROUP BY p_brand HAVING count(*) > 1")
+#: The mean as a decimal without closing zeros.
+_MEAN = "regexp_replace(CAST(CAST(avg(p_size) AS DECIMAL(38,10)) AS VARCHAR), '[.]?0+$', '')"
+_query("group_sum_avg", M, """SELECT ?b (SUM(?z) AS ?sum) (SUM(DISTINCT ?z) AS ?once) (AVG(?z) AS ?avg) (MIN(?c) AS ?lo) (MAX(?c) AS ?hi) (SAMPLE(?t) AS ?one)
+         WHERE { ?p ex:brand ?b ; ex:size ?z ; ex:price ?c ; ex:type ?t } GROUP BY ?b HAVING(COUNT(*) > 1 && AVG(?z) > 20)""",
+       f"""SELECT {plain('p_brand')} AS b, {whole('sum(p_size)')} AS sum, {whole('sum(DISTINCT p_size)')} AS once, {typed(_MEAN, 'decimal')} AS avg, {dec('min(p_retailprice)')} AS lo,
+         {dec('max(p_retailprice)')} AS hi, {plain('min(p_type)')} AS one FROM part GROUP BY p_brand HAVING count(*) > 1 AND avg(p_size) > 20""")
 _query("count_distinct", M, "SELECT (COUNT(DISTINCT ?c) AS ?n) WHERE { ?o ex:customer ?c }", f"SELECT {whole('count(DISTINCT o_custkey)')} AS n FROM orders")
 
 

@@ -121,9 +121,9 @@ class Branch:
 @dataclass(frozen=True)
 class Variable:
     """What a relation's column holds: keys of a template, raw values of a
-    literal's column, or (None) term keys."""
+    literal's column or of an expression, or (None) term keys."""
 
-    made: Template | Literal | None = None
+    made: object | None = None
 
     @property
     def template(self) -> Template | None:
@@ -134,6 +134,17 @@ class Variable:
             return raw
         return self.made.term(raw)
 
+    def plain(self) -> bool:
+        """Different values of the column are different terms."""
+        return self.made is None or isinstance(self.made, Template) or isinstance(self.made, Literal) and self.made.kind in ("plain", "string", "integer", "dateTime")
+
+    def same(self, other: Variable) -> bool:
+        """The columns hold equal values exactly for equal terms."""
+        x, y = self.made, other.made
+        if isinstance(x, Template) and isinstance(y, Template):
+            return x.same(y)
+        return x is None and y is None or isinstance(x, Literal) and isinstance(y, Literal) and x.kind == y.kind and self.plain()
+
 
 @dataclass
 class Relation:
@@ -241,11 +252,7 @@ class MappedQuads(QuadSource):
     def _relation(self, patterns: list, found: list) -> Relation:
         (_, sv, _, _, ov), options = patterns[0], found[0]
         if len(options) != 1 or sv is not None and sv == ov:
-            rows = self._union(options)
-            if sv is not None and sv == ov:
-                rows = rows.where(F.col("s") == F.col("o"))
-            named = {v: c for v, c in ((sv, "s"), (ov, "o")) if v is not None}
-            return Relation(rows.select(*[F.col(c).alias(v) for v, c in named.items()]), {v: Variable() for v in named})
+            return self._several(sv, ov, options)
         first = options[0][0]
         conditions = [c for option in found for c in option[0][1]]
         needed = sorted({c for option in found for c in self._columns(option[0][0])})
@@ -263,6 +270,32 @@ class MappedQuads(QuadSource):
         return Relation(rows if first.unique else rows.distinct(), variables)
 
 
+    def _several(self, sv: str | None, ov: str | None, options: list) -> Relation:
+        """One pattern over several branches. A place whose branches all make
+        their terms alike keeps the stored values."""
+        def alike(x: Template | Literal, y: Template | Literal) -> bool:
+            decimals = isinstance(x, Literal) and isinstance(y, Literal) and x.kind == y.kind == "decimal"
+            return Variable(x).same(Variable(y)) or decimals and all(b.unique for b, _ in options)
+
+        forms = {}
+        for name, made in (("s", [b.subject for b, _ in options]), ("o", [b.object for b, _ in options])):
+            forms[name] = made[0] if made and sv != ov and all(alike(made[0], x) for x in made) else None
+        out = None
+        for b, conditions in options:
+            rows = table(self.spark, self.folder, b.table).where(reduce(Column.__and__, [*[F.col(c).isNotNull() for c in self._columns(b)], *conditions]))
+            columns = []
+            for name, made in (("s", b.subject), ("o", b.object)):
+                raw = made.key() if isinstance(made, Template) else made.raw()
+                columns.append((raw if forms[name] is not None else made.term(raw)).alias(name))
+            rows = rows.select(*columns) if b.unique else rows.select(*columns).distinct()
+            out = rows if out is None else out.unionByName(rows)
+        out = self.spark.createDataFrame([], "s string, o string") if out is None else out
+        if sv is not None and sv == ov:
+            out = out.where(F.col("s") == F.col("o"))
+        named = {v: c for v, c in ((sv, "s"), (ov, "o")) if v is not None}
+        return Relation(out.select(*[F.col(c).alias(v) for v, c in named.items()]), {v: Variable(forms[c]) for v, c in named.items()})
+
+
 # --------------------------------------------------- mapping of the sample data
 BASE = "http://ex.org/"
 

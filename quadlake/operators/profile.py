@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quadlake.session import stage
@@ -63,18 +63,20 @@ def key_profile(
     return weighted_values(df, fields, value, time).groupBy("field", "key").agg(*aggs)
 
 
-def weighted_percentile(df: DataFrame, key: str, value: str, q: float) -> DataFrame:
-    """The exact lower q-percentile (0 < q <= 1) of value for every key.
+def weighted_percentile(df: DataFrame, key: str, value: str, q: float | Mapping[str, float]) -> DataFrame:
+    """The exact lower q-percentile (0 < q <= 1) of value for every key: key and
+    percentile, or a column for each q of a mapping from name to q, all in one pass.
 
     The result is the smallest value whose share of the key's rows, with all
     smaller values, is at least q. Nulls in value are ignored; a key with
     nothing but nulls has no row; a null key is a key.
 
     The weighted values of a key are cut into blocks by range over the whole
-    table, block sums locate the block that holds the wanted rank, and only
-    that block is accumulated in order. A hot key is thereby spread over many
-    blocks.
+    table, block sums tell how many rows lie before each block, and only blocks
+    that hold a wanted rank are accumulated in order. A hot key is thereby
+    spread over many blocks.
     """
+    wanted = dict(q) if isinstance(q, Mapping) else {"percentile": q}
     blocks = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     w = (
         df.where(F.col(value).isNotNull())
@@ -84,22 +86,20 @@ def weighted_percentile(df: DataFrame, key: str, value: str, q: float) -> DataFr
         .withColumn("_b", F.spark_partition_id())
     )
     w = stage(df.sparkSession, w, "percentile")
-    sums = w.groupBy("_k", "_b").agg(F.sum("_n").alias("_s"))
-    ordered = Window.partitionBy("_k").orderBy("_b")
-    sums = (
-        sums.withColumn("_before", F.sum("_s").over(ordered) - F.col("_s"))
-        .withColumn("_rank", F.ceil(F.sum("_s").over(Window.partitionBy("_k")) * F.lit(q)))
-        .where((F.col("_before") < F.col("_rank")) & (F.col("_rank") <= F.col("_before") + F.col("_s")))
-        .select(F.col("_k").alias("_k2"), F.col("_b").alias("_b2"), "_before", "_rank")
-    )
-    inside = Window.partitionBy("_k", "_b").orderBy("_v")
-    return (
-        w.join(sums, F.col("_k").eqNullSafe(F.col("_k2")) & (F.col("_b") == F.col("_b2")))
-        .withColumn("_upto", F.col("_before") + F.sum("_n").over(inside))
-        .where(F.col("_upto") >= F.col("_rank"))
-        .groupBy(F.col("_k").alias(key))
-        .agg(F.min("_v").alias("percentile"))
-    )
+    sums = w.groupBy("_k", "_b").agg(F.sum("_n").alias("_s"))  # at most one row a key and block
+    ordered, whole = Window.partitionBy("_k").orderBy("_b"), F.sum("_s").over(Window.partitionBy("_k"))
+    ranks = F.array(*[F.struct(F.lit(name).alias("name"), F.ceil(whole * F.lit(float(share))).alias("rank")) for name, share in wanted.items()])
+    sums = sums.withColumn("_before", F.sum("_s").over(ordered) - F.col("_s")).withColumn("_ranks", ranks)
+    inside = F.filter("_ranks", lambda r: (F.col("_before") < r["rank"]) & (r["rank"] <= F.col("_before") + F.col("_s")))
+    sums = sums.select(F.col("_k").alias("_k2"), F.col("_b").alias("_b2"), "_before", inside.alias("_ranks")).where(F.size("_ranks") > 0)
+    upto = F.col("_before") + F.sum("_n").over(Window.partitionBy("_k", "_b").orderBy("_v"))
+    rows = w.join(sums, F.col("_k").eqNullSafe(F.col("_k2")) & (F.col("_b") == F.col("_b2"))).withColumn("_upto", upto)
+
+    def at(name: str) -> Column:
+        rank = F.get(F.filter("_ranks", lambda r: r["name"] == name), F.lit(0))["rank"]
+        return F.min(F.when(F.col("_upto") >= rank, F.col("_v"))).alias(name)
+
+    return rows.groupBy(F.col("_k").alias(key)).agg(*[at(name) for name in wanted])
 
 
 def hot_share(profile: DataFrame, n_rows: int, share: float) -> DataFrame:

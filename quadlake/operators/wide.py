@@ -2,15 +2,15 @@
 
 Method: the values of every (entity, attribute) cell are reduced to a fixed
 size state, the grid of an entity is completed and its cells laid into an array
-by attribute position, and every column is projected from its fixed index
+sorted by attribute position, and every column is projected from its fixed index
 through the cast of its type.
 
-The grid is completed inside the entity's own row, where the map from position
-to cell answers null for an attribute the entity lacks: the same result as a
-grid of entities times attributes left-joined with the values, without
-shuffling a row for every empty cell. A cell's state (smallest and largest
-normal form, number of misfits) is algebraic, so a subject that holds a third
-of all rows is reduced by every map task before the shuffle and never gathered.
+The grid is completed inside the entity's own row: empty cells are added for the
+positions it lacks and all are sorted, once. The result is that of a grid of
+entities times attributes left-joined with the values, without shuffling a row
+for every empty cell. A cell's state (smallest and largest normal form, number
+of misfits) is algebraic, so a subject that holds a third of all rows is reduced
+by every map task before the shuffle and never gathered.
 """
 
 from __future__ import annotations
@@ -29,25 +29,24 @@ MAX_ATTRIBUTES = 5000
 def attribute_list(attributes: DataFrame) -> list[Attribute]:
     """(predicate, column, type, single_valued) in order of predicate.
 
-    Rows with a null or unknown part and repeated predicates after the first
-    are left out; a column name used twice gets its position as a suffix.
+    An attribute that cannot become a column raises: one with a null part or an
+    unknown type, and a predicate with two different descriptions. Repeated rows
+    count once; a column name used twice gets its position as a suffix.
     """
-    rows = (
-        attributes.select("p", "column_name", "value_type", "single_valued")
-        .where(F.col("p").isNotNull() & F.col("column_name").isNotNull() & F.col("value_type").isin(*lexical.COLUMN_TYPES))
-        .distinct()
-        .limit(MAX_ATTRIBUTES + 1)
-        .collect()
-    )
+    rows = attributes.select("p", "column_name", "value_type", F.coalesce("single_valued", F.lit(False)).alias("single_valued")).distinct().limit(MAX_ATTRIBUTES + 1).collect()
     if len(rows) > MAX_ATTRIBUTES:
         raise ValueError(f"more than {MAX_ATTRIBUTES} attributes cannot become columns")
+    bad = [tuple(r) for r in rows if r.p is None or r.column_name is None or r.value_type not in lexical.COLUMN_TYPES]
+    if bad:
+        raise ValueError(f"no column can be made of {bad[:5]}")
     out: dict[str, Attribute] = {}
     used = {"s"}
-    for r in sorted(rows, key=lambda r: (r.p, r.column_name, r.value_type, str(r.single_valued))):
-        if r.p not in out:
-            name = r.column_name if r.column_name.lower() not in used else f"{r.column_name}_{len(out)}"
-            used.add(name.lower())
-            out[r.p] = (r.p, name, r.value_type, bool(r.single_valued))
+    for r in sorted(rows):
+        if r.p in out:
+            raise ValueError(f"{r.p} is described twice")
+        name = r.column_name if r.column_name.lower() not in used else f"{r.column_name}_{len(out)}"
+        used.add(name.lower())
+        out[r.p] = (r.p, name, r.value_type, bool(r.single_valued))
     return list(out.values())
 
 
@@ -58,14 +57,11 @@ def fitted(quads: DataFrame, attributes: list[Attribute]) -> DataFrame:
     Rows of unlisted predicates, and with a null predicate or object, have the
     null position.
     """
-    pos, kind = F.lit(None).cast("int"), F.lit(None).cast("string")
-    if attributes:
-        place = F.create_map(*[F.lit(x) for i, (p, *_) in enumerate(attributes) for x in (p, i)])
-        kinds = F.array(*[F.lit(t) for _, _, t, _ in attributes])
-        pos = F.when(F.col("o").isNotNull(), F.try_element_at(place, F.col("p")))
-        kind = F.try_element_at(kinds, F.col("pos") + 1)
+    places = quads.sparkSession.createDataFrame([(p, i, t) for i, (p, _, t, _) in enumerate(attributes)], "p string, _at int, _kind string")
+    # at most MAX_ATTRIBUTES rows, so the list goes to every task and is looked up by hash
+    rows = quads.where(F.col("s").isNotNull()).select("s", "p", "o").join(F.broadcast(places), "p", "left")
     # One projection a step: what several branches of the next one use is computed once.
-    rows = quads.where(F.col("s").isNotNull()).select("s", "o", pos.alias("pos")).withColumn("_t", kind)
+    rows = rows.select("s", "o", *[F.when(F.col("o").isNotNull(), F.col(c)).alias(n) for c, n in (("_at", "pos"), ("_kind", "_t"))])
     rows = rows.withColumn("_lex", F.when(F.col("_t").isNotNull(), terms.lex(F.col("o"))))
     rows = rows.withColumn("_x", F.when(~F.col("_t").isin("iri", "string"), lexical.trim(F.col("_lex"))))
     norm = lexical.normal_form(F.col("_t"), F.col("o"), F.col("_lex"), F.col("_x"))
@@ -103,13 +99,15 @@ def cell_values(quads: DataFrame, attributes: list[Attribute]) -> DataFrame:
 
 
 def entity_grid(quads: DataFrame, attributes: list[Attribute]) -> DataFrame:
-    """s and grid: for every subject one array with a cell (lo, hi, n_misfit)
-    at each attribute's position, null where the subject has no value."""
+    """s and grid: for every subject one array with a cell (pos, lo, hi,
+    n_misfit) at each attribute's position; a cell without values has nulls and
+    no misfits."""
     cell = F.when(F.col("pos").isNotNull(), F.struct("pos", "lo", "hi", "n_misfit"))
-    rows = cells(quads, attributes).groupBy("s").agg(F.array_sort(F.collect_list(cell)).alias("_cells"))
-    by_pos = F.map_from_arrays(F.col("_cells.pos"), F.col("_cells"))
+    rows = cells(quads, attributes).groupBy("s").agg(F.collect_list(cell).alias("_cells"))  # at most one an attribute
     every = F.sequence(F.lit(0), F.lit(len(attributes) - 1)) if attributes else F.array().cast("array<int>")
-    return rows.select("s", F.transform(every, lambda i: F.try_element_at(by_pos, i)).alias("grid"))
+    none = F.lit(None).cast("string")
+    empty = F.transform(F.array_except(every, F.col("_cells.pos")), lambda i: F.struct(i.alias("pos"), none.alias("lo"), none.alias("hi"), F.lit(0).cast("bigint").alias("n_misfit")))
+    return rows.select("s", F.array_sort(F.concat("_cells", empty)).alias("grid"))
 
 
 def unclean_cells(grid: DataFrame, attributes: list[Attribute]) -> DataFrame:
@@ -128,7 +126,7 @@ def unclean_cells(grid: DataFrame, attributes: list[Attribute]) -> DataFrame:
     def unheld(c: Column) -> Column:
         return c["lo"].isNotNull() & ~conflict(c) & ~lexical.held(F.get(kinds, c["pos"]), c["lo"])
 
-    bad = F.filter("grid", lambda c: c.isNotNull() & ((c["n_misfit"] > 0) | conflict(c) | unheld(c)))
+    bad = F.filter("grid", lambda c: (c["n_misfit"] > 0) | conflict(c) | unheld(c))
     c = F.col("_c")
     found = grid.select("s", F.explode(bad).alias("_c"))
     return found.select("s", F.get(listed, c["pos"]).alias("_a"), c["n_misfit"].alias("n_misfit"), conflict(c).alias("conflict"), unheld(c).alias("unheld")).select("s", "_a.*", "n_misfit", "conflict", "unheld")

@@ -30,9 +30,7 @@ def p1_modes(spark: SparkSession, folder: str) -> DataFrame:
 def p1_percentiles(spark: SparkSession, folder: str) -> DataFrame:
     """Median and 99th percentile of the length of the objects of each predicate, the null one too."""
     sized = table(spark, folder, "quads").select("p", F.length("o").cast("bigint").alias("size"))
-    half, most = (profile.weighted_percentile(sized, "p", "size", q).withColumnRenamed("percentile", n) for q, n in ((0.5, "median"), (0.99, "p99")))
-    most = most.withColumnRenamed("p", "_p")
-    return half.join(most, F.col("p").eqNullSafe(F.col("_p"))).drop("_p")
+    return profile.weighted_percentile(sized, "p", "size", {"median": 0.5, "p99": 0.99})
 
 
 def _values(spark: SparkSession, folder: str) -> DataFrame:
@@ -158,7 +156,7 @@ SQL = {
     + """, n AS (SELECT field, key, s, count(*) AS n FROM k GROUP BY ALL)
 SELECT field, key, s AS top_subject, n AS top_rows FROM n WHERE s IS NOT NULL
 QUALIFY row_number() OVER (PARTITION BY field, key ORDER BY n DESC, s) = 1""",
-    "p1_percentiles": "SELECT p, quantile_disc(length(o), 0.5) AS median, quantile_disc(length(o), 0.99) AS p99 FROM quads WHERE p IS NOT NULL AND o IS NOT NULL GROUP BY p",
+    "p1_percentiles": "SELECT p, quantile_disc(length(o), 0.5) AS median, quantile_disc(length(o), 0.99) AS p99 FROM quads WHERE o IS NOT NULL GROUP BY p",
     "p3_wide": _wide_sql(),
     "p3_cells": _P3_VALUES + "SELECT s, p, column_name, single_valued, conflict, misfit FROM cells WHERE conflict OR misfit",
     "p3_values": _P3_VALUES + "SELECT DISTINCT s, p, column_name, v AS value FROM vals WHERE single_valued IS NOT TRUE AND v IS NOT NULL",

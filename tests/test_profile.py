@@ -72,12 +72,18 @@ def test_percentiles(spark):
             assert got[k] == vs[max(0, -(-int(round(len(vs) * q * 1e9)) // 10**9) - 1)], (k, q)
 
 
+def test_several_percentiles_in_one_pass(spark):
+    df = spark.createDataFrame([("a", i) for i in range(1, 101)] + [(None, 7), ("b", None)], "k string, v int")
+    got = {r.k: (r.low, r.mid, r.high) for r in profile.weighted_percentile(df, "k", "v", {"low": 0.01, "mid": 0.5, "high": 1.0}).collect()}
+    assert got == {"a": (1, 50, 100), None: (7, 7, 7)}
+
+
 def test_salts_keep_every_pair(spark):
     left = spark.createDataFrame([(1, i) for i in range(400)] + [(k, k) for k in range(2, 40)] + [(None, 0)], "k int, v int")
     right = spark.createDataFrame([(k, f"x{k}") for k in range(50)] + [(None, "none")], "k int, x string")
-    hot = skew.hot_keys(left, "k", left.count(), 0.1)
-    assert [r.k for r in hot.collect()] == [1]
-    a, b = skew.spread(left, hot, "k", left["v"], 8), skew.replicate(right, hot, "k", 8)
+    hot = skew.hot_keys(left, "k", left.count(), 50)
+    assert [tuple(r) for r in hot.collect()] == [(1, 8)]
+    a, b = skew.spread(left, hot, "k", left["v"]), skew.replicate(right, hot, "k")
     assert a.select("_salt").distinct().count() == 8
     assert a.join(b, ["k", "_salt"]).count() == 438
     assert a.count() == 439 and b.count() == 51 + 7

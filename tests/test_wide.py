@@ -90,6 +90,21 @@ def test_wide_rows_and_unclean_cells(spark):
     assert {(r.s, r.p, r.conflict) for r in bad} == {("<b>", "<n>", True), ("<b>", "<r>", False), ("_:x", "<n>", False)}
 
 
+@pytest.mark.parametrize("row", [("<z>", "z", "unknown", True), (None, "z", "string", True), ("<z>", None, "string", True), ("<n>", "n", "string", True), ("<n>", "other", "integer", True)])
+def test_attributes_that_cannot_become_columns_raise(spark, row):
+    with pytest.raises(ValueError):
+        wide.attribute_list(spark.createDataFrame([*KNOWN, row], ATTRIBUTES))
+
+
+def test_grid_has_every_position_once(spark):
+    many = [(f"<p{i:04}>", f"c{i}", "integer", True) for i in range(700)]
+    data = [("<full>", p, lit(i), None) for i, (p, *_) in enumerate(many)] + [("<one>", "<p0123>", lit(5), None), ("<none>", "<else>", lit(5), None)]
+    grid = {r.s: r.grid for r in wide.entity_grid(quads(spark, data), many).collect()}
+    assert all([c.pos for c in g] == list(range(700)) for g in grid.values())
+    assert [c.lo for c in grid["<full>"]] == [str(i) for i in range(700)]
+    assert [c.pos for c in grid["<one>"] if c.lo is not None] == [123] and not any(c.lo for c in grid["<none>"])
+
+
 def test_column_names_that_clash(spark):
     listed = wide.attribute_list(spark.createDataFrame(KNOWN, ATTRIBUTES))
     names = [a[1] for a in listed]

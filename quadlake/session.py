@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -43,7 +46,7 @@ def shared_dir(spark: SparkSession) -> str:
     root = _setting(spark, "spark.checkpoint.dir")
     if root:
         return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):  # local-cluster has executors of its own
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     root = "file://" + tempfile.mkdtemp(prefix="quadlake-")
     spark.conf.set("spark.checkpoint.dir", root)
@@ -57,20 +60,42 @@ def remove_path(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; removed when the driver ends."""
-    path = f"{shared_dir(spark)}/quadlake/{name}-{uuid.uuid4().hex}"
+#: Paths made so far that are not removed yet, and the session of each.
+_scratch: dict[str, SparkSession] = {}
+
 
-    def clean() -> None:
+def _clean(paths: list[str]) -> None:
+    for path in paths:
+        spark = _scratch.pop(path)
         try:
             remove_path(spark, path)
         except Exception:  # the session is already gone
             pass
 
-    atexit.register(clean)
+
+atexit.register(lambda: _clean(list(_scratch)))
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; removed when the driver ends, or at the
+    end of the scratch_scope it was made in."""
+    path = f"{shared_dir(spark)}/quadlake/{name}-{uuid.uuid4().hex}"
+    _scratch[path] = spark
     return path
 
 
+@contextmanager
+def scratch_scope() -> Iterator[None]:
+    """Removes at its end what was staged inside it, so that a driver that runs
+    for long does not fill the shared folder. Results have to be written or
+    collected inside, since they read what is staged."""
+    before = set(_scratch)
+    try:
+        yield
+    finally:
+        _clean([p for p in _scratch if p not in before])
+
+
 def stage(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage is cut and the
     rows survive the loss of any executor."""

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quadlake.config import Layout, StoreConfig
 from quadlake.errors import ConfigError, TransactionError
-from quadlake.session import stage
+from quadlake.session import scratch_scope, shared_dir, stage
 from quadlake.sources.nquads import format_quads, parse_lines, read_nquads, write_nquads
 from quadlake.sources.quads import SCHEMA
 from quadlake.store import QuadStore, open_store
@@ -307,3 +307,35 @@ def test_rates_of_a_table_and_a_stream(spark, tmp_path):
 def test_staged_tables_cut_lineage(spark):
     df = stage(spark, spark.range(10), "numbers")
     assert df.count() == 10 and "parquet" in df._jdf.queryExecution().executedPlan().toString().lower()
+
+
+def test_a_scope_removes_what_was_staged_in_it(spark):
+    kept = stage(spark, spark.range(3), "kept")
+    with scratch_scope():
+        df = stage(spark, spark.range(10), "numbers")
+        assert df.count() == 10
+    with pytest.raises(Exception, match="(?i)not exist|not_exist|cannot find|not found"):
+        spark.read.parquet(*df.inputFiles()).count()
+    assert kept.count() == 3
+
+
+def test_only_one_machine_may_do_without_a_shared_folder():
+    class Context:
+        def __init__(self, master):
+            self.master = master
+
+        def getConf(self):
+            return {}
+
+    class Conf(dict):
+        def set(self, key, value):
+            self[key] = value
+
+    class Session:
+        def __init__(self, master):
+            self.sparkContext, self.conf = Context(master), Conf()
+
+    for master in ("local-cluster[3,2,1024]", "spark://x:7077", "yarn", "k8s://x"):
+        with pytest.raises(RuntimeError):
+            shared_dir(Session(master))
+    assert shared_dir(Session("local[4]")).startswith("file:") and shared_dir(Session("local")).startswith("file:")

@@ -341,6 +341,50 @@ def _string(c: Column) -> Value:
     return Value(key=F.concat(F.lit('"'), c, F.lit('"')), text_=c, known="text")
 
 
+def _text_call(name: str, args: list[Value], given: tuple[A.Expr, ...]) -> Value:
+    """Functions of the labels of literals. What is cut out of a literal keeps
+    its language tag or datatype; nothing found gives the plain empty literal."""
+    label = args[0].label()
+    if name == "concat":
+        return _string(F.concat(*[a.label() for a in args]))
+    if name == "strlang":
+        return Value(key=F.concat(F.lit('"'), args[0].text(), F.lit('"@'), args[1].text()))
+    if name == "strdt":
+        return Value(key=F.concat(F.lit('"'), args[0].text(), F.lit('"^^'), F.when(terms.is_uri(args[1].term()), args[1].term())))
+    if name == "replace":
+        if not all(isinstance(a, A.Const) for a in given[1:]):
+            raise ValueError("the pattern and the text of REPLACE must be constant")
+        pattern, by, *flags = [terms.decode(a.key).value for a in given[1:]]
+        known = "".join(f for f in "imsx" if flags and f in flags[0])
+        cut = F.regexp_replace(label, f"(?{known}){pattern}" if known else pattern, by)
+    elif name == "substr":
+        first = args[1].double().cast("int")
+        size = args[2].double().cast("int") if len(args) > 2 else F.length(label)
+        # positions count from 1; what lies before the first character is cut off
+        cut = F.substring(label, F.greatest(first, F.lit(1)), F.greatest(size + F.least(first - 1, F.lit(0)), F.lit(0)))
+    else:
+        at = F.instr(label, args[1].label())
+        cut = F.when(at > 0, F.substring(label, F.lit(1), at - 1) if name == "strbefore" else F.substring(label, at + F.length(args[1].label()), F.length(label))).otherwise(F.lit(""))
+    if args[0].known == "text" and (args[0].variable is None or getattr(args[0].variable.made, "kind", None) == "plain"):
+        return _string(cut)
+    return Value(key=F.concat(F.lit('"'), cut, F.lit('"'), terms.suffix(args[0].term())))
+
+
+def _rounded(name: str, v: Value) -> Value:
+    """Of the same kind of number; ROUND takes halves up."""
+    if v.long_ is not None:
+        return Value(long_=F.abs(v.long_)) if name == "abs" else Value(long_=v.long_)
+    run = {"abs": F.abs, "ceil": F.ceil, "floor": F.floor, "round": lambda x: F.floor(x + F.lit(0.5).cast("decimal(1,1)"))}[name]
+    return Value(exact_=run(v.exact()).cast(_DECIMAL), double_=run(v.double()).cast("double"), integer=v.is_integer())
+
+
+#: Parts of a dateTime in UTC.
+_MOMENT_PARTS = {
+    "year": F.year, "month": F.month, "day": F.dayofmonth, "hours": F.hour, "minutes": F.minute,
+    "seconds": lambda t: F.extract(F.lit("SECOND"), t),
+}
+
+
 def mapped(variable: Variable, raw: Column) -> Value:
     """The value of a column, without going through its term."""
     if isinstance(variable.made, Computed):
@@ -439,6 +483,13 @@ def compile_expr(e: A.Expr, env: Mapping[str, Value]) -> Value:
     if name in ("ucase", "lcase"):
         lex = args[0].label()
         return Value(key=F.concat(F.lit('"'), F.upper(lex) if name == "ucase" else F.lower(lex), F.lit('"'), terms.suffix(args[0].term())))
+    if name in ("substr", "strbefore", "strafter", "replace", "concat", "strlang", "strdt"):
+        return _text_call(name, args, e.args)
+    if name in ("abs", "ceil", "floor", "round"):
+        return _rounded(name, args[0])
+    if name in _MOMENT_PARTS:
+        part = _MOMENT_PARTS[name](F.timestamp_micros(args[0].moment()))
+        return Value(long_=part.cast("bigint")) if name != "seconds" else Value(exact_=part.cast(_DECIMAL), double_=part.cast("double"), integer=F.lit(False))
     if name == "if":
         return Value(key=F.when(args[0].truth(), args[1].term()).when(~args[0].truth(), args[2].term()))
     if name == "coalesce":

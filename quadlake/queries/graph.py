@@ -211,6 +211,16 @@ _CALM = f"SELECT {i('customer', 'c_custkey')} AS c FROM customer WHERE NOT EXIST
 _URGENT = '?o ex:customer ?c . ?o ex:status "F" . ?o ex:priority "1-URGENT"'
 _query("not_bound_anti", M, f"SELECT ?c WHERE {{ ?c ex:segment ?s OPTIONAL {{ {_URGENT} }} FILTER(!BOUND(?o)) }}", _CALM)
 _query("not_exists_anti", M, f"SELECT ?c WHERE {{ ?c ex:segment ?s FILTER NOT EXISTS {{ {_URGENT} }} }}", _CALM)
+_query("string_functions", M, """SELECT ?d (SUBSTR(?p, 2, 5) AS ?part) (STRBEFORE(?p, "/") AS ?top) (STRAFTER(?p, "/") AS ?rest) (CONCAT(UCASE(?r), ":", ?p) AS ?full) (REPLACE(?p, "[0-9]+", "#") AS ?plain)
+         (STRLANG(?r, "en") AS ?tagged) (STRDT(?r, ex:repo) AS ?kind) WHERE { ?d ex:path ?p ; ex:repo ?r }""",
+       f"""SELECT {i('doc', 'doc_id')} AS d, {plain('substr(path, 2, 5)')} AS part, {plain("CASE WHEN contains(path, '/') THEN split_part(path, '/', 1) ELSE '' END")} AS top,
+         {plain("CASE WHEN contains(path, '/') THEN substr(path, instr(path, '/') + 1) ELSE '' END")} AS rest, {plain("upper(repo) || ':' || path")} AS full, {plain("regexp_replace(path, '[0-9]+', '#', 'g')")} AS plain,
+         '"' || repo || '"@en' AS tagged, '"' || repo || '"^^<http://ex.org/repo>' AS kind FROM documents WHERE path IS NOT NULL AND repo IS NOT NULL""")
+_query("number_functions", M, "SELECT ?p (ABS(?z - 25) AS ?a) (CEIL(?c) AS ?up) (FLOOR(?c) AS ?down) (ROUND(?c) AS ?near) WHERE { ?p ex:size ?z ; ex:price ?c }",
+       f"SELECT {i('part', 'p_partkey')} AS p, {whole('abs(p_size - 25)')} AS a, {typed('CAST(ceil(CAST(p_retailprice AS DECIMAL(18,2))) AS BIGINT)', 'decimal')} AS up, {typed('CAST(floor(CAST(p_retailprice AS DECIMAL(18,2))) AS BIGINT)', 'decimal')} AS down, "
+       f"{typed('CAST(floor(CAST(p_retailprice AS DECIMAL(18,2)) + 0.5) AS BIGINT)', 'decimal')} AS near FROM part")
+_query("moment_functions", M, "SELECT ?y ?m (COUNT(*) AS ?n) WHERE { ?o ex:date ?d } GROUP BY (YEAR(?d) AS ?y) (MONTH(?d) AS ?m)",
+       f"SELECT {whole('year(o_orderdate)')} AS y, {whole('month(o_orderdate)')} AS m, {whole('count(*)')} AS n FROM orders GROUP BY year(o_orderdate), month(o_orderdate)")
 _query("values_join", M, 'SELECT ?p ?b ?w WHERE { ?p ex:brand ?b VALUES (?b ?w) { ("Brand#1" ex:low) ("Brand#2" UNDEF) ("Brand#none" ex:no) } }',
        f"SELECT {i('part', 'p_partkey')} AS p, {plain('p_brand')} AS b, CASE WHEN p_brand = 'Brand#1' THEN '{ex('low')}' END AS w FROM part WHERE p_brand IN ('Brand#1', 'Brand#2')")
 _query("bind_extend", M, "SELECT ?p ?d ?big WHERE { ?p ex:size ?z BIND(?z * 2 AS ?d) BIND(?d > 50 AS ?big) FILTER(?d > 20) }",
@@ -423,6 +433,44 @@ _change("layouts_after_changes", lambda store: _transaction("commit")(store) or
         f"""SELECT * FROM (SELECT * FROM q UNION {_COPIED}) WHERE p <> '<{V}of>' AND o = '"active"' AND (c IS NULL OR c = '{_COPY}')""", _LAYOUTS)
 
 
+def _counts(spark: SparkSession, folder: str) -> DataFrame:
+    """What each change says it has done, to a store that is dropped in the end."""
+    store = _whole_store(spark, folder, _LAYOUTS)
+    with store.connect() as c:
+        copies = _copies(store)
+        steps = [("held", c.count()), ("added", c.add_all(copies)), ("added again", c.add_all(copies))]
+        steps.append(("removed in one graph", c.remove(p=_STATUS, contexts=[_COPY])))
+        steps.append(("removed as quads", c.remove_all(store.scan(p=f"<{V}of>", contexts=[None]))))
+        steps.append(("removed by object", c.remove(o='"active"', contexts=[None, _REGISTRY])))
+        steps.append(("left", c.count()))
+    store.drop()
+    return spark.createDataFrame([*steps, ("after the drop", store.scan().count())], "step string, n bigint")
+
+
+QUERIES["change_counts"] = _counts
+SQL["change_counts"] = _SET + f"""SELECT 'held' AS step, count(*) AS n FROM q UNION ALL SELECT 'added', count(*) FROM (SELECT DISTINCT * FROM ({_COPIED}) EXCEPT SELECT * FROM q) UNION ALL SELECT 'added again', 0
+  UNION ALL SELECT 'removed in one graph', count(*) FROM (SELECT DISTINCT * FROM ({_COPIED})) UNION ALL SELECT 'removed as quads', count(*) FROM q WHERE p = '<{V}of>' AND c IS NULL
+  UNION ALL SELECT 'removed by object', count(*) FROM q WHERE o = '"active"' AND (c IS NULL OR c = '{_REGISTRY}')
+  UNION ALL SELECT 'left', count(*) FROM q WHERE NOT (p = '<{V}of>' AND c IS NULL) AND NOT (o = '"active"' AND (c IS NULL OR c = '{_REGISTRY}')) UNION ALL SELECT 'after the drop', 0"""
+
+
+def _made_terms(spark: SparkSession, folder: str) -> DataFrame:
+    """Statements made of the columns of the documents."""
+    docs = table(spark, folder, "documents")
+    about = {
+        "path": terms.make_literal(F.col("path"), dtype=XSD + "string"), "text": terms.make_literal(F.col("text"), F.coalesce("lang", F.lit(""))),
+        "repo": terms.make_uri(F.lit("http://ex.org/repo/"), F.col("repo")), "licence": terms.make_literal(F.col("licence_file")),
+    }
+    made = F.array(*[F.struct(F.lit(ex(n)).alias("p"), o.alias("o")) for n, o in about.items()])
+    return docs.select(terms.make_bnode(F.concat(F.lit("d"), F.col("doc_id").cast("string"))).alias("s"), F.inline(made)).where(F.col("o").isNotNull())
+
+
+QUERIES["terms_made"] = _made_terms
+SQL["terms_made"] = " UNION ALL ".join(f"SELECT '_:d' || doc_id AS s, {p(n)} AS p, {o} AS o FROM documents WHERE {o} IS NOT NULL" for n, o in {
+    "path": typed("path", "string"), "text": """'"' || text || CASE WHEN length(lang) > 0 THEN '"@' || lang ELSE '"' END""", "repo": "'<http://ex.org/repo/' || repo || '>'", "licence": plain("licence_file"),
+}.items())
+
+
 def _namespaces(spark: SparkSession, folder: str) -> DataFrame:
     store = QuadStore.open(spark, {"path": scratch_path(spark, "store"), "catalog": "names"})
     with store.connect() as c:

@@ -300,3 +300,18 @@ def test_fresh_blank_nodes_of_two_constructs(source):
 def test_language_values(source):
     text = "SELECT ?o (LANG(?o) AS ?l) WHERE { ?s <name> ?o }"
     assert ask(source, text)[('"A"@en', '"en"')] == 1 and ask(source, text)[('"A"', '""')] == 1
+
+
+def test_functions_of_texts_numbers_and_moments(source):
+    def one(expression):
+        found = ask(source, f'SELECT ({expression} AS ?x) WHERE {{ VALUES ?v {{ "abcdef" }} }}')
+        return next(iter(found))[0]
+
+    cases = {
+        'SUBSTR("abcdef", 2, 3)': '"bcd"', 'SUBSTR("abcdef", 0, 3)': '"ab"', 'SUBSTR("abcdef", 5)': '"ef"', 'SUBSTR("abc"@en, 2)': '"bc"@en', 'SUBSTR("abc", 9)': '""',
+        'STRBEFORE("a/b/c", "/")': '"a"', 'STRAFTER("a/b/c", "/")': '"b/c"', 'STRBEFORE("abc", "x")': '""', 'STRAFTER("abc"@en, "b")': '"c"@en',
+        'CONCAT("a", "b"@en, "c")': '"abc"', 'REPLACE("a1b22", "[0-9]+", "-")': '"a-b-"', 'REPLACE("aBb", "b", "x", "i")': '"axx"', 'STRLANG("a", "en-GB")': '"a"@en-GB', 'STRDT("1", xsd:int)': q("1", "int"),
+        "ABS(-3)": q("3", "integer"), "ABS(-2.5)": q("2.5", "decimal"), "CEIL(2.1)": q("3", "decimal"), "FLOOR(-2.1)": q("-3", "decimal"), "ROUND(2.5)": q("3", "decimal"), "ROUND(-2.5)": q("-2", "decimal"), "ABS(\"x\")": None,
+        'YEAR("2024-05-06T07:08:09.5Z"^^xsd:dateTime)': q("2024", "integer"), 'HOURS("2024-05-06T01:08:09+02:00"^^xsd:dateTime)': q("23", "integer"), 'SECONDS("2024-05-06T07:08:09.5Z"^^xsd:dateTime)': q("9.5", "decimal"), 'MONTH("x")': None,
+    }
+    assert {k: one(k) for k in cases} == cases

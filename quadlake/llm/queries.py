@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,6 +26,26 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return found.where(F.col("estimate") >= F.lit(quads.count() * P2_SHARE)).select("field", "item")
 
 
+def p2_bounds(spark: SparkSession, folder: str) -> DataFrame:
+    """The items of p2_heavy against their exact numbers: how many there are,
+    whether none is counted too low, whether as many as the sketch's probability
+    says are within their stated error, and whether no frequent one is missing."""
+    quads = table(spark, folder, "quads")
+    n_rows, found = quads.count(), p2_heavy(spark, folder)
+    out = None
+    for field in ("o", "p"):
+        exact = quads.where(F.col(field).isNotNull()).groupBy(F.col(field).alias("item")).agg(F.count(F.lit(1)).alias("n"))
+        both = found.where(F.col("field") == field).join(exact, "item", "full").withColumn("found", F.col("estimate").isNotNull())
+        n, wide = F.count(F.when(F.col("found"), 1)), F.count(F.when(F.col("found") & (F.col("estimate") - F.col("n") > F.col("max_error")), 1))
+        least = math.exp(-heavy.DEPTH)
+        rows = both.agg(
+            F.lit(field).alias("field"), n.alias("n_items"), F.coalesce(F.min(F.when(F.col("found"), F.col("estimate") >= F.col("n"))), F.lit(True)).alias("none_below"),
+            (wide <= least * n + 4 * F.sqrt(least * n) + 1).alias("bounds_hold"), F.coalesce(F.min(F.when(F.col("n") * heavy.CAPACITY > n_rows, F.col("found"))), F.lit(True)).alias("none_missing"),
+        )
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def _subjects(spark: SparkSession, folder: str) -> DataFrame:
     quads = table(spark, folder, "quads")
     return quads.select(F.to_date("asserted_at").alias("day"), F.coalesce("c", F.lit("DEFAULT")).alias("c"), "p", "s")
@@ -125,6 +146,11 @@ def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.encode_documents(_texts(spark, folder))
 
 
+def p7_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """The texts again, put together from their ids."""
+    return tokens.decode_documents(p7_ids(spark, folder))
+
+
 def _mixed(spark: SparkSession, folder: str):
     return mixing.mixture(spark, table(spark, folder, "documents").select("doc_id", "text", "source"), table(spark, folder, "source_weights"))
 
@@ -169,7 +195,7 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return repetition.repetitive(_texts(spark, folder)).select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p2_heavy, p2_found, p4_distinct, p4_days, p4_graphs, p4_bounds, p4_joint_bounds, p6_records, p6_reopened, p6_found, p7_ids, p8_mixture, p8_shares, p8_check, p9_repetition, p9_scores, p9_found)}
+QUERIES = {f.__name__: f for f in (p2_heavy, p2_bounds, p2_found, p4_distinct, p4_days, p4_graphs, p4_bounds, p4_joint_bounds, p6_records, p6_reopened, p6_found, p7_ids, p7_texts, p8_mixture, p8_shares, p8_check, p9_repetition, p9_scores, p9_found)}
 
 _P6_KEYED = r"""WITH cut AS (
   SELECT literal_id, label, language, replace(lower(coalesce(language, '')), '_', '-') AS lang, coalesce(label, '') AS text,
@@ -201,6 +227,8 @@ _P4_ROWS = "WITH r AS (SELECT DISTINCT CAST(asserted_at AS DATE) AS day, coalesc
 _P4_LEVEL = "concat_ws('+', " + ", ".join(f"CASE WHEN grouping({c}) = 0 THEN '{c}' END" for c in P4_GROUPS) + ")"
 
 SQL = {
+    "p2_bounds": " UNION ALL ".join(f"SELECT '{c}' AS field, least({heavy.CAPACITY}, count(DISTINCT {c})) AS n_items, true AS none_below, true AS bounds_hold, true AS none_missing FROM quads" for c in "op"),
+    "p7_texts": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     "p4_bounds": _P4_ROWS
     + f"""SELECT level_of, count(*) AS n_groups, true AS bounds_hold, true AS none_far
 FROM (SELECT {_P4_LEVEL} AS level_of FROM r GROUP BY CUBE(day, c, p)) GROUP BY level_of""",

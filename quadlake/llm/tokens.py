@@ -197,3 +197,22 @@ def encode_documents(df: DataFrame, id_column: str = "doc_id", text_column: str
             yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=[id_column, "ids"])
 
     return rows.mapInArrow(run, T.StructType([T.StructField(id_column, kind), T.StructField("ids", T.ArrayType(T.IntegerType()))]))
+
+
+def decode_documents(df: DataFrame, id_column: str = "doc_id", ids_column: str = "ids", path: str | None = None) -> DataFrame:
+    """id_column and text, put together from the entries of the ids.
+
+    Null and empty lists give the empty text; bytes that are no UTF-8 (of ids
+    that no text has) become replacement characters. No shuffle.
+    """
+    rows = df.select(df[id_column], df[ids_column].cast("array<int>").alias("ids"))
+    kind = rows.schema[0].dataType
+    get = shared_encoder(df, path)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        entries = get().entries
+        for batch in batches:
+            texts = [b"".join([entries[i] for i in ids or ()]).decode(errors="replace") for ids in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=[id_column, "text"])
+
+    return rows.mapInArrow(run, T.StructType([T.StructField(id_column, kind), T.StructField("text", T.StringType())]))

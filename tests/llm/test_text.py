@@ -104,6 +104,20 @@ def test_sample_documents(spark, library):
         assert r.ids == library.encode(texts[r.doc_id] or "", add_special_tokens=False).ids
 
 
+def test_texts_come_back_from_their_ids(spark):
+    texts = [None, "", "a", " \n\t", "é\U0001f600\u0301 x", "z" * 300_000, "\r\n'll 12 34"]
+    df = spark.createDataFrame([(i, t, "s", "", 0, 1, "") for i, t in enumerate(texts)], DOCS)
+    back = {r.doc_id: r.text for r in K.decode_documents(K.encode_documents(df)).collect()}
+    assert back == {i: t or "" for i, t in enumerate(texts)}
+
+
+def test_a_large_rank_file_is_refused(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(K, "MAX_FILE", 10)
+    (tmp_path / "ranks").write_bytes(b"YQ== 0\nYg== 1\n")
+    with pytest.raises(ValueError):
+        K.shared_encoder(spark.range(1), str(tmp_path / "ranks"))
+
+
 # ------------------------------------------------------------------ repetition
 def brute(text, run=P.RUN):
     w = re.findall(r"\w+", text or "")

@@ -15,3 +15,7 @@ class ConfigError(QuadlakeError):
 
 class SparqlSyntaxError(QuadlakeError):
     """Query text that is not in the supported grammar."""
+
+
+class TurtleSyntaxError(QuadlakeError):
+    """A document that is neither Turtle nor TriG."""

@@ -24,6 +24,7 @@ from quadlake.sources.mapping import ex, sample_quads
 from quadlake.sources.nquads import format_quads, parse_lines
 from quadlake.sources.quads import FrameQuads
 from quadlake.sources.tables import table
+from quadlake.sources.turtle import read_turtle, write_trig
 from quadlake.store import QuadStore
 from quadlake.streaming.ingest import late_rows, newest_rates, predicate_rates
 
@@ -512,6 +513,18 @@ QUERIES["nquads_round_trip"] = _round_trip
 SQL["nquads_round_trip"] = _SET + "SELECT * FROM q"
 
 
+
+
+def _trig_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    """All stored quads, written as TriG documents and read again."""
+    path = scratch_path(spark, "trig")
+    write_trig(stored(spark, folder).scan(), path)
+    return read_turtle(spark, path).distinct()
+
+
+QUERIES["trig_round_trip"] = _trig_round_trip
+SQL["trig_round_trip"] = _SET + "SELECT * FROM q"
+
 # ------------------------------------------------- statements held as ids
 def _coded(spark: SparkSession, folder: str) -> DictionaryQuads:
     return DictionaryQuads(table(spark, folder, "triples"), table(spark, folder, "term_values"), table(spark, folder, "vocab_terms"))

@@ -79,14 +79,14 @@ def read_nquads(spark: SparkSession, path: str, strict: bool = True) -> DataFram
     return rows.where("ok").select("s", "p", "o", "c")
 
 
-def format_quads(quads: DataFrame) -> DataFrame:
-    """One column value: the line of each quad."""
+def format_quads(quads: DataFrame, *keep: str) -> DataFrame:
+    """One column value: the line of each quad; and the columns to keep."""
 
     def part(x: Column) -> Column:
         return F.when(terms.is_literal(x), F.concat(F.lit('"'), _escape(terms.lex(x)), F.lit('"'), terms.suffix(x))).otherwise(x)
 
     graph = F.when(F.col("c").isNull(), F.lit("")).otherwise(F.concat(F.lit(" "), F.col("c")))
-    return quads.select(F.concat(part(F.col("s")), F.lit(" "), F.col("p"), F.lit(" "), part(F.col("o")), graph, F.lit(" .")).alias("value"))
+    return quads.select(F.concat(part(F.col("s")), F.lit(" "), F.col("p"), F.lit(" "), part(F.col("o")), graph, F.lit(" .")).alias("value"), *keep)
 
 
 def write_nquads(quads: DataFrame, path: str) -> None:

@@ -90,7 +90,8 @@ class QuadStore(QuadSource):
             for r in after:
                 rows = without(rows, self.read(r["folder"])) if "folder" in r else rows.where(~removed(r))
             out = rows if out is None else out.unionByName(rows)
-        return self.spark.createDataFrame([], SCHEMA) if out is None else out
+        # the filter tells the planner that there is nothing, so that no join is made with it
+        return self.spark.createDataFrame([], SCHEMA).where(F.lit(False)) if out is None else out
 
     def read(self, folder: str) -> DataFrame:
         return self.spark.read.schema(SCHEMA).parquet(f"{self.root}/{folder}")

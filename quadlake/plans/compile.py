@@ -184,9 +184,9 @@ class Compiler:
         variables = dict(a.variables)
         for v in shared:
             x, y = a.variables[v], b.variables[v]
-            if x.made is None and y.made is None or x.template is not None and y.template is not None and x.template.same(y.template):
+            if x.same(y):
                 continue
-            # different templates, literals, or keys on one side only: compare the terms
+            # different templates, decimals and tagged texts, or terms on one side only: compare the terms
             left, right, variables[v] = left.withColumn(v, x.term(F.col(f"`{v}`"))), right.withColumn(v, y.term(F.col(f"`{v}`"))), Variable()
         joined = left.join(right, shared, "inner") if shared else left.crossJoin(right)
         return Relation(joined, variables | {v: x for v, x in b.variables.items() if v not in variables})

@@ -77,9 +77,12 @@ def p4_bounds(spark: SparkSession, folder: str) -> DataFrame:
     estimate is off by more than six stated errors and two items (in a set of a
     few items two may fall into one register)."""
     rows = _subjects(spark, folder).where("s is not null")
+    # numbers in place of long terms: two of them are the same with a chance of 1 in 2^64 a pair
+    coded = {c: F.when(F.col(c).isNotNull(), F.xxhash64(c)) for c in ("c", "p", "s")}
     names = F.filter(F.array(*[F.when(F.grouping(c) == 0, F.lit(c)) for c in P4_GROUPS]), lambda x: x.isNotNull())
-    exact = rows.cube(*P4_GROUPS).agg(F.count_distinct("s").alias("n"), F.array_join(names, "+").alias("level_of"))
-    both = registers.cube(rows, P4_GROUPS, "s").alias("e").join(exact.alias("x"), reduce(Column.__and__, [F.col(f"e.{c}").eqNullSafe(F.col(f"x.{c}")) for c in ["level_of", *P4_GROUPS]]), "full")
+    exact = rows.withColumns(coded).cube(*P4_GROUPS).agg(F.count_distinct("s").alias("n"), F.array_join(names, "+").alias("level_of"))
+    found = registers.cube(rows, P4_GROUPS, "s").withColumns({c: coded[c] for c in ("c", "p")})
+    both = found.alias("e").join(exact.alias("x"), reduce(Column.__and__, [F.col(f"e.{c}").eqNullSafe(F.col(f"x.{c}")) for c in ["level_of", *P4_GROUPS]]), "full")
     inside = F.coalesce(F.col("n").between(F.col("low"), F.col("high")), F.lit(False))
     near = F.coalesce(F.abs(F.col("estimate") - F.col("n")) <= 6 * F.col("rel_error") * F.col("n") + 2, F.lit(False))
     return both.groupBy(F.coalesce("e.level_of", "x.level_of").alias("level_of")).agg(F.count(F.lit(1)).alias("n_groups"), _bounds_hold(inside).alias("bounds_hold"), F.min(near).alias("none_far"))
@@ -93,7 +96,9 @@ def p4_joint_bounds(spark: SparkSession, folder: str) -> DataFrame:
         ("days", "day", p4_days(spark, folder).withColumnsRenamed({"previous": "first", "day": "second"})),
         ("graphs", "c", p4_graphs(spark, folder).withColumnRenamed("c", "first").withColumn("second", F.lit("DEFAULT"))),
     ):
-        sets = _subjects(spark, folder).select(F.col(key).alias("k"), "s").dropna().distinct()
+        found = stage(spark, found, "pairs")  # estimated once
+        subject = F.xxhash64("s").alias("s")  # a number in place of a long term, as in p4_bounds
+        sets = _subjects(spark, folder).where("s is not null").select(F.col(key).alias("k"), subject).dropna().distinct()
         sizes = sets.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
         pairs = found.select("first", "second").alias("p")
         # subjects meet the pairs of their own set only, then each pair's other set by subject

@@ -28,17 +28,39 @@ def hot_keys(df: DataFrame, key: str, n_rows: int, limit: int | None = None) ->
     return df.groupBy(key).count().where((F.col("count") > limit) & F.col(key).isNotNull()).select(key, F.ceil(F.col("count") / limit).cast("int").alias("salts"))
 
 
-def _marked(df: DataFrame, hot: DataFrame, key: str) -> DataFrame:
-    return df.join(F.broadcast(hot.select(F.col(key), F.col("salts").alias("_salts"))), key, "left")
+def _marked(df: DataFrame, hot: DataFrame, key: str | list[str]) -> DataFrame:
+    return df.join(F.broadcast(hot.withColumnRenamed("salts", "_salts")), key, "left")
 
 
-def spread(df: DataFrame, hot: DataFrame, key: str, by: Column, name: str = "_salt") -> DataFrame:
+def spread(df: DataFrame, hot: DataFrame, key: str | list[str], by: Column, name: str = "_salt") -> DataFrame:
     """Add a salt to df: pmod(hash(by), salts) for hot keys, 0 for all others."""
     salt = F.when(F.col("_salts").isNotNull(), F.pmod(F.xxhash64(by), F.col("_salts")).cast("int")).otherwise(F.lit(0))
     return _marked(df, hot, key).withColumn(name, salt).drop("_salts")
 
 
-def replicate(df: DataFrame, hot: DataFrame, key: str, name: str = "_salt") -> DataFrame:
+def replicate(df: DataFrame, hot: DataFrame, key: str | list[str], name: str = "_salt") -> DataFrame:
     """Give the rows of hot keys once per salt, all others once with salt 0."""
     every = F.when(F.col("_salts").isNotNull(), F.sequence(F.lit(0), F.col("_salts") - 1)).otherwise(F.array(F.lit(0)))
     return _marked(df, hot, key).withColumn(name, F.explode(every)).drop("_salts")
+
+
+def join_pairs(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """The inner join on keys that neither side has once, where a task's work is
+    its pairs of rows: a key with more pairs than half a mean task is spread over
+    tasks, the rows of the larger side divided and those of the other one given
+    to each. The tasks stay as many as there are shuffle partitions, since the
+    bytes that are shuffled say little of the pairs they make."""
+    spark = left.sparkSession
+    counts = left.groupBy(*keys).agg(F.count("*").alias("_n")).join(right.groupBy(*keys).agg(F.count("*").alias("_m")), keys)
+    counts = counts.withColumn("_pairs", F.col("_n").cast("decimal(20,0)") * F.col("_m"))
+    n, m, pairs = counts.agg(F.sum("_n"), F.sum("_m"), F.sum("_pairs")).first()
+    limit, tasks = task_rows(left, int(pairs or 0)), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    salts = F.least(F.ceil(F.col("_pairs") / limit), F.greatest("_n", "_m")).cast("int").alias("salts")
+    hot = counts.where(F.col("_pairs") > limit).select(*keys, salts)
+    hot = spark.createDataFrame(hot.collect(), hot.schema)  # at most two a task
+    divided = (n or 0) >= (m or 0)
+    sides = []
+    for df, own in ((left, divided), (right, not divided)):
+        salted = spread(df, hot, keys, F.struct(*df.columns)) if own else replicate(df, hot, keys)
+        sides.append(salted.repartition(tasks, *keys, "_salt"))
+    return sides[0].join(sides[1], [*keys, "_salt"]).drop("_salt")

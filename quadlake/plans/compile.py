@@ -19,6 +19,7 @@ from itertools import count
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quadlake.operators.skew import join_pairs
 from quadlake.plans import algebra as A
 from quadlake.plans.expr import Value, compile_expr, mapped, order_columns
 from quadlake.sources.mapping import Literal, MappedQuads, Relation, Variable
@@ -51,11 +52,12 @@ class _Scope(dict):
 @dataclass
 class Solutions:
     """df has the columns of ``variables``, which say what each holds;
-    ``certain`` are never null."""
+    ``certain`` are never null; ``key`` as in Relation."""
 
     df: DataFrame
     variables: dict[str, Variable]
     certain: frozenset[str]
+    key: frozenset[str] | None = None
 
     def values(self, given: dict[str, Value] | None = None) -> _Scope:
         return _Scope({n: x for n, x in (given or {}).items() if n not in self.variables}, self.variables)
@@ -66,7 +68,7 @@ class Solutions:
         if not any(x.made is not None for v, x in self.variables.items() if v in wanted):
             return self
         df = self.df.select(*[(x.term(F.col(f"`{v}`")) if v in wanted else F.col(f"`{v}`")).alias(v) for v, x in self.variables.items()])
-        return Solutions(df, {v: Variable() if v in wanted else x for v, x in self.variables.items()}, self.certain)
+        return Solutions(df, {v: Variable() if v in wanted else x for v, x in self.variables.items()}, self.certain, self.key)
 
     def distinct_columns(self) -> Solutions:
         """The same with columns whose different values are different terms."""
@@ -80,6 +82,26 @@ def _aligned(a: Solutions, b: Solutions) -> tuple[Solutions, Solutions]:
     return (a.as_terms(*other), b.as_terms(*other)) if other else (a, b)
 
 
+def _makes_pairs(a: Relation | Solutions, b: Relation | Solutions) -> bool:
+    """Whether neither side has its key among the variables that both have."""
+    shared = a.variables.keys() & b.variables.keys()
+    return bool(shared) and a.key is not None and b.key is not None and not a.key <= shared and not b.key <= shared
+
+
+def _inner(a: Relation | Solutions, b: Relation | Solutions, left: DataFrame, right: DataFrame, shared: list[str]) -> tuple[DataFrame, frozenset[str] | None]:
+    """The equality join of both sides' rows, with the key of its rows."""
+    if not shared:
+        return left.crossJoin(right), None
+    if _makes_pairs(a, b):
+        return join_pairs(left, right, shared), a.key | b.key
+    key = None if a.key is None or b.key is None else a.key if b.key <= set(shared) else b.key
+    return left.join(right, shared, "inner"), key
+
+
+def _mentioned(e: A.Expr) -> set[str]:
+    return {e.name} if isinstance(e, A.Ref) else set().union(*map(_mentioned, e.args)) if isinstance(e, A.Call) else set()
+
+
 def _rename(s: Solutions) -> tuple[DataFrame, dict[str, str]]:
     names = {v: f"_{v}_{next(_fresh)}" for v in s.variables}
     return s.df.select(*[F.col(f"`{v}`").alias(n) for v, n in names.items()]), names
@@ -94,6 +116,8 @@ class Compiler:
 
     def __init__(self, source: QuadSource, dataset: A.Dataset | None = None, bindings: dict[str, str] | None = None):
         self.source, self.dataset, self.bindings = source, dataset or A.Dataset(), dict(bindings or {})
+        #: the join whose rows are only filtered and shown, and the variables that are only shown
+        self.last: tuple[A.Node | None, set[str]] = (None, set())
 
     def run(self, node: A.Node) -> DataFrame:
         if isinstance(node, A.Ask):
@@ -101,6 +125,11 @@ class Compiler:
             return found.agg((F.count("x") > 0).alias("answer"))
         if isinstance(node, A.Construct):
             return self._construct(node)
+        if isinstance(node, A.Project):
+            child, shown = node.child, set(node.variables)
+            while isinstance(child, A.Filter):
+                child, shown = child.child, shown - _mentioned(child.condition)
+            self.last = (child, shown)
         return self.compile(node).as_terms().df
 
     def compile(self, node: A.Node) -> Solutions:
@@ -145,17 +174,19 @@ class Compiler:
         return Relation(rows, {v: Variable() for v in rows.columns})
 
     def _relations(self, patterns: tuple[A.Pattern, ...]) -> list[Relation]:
-        """A relation for each pattern; a mapped source plans its plain patterns together."""
-        rest, mapped = list(patterns), []
-        contexts = self._contexts(None)
-        if isinstance(self.source, MappedQuads) and contexts is not None:
+        """A relation for each pattern; a mapped source plans those with a given
+        predicate, and a given or no graph, together."""
+        rest, mapped, graphs = list(patterns), [], []
+        if isinstance(self.source, MappedQuads):
             for p in patterns:
                 free = not {x.name for x in (p.s, p.o) if isinstance(x, A.Var)} & set(self.bindings)
-                if isinstance(p.p, str) and p.graph is None and free:
+                contexts = None if isinstance(p.graph, A.Var) else self._contexts(p.graph)
+                if isinstance(p.p, str) and contexts is not None and free:
                     rest.remove(p)
+                    graphs.append(contexts)
                     mapped.append((*((None, x.name) if isinstance(x, A.Var) else (x, None) for x in (p.s, p.o)), p.p))
         plain = [(s, sv, p, o, ov) for (s, sv), (o, ov), p in mapped]
-        return [*(self.source.relations(plain, contexts) if plain else []), *(self.pattern(p) for p in rest)]
+        return [*(self.source.relations(plain, graphs) if plain else []), *(self.pattern(p) for p in rest)]
 
     def _bgp_relation(self, node: A.BGP) -> Relation:
         """Patterns are joined in an order that never leaves the connected part
@@ -176,7 +207,7 @@ class Compiler:
         if not node.patterns:
             return Solutions(self._spark().range(1).select(), {}, frozenset())
         whole = self._bgp_relation(node)
-        return Solutions(whole.df, dict(whole.variables), frozenset(whole.variables))
+        return Solutions(whole.df, dict(whole.variables), frozenset(whole.variables), whole.key)
 
     def _join_relations(self, a: Relation, b: Relation) -> Relation:
         shared = [v for v in a.variables if v in b.variables]
@@ -188,8 +219,8 @@ class Compiler:
                 continue
             # different templates, decimals and tagged texts, or terms on one side only: compare the terms
             left, right, variables[v] = left.withColumn(v, x.term(F.col(f"`{v}`"))), right.withColumn(v, y.term(F.col(f"`{v}`"))), Variable()
-        joined = left.join(right, shared, "inner") if shared else left.crossJoin(right)
-        return Relation(joined, variables | {v: x for v, x in b.variables.items() if v not in variables})
+        joined, key = _inner(a, b, left, right, shared)
+        return Relation(joined, variables | {v: x for v, x in b.variables.items() if v not in variables}, key)
 
     def _spark(self) -> SparkSession:
         return SparkSession.getActiveSession()
@@ -217,7 +248,12 @@ class Compiler:
         return Solutions(df.select(*columns), {**b.variables, **a.variables}, a.certain)
 
     def _join(self, node: A.Join) -> Solutions:
-        return self._joined(self.compile(node.left), self.compile(node.right))
+        a, b = self.compile(node.left), self.compile(node.right)
+        last, shown = self.last
+        if node is last and _makes_pairs(a, b):  # what is only shown becomes terms once a row, not once a pair
+            shown = shown - (a.variables.keys() & b.variables.keys())
+            a, b = (s.as_terms(*own) if (own := shown & s.variables.keys()) else s for s in (a, b))
+        return self._joined(a, b)
 
     def _joined(self, a: Solutions, b: Solutions) -> Solutions:
         a, b = _aligned(a, b)
@@ -225,8 +261,8 @@ class Compiler:
         loose = [v for v in shared if v not in a.certain or v not in b.certain]
         certain = a.certain | b.certain
         if not loose:
-            df = a.df.join(b.df, shared, "inner") if shared else a.df.crossJoin(b.df)
-            return Solutions(df, {v: ({**b.variables, **a.variables})[v] for v in df.columns}, certain)
+            df, key = _inner(a, b, a.df, b.df, shared)
+            return Solutions(df, {v: ({**b.variables, **a.variables})[v] for v in df.columns}, certain, key)
         if len(loose) < len(shared):
             right, names, on = self._match(a, b)
             out = self._merged(a, b, names, a.df.join(right, reduce(Column.__and__, on)))

@@ -71,6 +71,8 @@ class Value:
     integer: Column | None = None
     #: an integer of 64 bits
     long_: Column | None = None
+    #: a number that is always exact, as its column stores it
+    stored: Column | None = None
     #: a dateTime as timestamp_ntz in UTC
     ntz: Column | None = None
     text_: Column | None = None
@@ -88,6 +90,7 @@ class Value:
     def __post_init__(self) -> None:
         if self.long_ is not None:
             self.exact_, self.double_, self.integer, self.known = self.long_.cast(_DECIMAL), self.long_.cast("double"), F.lit(True), "number"
+            self.stored = self.long_
 
     def _decodes(self) -> bool:
         return self.key is not None and self.known is None
@@ -224,6 +227,8 @@ class Value:
 
 def _number_compare(a: Value, b: Value, test) -> Column:
     """Exact where both are, else as doubles; NaN compares to nothing."""
+    if a.stored is not None and b.stored is not None:
+        return test(a.stored, b.stored)
     x, y = a.double(), b.double()
     return F.coalesce(test(a.exact(), b.exact()), F.when(F.isnan(x) | F.isnan(y), F.lit(False)).otherwise(test(x, y)))
 
@@ -405,7 +410,7 @@ def _mapped(variable: Variable, raw: Column) -> Value:
         return Value(long_=raw.cast("bigint"))
     if kind == "decimal":
         exact = raw.cast("decimal(18,2)")
-        return Value(exact_=exact.cast(_DECIMAL), double_=exact.cast("double"), integer=F.lit(False), known="number")
+        return Value(exact_=exact.cast(_DECIMAL), double_=exact.cast("double"), integer=F.lit(False), stored=exact, known="number")
     if kind == "dateTime":
         return Value(ntz=raw, known="moment")
     if kind in ("plain", "string"):

@@ -63,7 +63,10 @@ class Literal:
     tag: str | None = None
 
     def raw(self) -> Column:
-        """The column, with its tag if the literal has one."""
+        """The column, with its tag if the literal has one; a decimal is made exact
+        where it is read, not again for each pair of rows it is compared in."""
+        if self.kind == "decimal":
+            return F.col(self.column).cast("decimal(18,2)")
         return F.col(self.column) if self.kind != "lang" else F.struct(F.col(self.column).alias("text"), F.col(self.tag).alias("tag"))
 
     def _lex(self, c: Column) -> Column:
@@ -148,10 +151,12 @@ class Variable:
 
 @dataclass
 class Relation:
-    """Rows with a column per variable."""
+    """Rows with a column per variable. key: variables whose values no two rows
+    share, or None if that is not known."""
 
     df: DataFrame
     variables: dict[str, Variable] = field(default_factory=dict)
+    key: frozenset[str] | None = None
 
     def terms(self) -> DataFrame:
         return self.df.select(*[x.term(F.col(f"`{v}`")).alias(v) for v, x in self.variables.items()])
@@ -206,10 +211,10 @@ class MappedQuads(QuadSource):
             out = one if out is None else out.unionByName(one)
         return self.spark.createDataFrame([], "c string") if out is None else out.distinct()
 
-    def relations(self, patterns: list[tuple[str | None, str, str | None, str | None, str | None]], contexts: Iterable[str | None] = ()) -> list[Relation]:
+    def relations(self, patterns: list[tuple[str | None, str, str | None, str | None, str | None]], contexts: list[list[str | None]]) -> list[Relation]:
         """Relations whose join gives the patterns (subject term, subject
         variable, predicate, object term, object variable; one of each pair is
-        None).
+        None), each in its list of contexts.
 
         A variable can only hold terms that fit the templates of all its
         places, so branches that do not fit are dropped, again and again until
@@ -217,8 +222,7 @@ class MappedQuads(QuadSource):
         those with the same subject over a table it is unique in become one
         scan.
         """
-        contexts = list(contexts)
-        found = [self.matching(s, p, o, contexts) for s, _, p, o, _ in patterns]
+        found = [self.matching(s, p, o, graphs) for (s, _, p, o, _), graphs in zip(patterns, contexts)]
 
         def shape(x: Template | Literal) -> object:
             return (x.prefix, len(x.columns)) if isinstance(x, Template) else "literal"
@@ -267,8 +271,8 @@ class MappedQuads(QuadSource):
                 variables[v] = Variable(o)
                 columns.append((o.key() if isinstance(o, Template) else o.raw()).alias(v))
         rows = rows.select(*columns)
-        return Relation(rows if first.unique else rows.distinct(), variables)
-
+        key = frozenset({sv}) if sv is not None and first.unique else None
+        return Relation(rows if first.unique else rows.distinct(), variables, key)
 
     def _several(self, sv: str | None, ov: str | None, options: list) -> Relation:
         """One pattern over several branches. A place whose branches all make

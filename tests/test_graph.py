@@ -8,6 +8,8 @@ from collections import Counter
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from quadlake.errors import SparqlSyntaxError
 from quadlake.functions.terms import XSD
 from quadlake.plans import algebra as A
@@ -315,3 +317,27 @@ def test_functions_of_texts_numbers_and_moments(source):
         'YEAR("2024-05-06T07:08:09.5Z"^^xsd:dateTime)': q("2024", "integer"), 'HOURS("2024-05-06T01:08:09+02:00"^^xsd:dateTime)': q("23", "integer"), 'SECONDS("2024-05-06T07:08:09.5Z"^^xsd:dateTime)': q("9.5", "decimal"), 'MONTH("x")': None,
     }
     assert {k: one(k) for k in cases} == cases
+
+
+def test_a_comparison_of_patterns_of_two_graphs_is_made_on_stored_numbers(spark):
+    import __spark_entry__ as entries
+
+    plan = entries.queries()["theta_join"](spark, SAMPLE)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE" not in plan and "substring" not in plan and "double" not in plan
+    join = next(line for line in plan.splitlines() if "Join Inner" in line)
+    assert "cast(" not in join and "CASE" not in join and " < y" in join
+    assert "concat" not in plan[: plan.index("Join Inner")]  # terms are made once a row, not once a pair
+
+
+def test_pairs_of_a_hot_key_are_spread_over_tasks(spark):
+    from quadlake.operators.skew import join_pairs
+
+    left = spark.createDataFrame([(i % 3 if i < 30 else 7 if i < 400 else None, "a", i) for i in range(410)], "n long, k string, x int")
+    right = spark.createDataFrame([(i % 5 if i < 20 else 7, "a", i) for i in range(60)], "n long, k string, y int")
+    for a, b in ((left, right), (right, left), (left.limit(0), right)):
+        made = join_pairs(a, b, ["n", "k"])
+        assert made.columns == a.join(b, ["n", "k"]).columns
+        assert rows(made) == rows(a.join(b, ["n", "k"]))
+    made = join_pairs(left, right, ["n", "k"])
+    each = [r["count"] for r in made.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(each) == made.count() and max(each) < 370 * 40  # all pairs of the key 7
